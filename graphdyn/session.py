@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +23,32 @@ def local_session(cpus: int | str = 8, app: str = "graphdyn") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for materialised intermediates, reachable by every executor.
+
+    ``spark.checkpoint.dir`` names it on a cluster. Only where a local session
+    has none, a scratch folder is set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session.
+    """Write an intermediate once and continue from the written table.
 
-    ``spark.checkpoint.dir`` names a folder every executor can reach. Only
-    where a session has none (local tests) a scratch folder is set.
+    Used where a plan reads a small result several times or loops over it. A
+    written table survives lost executors and gives the optimizer true sizes.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
