@@ -1,0 +1,235 @@
+"""GP-VAR models from lag moments: fit, stability, scores, selection.
+
+Everything here works on model-sized rows, one per (subject, scope, order).
+The small dense systems are solved row by row inside Arrow batches.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from graphdyn.operators.moments import (
+    KEY, pane_blocks, pane_moments, recording_stats, restandardised_stats, sum_moments)
+from graphdyn.operators.prep import split_points
+from graphdyn.schema import RIDGE
+
+MODEL_FIELDS = ("P int, K int, h array<double>, rho double, n_obs bigint, rss double,"
+                " r2 double, mse double, bic double")
+
+
+class LagMoments:
+    """A_j(p, q) with its observation count and sum."""
+
+    def __init__(self, a, order: int, n_obs: int, s1: float):
+        side = order + 1
+        self.a = np.asarray(a, float).reshape(-1, side, side)
+        self.order, self.n_obs, self.s1 = order, n_obs, s1
+
+    def system(self, P: int, K: int):
+        p = np.repeat(np.arange(1, P + 1), K + 1)
+        k = np.tile(np.arange(K + 1), P)
+        gram = self.a[k[:, None] + k[None, :], p[:, None], p[None, :]]
+        return gram, self.a[k, p, 0]
+
+    def score(self, h, P: int, K: int):
+        """RSS, R2, MSE, BIC of one-step predictions, without another data pass."""
+        gram, rhs = self.system(P, K)
+        yy = self.a[0, 0, 0]
+        rss = max(0.0, yy - 2 * h @ rhs + h @ gram @ h)
+        tss = yy - self.s1 ** 2 / self.n_obs
+        mse = rss / self.n_obs
+        bic = self.n_obs * np.log(mse + 1e-10) + P * (K + 1) * np.log(self.n_obs)
+        return rss, 1.0 - rss / (tss + 1e-10), mse, bic
+
+
+def fit_coefficients(m: LagMoments, P: int, K: int, ridge: float = RIDGE) -> np.ndarray:
+    gram, rhs = m.system(P, K)
+    return np.linalg.solve(gram + ridge * np.eye(len(rhs)), rhs)
+
+
+def spectral_radius(h, lam, P: int, K: int) -> float:
+    """Largest companion root over the graph modes, one P x P block per mode."""
+    taps = np.asarray(h).reshape(P, K + 1) @ np.asarray(lam)[None, :] ** np.arange(K + 1)[:, None]
+    comp = np.zeros((len(lam), P, P))
+    comp[:, 0, :] = taps.T
+    if P > 1:
+        comp[:, np.arange(1, P), np.arange(P - 1)] = 1.0
+    roots = np.abs(np.linalg.eigvals(comp))
+    roots = roots[np.isfinite(roots)]
+    return float(roots.max()) if roots.size else float("nan")
+
+
+def _null_model(P, K):
+    return (P, K, None, None, None, None, None, None, None)
+
+
+def _fit_one(train, P, K, lam, score_on=None):
+    try:
+        h = fit_coefficients(train, P, K)
+        rho = spectral_radius(h, lam, P, K)
+        target = train if score_on is None else score_on
+        return (P, K, h, rho, target.n_obs, *target.score(h, P, K))
+    except (np.linalg.LinAlgError, ValueError):
+        return _null_model(P, K)
+
+
+def with_lambdas(df: DataFrame, basis: DataFrame, by: str | None = None) -> DataFrame:
+    if by is None:
+        return df.withColumn("lam", basis.select("lam").scalar())
+    return df.join(basis.select(by, "lam"), by)
+
+
+def fit_models(moments: DataFrame, basis: DataFrame, *, by: str | None = None,
+               extra=()) -> DataFrame:
+    """One model per moment row; the row needs a column K.
+
+    Columns: keys, scope (lti or tv), window_idx, P, K, h, rho, n_obs, rss, r2,
+    mse, bic.
+    """
+    keys = [*KEY, *extra, "window_idx"]
+    types = dict(moments.dtypes)
+    rows = with_lambdas(moments, basis, by)
+    cols = [*keys, *(f.split()[0] for f in MODEL_FIELDS.split(", "))]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                m = LagMoments(r.a, r.P, r.n_obs, r.s1)
+                out.append((*(getattr(r, k) for k in keys), *_fit_one(m, r.P, r.K, r.lam)))
+            yield pd.DataFrame(out, columns=cols)
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    fitted = rows.mapInPandas(run, f"{schema}, {MODEL_FIELDS}")
+    return fitted.select(
+        *KEY, *extra, F.when(F.col("window_idx") < 0, "lti").otherwise("tv").alias("scope"),
+        *[c for c in cols if c not in (*KEY, *extra)])
+
+
+def lti_models(models: DataFrame, rho_limit: float = 1.0) -> DataFrame:
+    return models.filter((F.col("scope") == "lti") & (F.col("rho") < rho_limit))
+
+
+def tv_models(models: DataFrame, length: int, step: int, rho_limit: float = 0.99) -> DataFrame:
+    """Stable window models with their sample span."""
+    start = F.col("window_idx") * step
+    return (models.filter((F.col("scope") == "tv") & (F.col("rho") < rho_limit))
+            .withColumn("start_idx", start).withColumn("end_idx", start + length))
+
+
+# -- model selection ----------------------------------------------------------
+
+def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_grid, *,
+               by: str | None = None, val_scaling: str = "train", pane: int = 1024,
+               rho_limit: float = 1.0) -> DataFrame:
+    """Every (P, K) fitted on the first 70 % and scored on the next 15 %.
+
+    One pass over the samples at the largest P serves the whole grid. Cells
+    that cannot be fitted stay as rows with NULL results. ``val_scaling``:
+    ``train`` scales the validation span by the training stats, ``reference``
+    by the stats of the already standardised training span.
+    """
+    p_grid, k_grid = sorted(p_grid), sorted(k_grid)
+    p_max, k_max = p_grid[-1], k_grid[-1]
+    pane = max(pane, p_max + 1)
+    until, end = split_points(F.col("n_samples"))
+    train = recording_stats(signals, n_channels, until)
+    if val_scaling == "train":
+        val = train
+    elif val_scaling == "reference":
+        val = restandardised_stats(signals, train, until, n_channels)
+    else:
+        raise ValueError(f"unknown val_scaling {val_scaling!r}")
+    stats = train.select(*KEY, F.lit("train").alias("split"), until.alias("n_samples"), "mu", "sd") \
+        .unionByName(val.select(*KEY, F.lit("val").alias("split"), (end - until).alias("n_samples"),
+                                "mu", "sd"))
+    lengths = signals.groupBy("subject_id").agg((F.max("t") + 1).alias("n_samples"))
+    rows = signals.join(lengths, "subject_id").filter(F.col("t") < end).select(
+        *KEY, "channel", "value",
+        F.when(F.col("t") < until, "train").otherwise("val").alias("split"),
+        F.when(F.col("t") < until, F.col("t")).otherwise(F.col("t") - until).alias("t"))
+    blocks = pane_blocks(rows, stats, basis, pane, p_max,
+                         F.array(*[F.lit(p) for p in p_grid]), by, extra=("split",))
+    parts = pane_moments(blocks, k_max, pane, grid=True, extra=("split",))
+    sums = sum_moments(parts, [*KEY, "split", "part", "P"])
+
+    # model-sized from here on: pack the two splits of a subject side by side
+    packed = sums.groupBy(*KEY).agg(F.collect_list(
+        F.struct("split", "part", "P", "n_obs", "s1", "a")).alias("m"))
+    rows = with_lambdas(packed, basis, by)
+    cols = [*KEY, *(f.split()[0] for f in MODEL_FIELDS.split(", "))]
+
+    def merged(found, split, p):
+        tail = found.get((split, "tail", p))
+        if tail is None:
+            return None
+        a = np.asarray(tail["a"]).reshape(-1, p + 1, p + 1)
+        n_obs, s1 = tail["n_obs"], tail["s1"]
+        rest = found.get((split, "whole", p_max))
+        if rest is not None:
+            b = np.asarray(rest["a"]).reshape(-1, p_max + 1, p_max + 1)
+            a = a + b[:, :p + 1, :p + 1]
+            n_obs, s1 = n_obs + rest["n_obs"], s1 + rest["s1"]
+        return LagMoments(a, p, n_obs, s1)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                found = {(e["split"], e["part"], e["P"]): e for e in r.m}
+                for p in p_grid:
+                    tr, va = merged(found, "train", p), merged(found, "val", p)
+                    for k in k_grid:
+                        cell = _null_model(p, k) if tr is None or va is None else \
+                            _fit_one(tr, p, k, r.lam, va)
+                        out.append((r.subject_id, r.grp, *cell))
+            yield pd.DataFrame(out, columns=cols)
+
+    grid = rows.mapInPandas(run, f"subject_id string, grp string, {MODEL_FIELDS}")
+    stable = F.coalesce((F.col("rho") < rho_limit) & ~F.isnan("rho"), F.lit(False))
+    return grid.withColumn("stable", stable).withColumn("success", F.col("bic").isNotNull())
+
+
+def select_model(grid: DataFrame, fallback=(5, 2)) -> DataFrame:
+    """Lowest BIC among the stable cells; K before P on ties; else the fallback."""
+    best = F.min_by(F.struct("P", "K", "bic"), F.when(
+        F.col("stable"), F.struct("bic", "K", "P")))
+    pick = grid.groupBy(*KEY).agg(best.alias("b"), F.max("stable").alias("any"))
+    ok = F.col("any")
+    return pick.select(
+        *KEY, F.when(ok, F.col("b.P")).otherwise(F.lit(fallback[0])).alias("P"),
+        F.when(ok, F.col("b.K")).otherwise(F.lit(fallback[1])).alias("K"),
+        F.when(ok, F.col("b.bic")).alias("best_bic"), (~ok).alias("is_fallback"))
+
+
+def selection_matrix(grid: DataFrame, p_grid, value: str = "bic") -> DataFrame:
+    """K x P pivot of one score; unstable cells are NULL."""
+    shown = F.when(F.col("stable"), F.col(value))
+    out = (grid.withColumn("_v", shown).groupBy(*KEY, "K")
+           .pivot("P", list(p_grid)).agg(F.first("_v")))
+    for p in p_grid:
+        out = out.withColumnRenamed(str(p), f"P{p}")
+    return out
+
+
+# -- coefficients over windows --------------------------------------------------
+
+def coefficient_variation(tv: DataFrame) -> DataFrame:
+    """Mean, sd and cv of every coefficient over the windows of a subject."""
+    return (tv.select(*KEY, F.posexplode("h").alias("coef", "v")).groupBy(*KEY, "coef")
+            .agg(F.avg("v").alias("h_mean"), F.stddev_pop("v").alias("h_std"))
+            .withColumn("h_cv", F.col("h_std") / (F.abs("h_mean") + 1e-8)))
+
+
+def global_coefficient_cv(tv: DataFrame) -> DataFrame:
+    return coefficient_variation(tv).groupBy(*KEY).agg(F.avg("h_cv").alias("global_coeff_cv"))
+
+
+def window_summary(tv: DataFrame) -> DataFrame:
+    return tv.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.avg("r2").alias("tv_r2_mean"),
+        F.stddev_pop("r2").alias("tv_r2_std"), F.avg("rho").alias("tv_rho_mean"),
+        F.stddev_pop("rho").alias("tv_rho_std"))
