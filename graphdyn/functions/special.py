@@ -13,6 +13,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -127,32 +128,32 @@ def _nullable(values) -> pd.Series:
     return pd.Series(values).where(pd.notna(values), None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_quantile(p.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_p_value(z: pd.Series) -> pd.Series:
     return _nullable(norm_two_sided(z.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return _nullable(norm_quantile(p.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series) -> pd.Series:
     return _nullable(chi2_1_tail(x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_term: pd.Series) -> pd.Series:
     """Exact for small samples without ties, else the corrected normal tail."""
     out = []

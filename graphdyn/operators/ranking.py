@@ -8,20 +8,31 @@ from pyspark.sql import functions as F
 from graphdyn.session import cut_lineage
 
 
-def global_positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
-    """1-based position of every row in a total order.
+def global_running_sum(df: DataFrame, *order, weight: str | None = None,
+                       name: str = "position") -> DataFrame:
+    """Running total of ``weight`` (default 1) in a total order, this row included.
 
-    A range-partitioned sort, written out so that the partition borders
-    cannot move, then one count per partition turned into offsets.
-    Ties and hot values are split like any other rows by the sort keys.
+    A range-partitioned sort, written out so that the partition borders cannot
+    move, then one total per partition turned into offsets. Rows must be
+    distinct in the sort keys (aggregate ties first), so no key value can be
+    too large for a partition.
     """
     placed = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id())
                          .withColumn("_seq", F.monotonically_increasing_id()))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"),
-                                        F.min("_seq").alias("_base"))
+    w = F.lit(1) if weight is None else F.col(weight)
+    sizes = placed.groupBy("_part").agg(F.sum(w).alias("_n"), F.min("_seq").alias("_base"))
     # one row per sort partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    pos = F.col("_off") + F.col("_seq") - F.col("_base") + 1
-    return (placed.join(F.broadcast(offsets), "_part").withColumn(name, pos)
+    out = placed.join(F.broadcast(offsets), "_part")
+    if weight is None:
+        within = F.col("_seq") - F.col("_base") + 1
+    else:
+        within = F.sum(w).over(Window.partitionBy("_part").orderBy("_seq"))
+    return (out.withColumn(name, F.col("_off") + within)
             .drop("_part", "_seq", "_base", "_off"))
+
+
+def global_positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """1-based position of every row in a total order with distinct keys."""
+    return global_running_sum(df, *order, name=name)
