@@ -90,30 +90,30 @@ def binary_overlap(flags: DataFrame, keys) -> DataFrame:
     a, b = F.col("in_a"), F.col("in_b")
     c = flags.groupBy(*keys).agg(
         F.count_if(a).alias("edges_a"), F.count_if(b).alias("edges_b"),
-        F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"),
-        F.count_if(~a & b).alias("only_b"), F.count_if(a | b).alias("any"),
+        F.count_if(a & b).alias("n_both"), F.count_if(a & ~b).alias("only_a"),
+        F.count_if(~a & b).alias("only_b"), F.count_if(a | b).alias("n_any"),
         F.avg((a == b).cast("double")).alias("agreement"))
 
     def ratio(num, den):
         return F.when(den > 0, num / den).otherwise(0.0)
 
-    return (c.withColumn("jaccard", ratio(F.col("both"), F.col("any")))
-            .withColumn("dice", ratio(2 * F.col("both"), F.col("edges_a") + F.col("edges_b")))
-            .withColumn("overlap", ratio(F.col("both"), F.least("edges_a", "edges_b"))))
+    return (c.withColumn("jaccard", ratio(F.col("n_both"), F.col("n_any")))
+            .withColumn("dice", ratio(2 * F.col("n_both"), F.col("edges_a") + F.col("edges_b")))
+            .withColumn("overlap", ratio(F.col("n_both"), F.least("edges_a", "edges_b"))))
 
 
 def edge_set_jaccard(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Set form: INTERSECT and UNION of two edge lists per key."""
     cols = [*keys, "i", "j"]
     both = left.select(*cols).intersect(right.select(*cols)).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("both"))
+        F.count(F.lit(1)).alias("n_both"))
     anyone = left.select(*cols).union(right.select(*cols)).distinct().groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("any"))
+        F.count(F.lit(1)).alias("n_any"))
     only = left.select(*cols).exceptAll(right.select(*cols)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("only_left"))
     out = anyone.join(both, list(keys), "left").join(only, list(keys), "left")
-    out = out.fillna(0, ["both", "only_left"])
-    return out.withColumn("jaccard", F.col("both") / F.col("any"))
+    out = out.fillna(0, ["n_both", "only_left"])
+    return out.withColumn("jaccard", F.col("n_both") / F.col("n_any"))
 
 
 def edge_diff_stats(pairs: DataFrame, keys) -> DataFrame:

@@ -78,9 +78,13 @@ def _partial_comoments(batches):
         yield _emit(states)
 
 
-def pair_moments(frames: DataFrame) -> DataFrame:
+def pair_moments(frames: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Joint second-order sums of every channel pair (i < j) per subject.
 
+    ``lengths`` (subject_id, n_samples) counts the samples of sparse
+    recordings: a sample without any cell is an all-zero frame, which adds to
+    the count and to nothing else.
+
     Each task folds its frames into centred co-moments, so what is shuffled is
     n(n-1)/2 rows per (subject, task) whatever the recording length, and no
     per-sample pair is ever emitted. The final sum merges the tasks.
@@ -90,7 +94,7 @@ def pair_moments(frames: DataFrame) -> DataFrame:
         "subject_id", "grp", "n",
         F.inline(F.arrays_zip("ci", "cj", "mi", "mj", "cij", "cii", "cjj")))
     n = F.col("n")
-    return (
+    sums = (
         rows.groupBy("subject_id", "grp", F.col("ci").alias("i"), F.col("cj").alias("j"))
         .agg(F.sum("n").alias("n"),
              F.sum(n * F.col("mi")).alias("si"),
@@ -99,9 +103,14 @@ def pair_moments(frames: DataFrame) -> DataFrame:
              F.sum(F.col("cii") + n * F.col("mi") * F.col("mi")).alias("sii"),
              F.sum(F.col("cjj") + n * F.col("mj") * F.col("mj")).alias("sjj"))
     )
+    if lengths is None:
+        return sums
+    return sums.join(lengths.select("subject_id", F.col("n_samples").alias("_n")), "subject_id") \
+        .withColumn("n", F.col("_n")).drop("_n")
 
 
-def pearson_edges(frames: DataFrame, absolute: bool = True) -> DataFrame:
+def pearson_edges(frames: DataFrame, absolute: bool = True,
+                  lengths: DataFrame | None = None) -> DataFrame:
     """Correlation of every channel pair; undefined values become 0."""
     n = F.col("n")
     cov = F.col("sij") - F.col("si") * F.col("sj") / n
@@ -112,7 +121,7 @@ def pearson_edges(frames: DataFrame, absolute: bool = True) -> DataFrame:
     defined = (vi > floor * F.col("sii")) & (vj > floor * F.col("sjj"))
     r = F.when(defined, cov / F.sqrt(vi * vj)).otherwise(0.0)
     r = F.greatest(F.least(nan_to_num(r), F.lit(1.0)), F.lit(-1.0))
-    return pair_moments(frames).select(
+    return pair_moments(frames, lengths).select(
         "subject_id", "grp", "i", "j", (F.abs(r) if absolute else r).alias("w"))
 
 
