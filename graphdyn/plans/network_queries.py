@@ -203,7 +203,7 @@ def append_qc_log(spark, d):
     return rd.read_qc_log(spark, path)
 
 
-@query("subject_id grp n_rows:l total:r3", f"""WITH {o.LEDGER}, {_DROPPED}
+@query("subject_id grp n_rows:l total:r4", f"""WITH {o.LEDGER}, {_DROPPED}
 SELECT k.subject_id, k.grp, count(*) AS n_rows, sum(value) AS total
 FROM kept3 k JOIN chan c ON c.subject_id = k.subject_id AND c.n = 7 GROUP BY ALL""")
 def channel_compatibility(spark, d):

@@ -154,7 +154,7 @@ scoped AS (
 
 def gram(n: int, key: str, source: str = "scoped") -> str:
     cells = [f"sum(f{a} * f{b}) AS g{a}{b}" for a in range(1, n + 1) for b in range(a, n + 1)]
-    rhs = [f"sum(f{a} * y) AS r{a}" for a in range(1, n + 1)]
+    rhs = [f"sum(f{a} * y) AS v{a}" for a in range(1, n + 1)]
     return (f"gram AS (SELECT {key}, count(*) AS n_obs, sum(y) AS s1, sum(y * y) AS yy,"
             f" {', '.join(cells + rhs)} FROM {source} GROUP BY {key})")
 
@@ -167,7 +167,7 @@ def solve(n: int, key: str, ridge: str = "5e-3") -> str:
     start = [f"{sym(a, b)} + {ridge if a == b else '0'} AS a{a}{b}"
              for a in range(1, n + 1) for b in range(1, n + 1)]
     ctes = [f"e0 AS (SELECT {key}, {', '.join(start)}, "
-            f"{', '.join(f'r{a} AS b{a}' for a in range(1, n + 1))} FROM gram)"]
+            f"{', '.join(f'v{a} AS b{a}' for a in range(1, n + 1))} FROM gram)"]
     for k in range(1, n):
         cols = [f"b{a}" if a <= k else f"b{a} - a{a}{k} / a{k}{k} * b{k} AS b{a}"
                 for a in range(1, n + 1)]
@@ -186,7 +186,7 @@ def solve(n: int, key: str, ridge: str = "5e-3") -> str:
 
 def scores(n: int, order: int = 2, lam_n: int = 7) -> str:
     """RSS, R2, MSE, BIC and spectral radius of the solved rows (P = order, K = 1)."""
-    hr = " + ".join(f"h{a} * r{a}" for a in range(1, n + 1))
+    hr = " + ".join(f"h{a} * v{a}" for a in range(1, n + 1))
     hgh = " + ".join(f"h{a} * h{b} * g{min(a, b)}{max(a, b)}"
                      for a in range(1, n + 1) for b in range(1, n + 1))
     return f"""scored AS (
