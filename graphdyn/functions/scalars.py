@@ -160,16 +160,15 @@ def boundary_flags(p, k, p_grid, k_grid) -> dict[str, Column]:
 
 # -- frequency axis ---------------------------------------------------------
 
-def freq_grid(spark, n_omega: int, fs: float) -> DataFrame:
-    """omega_idx, omega on [0, pi] (both ends), freq_hz."""
-    return (spark.range(n_omega)
-            .select(F.col("id").cast("int").alias("omega_idx"),
-                    (F.col("id") * F.lit(math.pi / (n_omega - 1))).alias("omega"))
-            .withColumn("freq_hz", F.col("omega") * F.lit(fs / (2 * math.pi))))
+def with_freq_grid(df: DataFrame, n_omega: int, fs) -> DataFrame:
+    """Repeats each row for omega on [0, pi], both ends included.
 
-
-def band_table(spark) -> DataFrame:
-    return spark.createDataFrame(list(BANDS), "band string, f_low double, f_high double")
+    Adds omega_idx, omega and freq_hz; ``fs`` is a number or a column.
+    """
+    rate = F.lit(float(fs)) if isinstance(fs, (int, float)) else fs
+    return (df.withColumn("omega_idx", F.explode(F.sequence(F.lit(0), F.lit(n_omega - 1))))
+            .withColumn("omega", F.col("omega_idx") * F.lit(math.pi / (n_omega - 1)))
+            .withColumn("freq_hz", F.col("omega") * rate / F.lit(2 * math.pi)))
 
 
 def bands_of(freq) -> Column:

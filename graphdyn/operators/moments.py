@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num, zscore_value
@@ -40,16 +40,21 @@ def recording_stats(signals: DataFrame, n_channels: int, span: Column | None = N
     ``span`` (a column in n_samples, e.g. 70 % of it) limits the reference to leading
     samples. Aggregations with map-side combine; no cell is materialised.
     """
-    lengths = signals.groupBy(*KEY).agg((F.max("t") + 1).alias("n_samples"))
-    base = signals if span is None else (
-        signals.join(lengths.select("subject_id", "n_samples"), "subject_id").filter(F.col("t") < span))
     x = nan_to_num(F.col("value"))
-    per = base.groupBy("subject_id", "channel").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")]
+    if span is None:
+        # lengths come out of the same pass
+        per = signals.groupBy(*KEY, "channel").agg((F.max("t") + 1).alias("_last"), *aggs)
+        per = per.withColumn("n_samples", F.max("_last").over(Window.partitionBy(*KEY)))
+        n_ref = F.col("n_samples").cast("double")
+    else:
+        lengths = signals.groupBy(*KEY).agg((F.max("t") + 1).alias("n_samples"))
+        base = signals.join(lengths, KEY).filter(F.col("t") < span)
+        per = base.groupBy(*KEY, "n_samples", "channel").agg(*aggs)
+        n_ref = span.cast("double")
     # mean and variance after adding (N - n) zeros to n samples
-    n_ref = (F.col("n_samples") if span is None else span).cast("double")
     share = F.col("n") / n_ref
-    per = per.join(lengths, "subject_id").select(
+    per = per.select(
         *KEY, "n_samples", F.col("channel").cast("int").alias("channel"),
         (F.col("m") * share).alias("mu"),
         F.sqrt(share * (F.col("v") + F.col("m") * F.col("m") * (1 - share))).alias("sd"))

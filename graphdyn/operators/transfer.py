@@ -8,11 +8,10 @@ window model on the model-sized row, which replaces a surface-sized join.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphdyn.functions.scalars import with_freq_grid
 from graphdyn.operators.gpvar import with_lambdas
 from graphdyn.operators.moments import KEY
 
@@ -62,18 +61,14 @@ def _guarded(re: Column, im: Column, guard: str) -> tuple[Column, Column]:
 def _expand(rows: DataFrame, keep, taps: dict[str, Column], n_omega: int, fs: float,
             p_max: int, guard: str) -> DataFrame:
     """Model rows to (keep, omega_idx, freq_hz, mode, lambda, <name>_re, <name>_im)."""
-    step = math.pi / (n_omega - 1)
     lags = F.sequence(F.lit(1), F.lit(p_max))
-    grid = rows.withColumns({f"_h_{n}": c for n, c in taps.items()}) \
-        .withColumn("omega_idx", F.explode(F.sequence(F.lit(0), F.lit(n_omega - 1)))) \
-        .withColumn("omega", F.col("omega_idx") * F.lit(step)) \
+    grid = with_freq_grid(rows.withColumns({f"_h_{n}": c for n, c in taps.items()}), n_omega, fs) \
         .withColumns({"_cos": F.transform(lags, lambda p: F.cos(F.col("omega") * p)),
                       "_sin": F.transform(lags, lambda p: F.sin(F.col("omega") * p))})
     zipped = F.arrays_zip("lam", *[f"_h_{n}" for n in taps])
-    cells = grid.select(*keep, "omega_idx", "omega", "_cos", "_sin",
+    cells = grid.select(*keep, "omega_idx", "omega", "freq_hz", "_cos", "_sin",
                         F.posexplode(zipped).alias("mode", "z"))
-    out = [*keep, "omega_idx", "omega", (F.col("omega") * F.lit(fs / (2 * math.pi)))
-           .alias("freq_hz"), "mode", F.col("z.lam").alias("lambda")]
+    out = [*keep, "omega_idx", "omega", "freq_hz", "mode", F.col("z.lam").alias("lambda")]
     for n in taps:
         re, im = _guarded(*_denominator(F.col(f"z._h_{n}"), p_max), guard)
         out += [re.alias(f"{n}_re"), im.alias(f"{n}_im")]

@@ -460,8 +460,9 @@ def surrogate_null(spark, d):
 
 _NULLISH = f"""{_S},
 tv AS (SELECT g.subject_id, g.grp, global_msd AS observed_msd, outside_ci_fraction,
-         (SELECT count(*) FROM msd m) AS n_valid,
-         (SELECT avg(CAST(m.msd >= g.global_msd AS DOUBLE)) FROM msd m) AS p_value_msd
+         (SELECT count(*) FROM msd m WHERE m.subject_id = g.subject_id) AS n_valid,
+         (SELECT avg(CAST(m.msd >= g.global_msd AS DOUBLE)) FROM msd m
+          WHERE m.subject_id = g.subject_id) AS p_value_msd
        FROM gmsd g JOIN extent USING (subject_id))"""
 
 
@@ -469,13 +470,11 @@ tv AS (SELECT g.subject_id, g.grp, global_msd AS observed_msd, outside_ci_fracti
        f"""WITH {_NULLISH}
 SELECT *, p_value_msd < 0.05 OR outside_ci_fraction > 0.05 AS is_time_varying FROM tv""")
 def tv_test(spark, d):
-    """The decision rule on a known null: the window distances of the whole cohort."""
+    """The decision rule on a known null: the subject's own window distances."""
     p = _paired(spark, d)
-    obs = cut_lineage(tr.global_msd(p))
     ext = tr.surface_summary(tr.surface_stats(p))
-    pool = cut_lineage(tr.msd_per_window(p)).select(F.col("msd").alias("global_msd"))
-    null = obs.select("subject_id").join(pool, F.lit(True))
-    return su.tv_test(null, obs, ext)
+    null = tr.msd_per_window(p).withColumnRenamed("msd", "global_msd")
+    return su.tv_test(null, tr.global_msd(p), ext, min_valid=10)
 
 
 @query("subject_id simple:b", f"""WITH {_S}
@@ -765,9 +764,7 @@ FROM (SELECT subject_id, max(t) + 1 AS n FROM led GROUP BY ALL) s CROSS JOIN ran
 def freq_grid(spark, d):
     """One grid per subject, with a sample rate of T / 10."""
     n = prep.recording_lengths(fx.signals_ledger(spark, d))
-    grid = fn.freq_grid(spark, 128, 1.0)
-    return n.join(grid, F.lit(True)).withColumn(
-        "freq_hz", F.col("freq_hz") * F.col("n_samples") / 10)
+    return fn.with_freq_grid(n, 128, F.col("n_samples") / 10)
 
 
 @query("grp model_type omega_idx:i n:l mean:r6 std:r6 sem:r6", f"""WITH {_CURVES}
