@@ -77,13 +77,20 @@ def subject_id_from_path(path, rule: str = "strip") -> Column:
     raise ValueError(f"unknown rule {rule!r}")
 
 
-def group_from_path(path, labels=("AD", "HC")) -> Column:
-    """First label contained in the upper-cased parent directory, else NULL."""
-    parent = F.upper(F.regexp_extract(_c(path), r"^(.*)/[^/]*$", 1))
-    out = F.lit(None).cast("string")
-    for label in reversed(labels):
-        out = F.when(parent.contains(label.upper()), F.lit(label)).otherwise(out)
-    return out
+def group_from_path(path, labels=("AD", "HC"), depth: int = 1) -> Column:
+    """Label contained in the upper-cased name of the enclosing directory, else NULL.
+
+    With ``depth`` > 1 the next outer directories are tried in turn.
+    """
+    parts = F.split(_c(path), "/")
+    found = []
+    for level in range(depth):
+        name = F.upper(F.get(parts, F.size(parts) - 2 - level))
+        hit = F.lit(None).cast("string")
+        for label in reversed(labels):
+            hit = F.when(name.contains(label.upper()), F.lit(label)).otherwise(hit)
+        found.append(hit)
+    return F.coalesce(*found)
 
 
 # -- labels and verdicts ----------------------------------------------------

@@ -82,7 +82,8 @@ def frobenius(relative: bool = False) -> Column:
     diff = F.sqrt(2 * F.sum(d * d))
     if not relative:
         return diff
-    return diff / F.sqrt(2 * F.sum(F.col("a") * F.col("a")))
+    size = F.sum(F.col("a") * F.col("a"))
+    return F.when(size > 0, diff / F.sqrt(2 * size))
 
 
 def binary_overlap(flags: DataFrame, keys) -> DataFrame:

@@ -79,47 +79,52 @@ def _partial_comoments(batches):
 
 
 def pair_moments(frames: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """Joint second-order sums of every channel pair (i < j) per subject.
+    """Centred second-order sums of every channel pair (i < j) per subject.
 
-    ``lengths`` (subject_id, n_samples) counts the samples of sparse
-    recordings: a sample without any cell is an all-zero frame, which adds to
-    the count and to nothing else.
+    Columns n, mi, mj, cij, cii, cjj. Each task folds its frames into centred
+    co-moments, so what is shuffled is n(n-1)/2 rows per (subject, task)
+    whatever the recording length, and no per-sample pair is ever emitted. The
+    merge re-centres the task results on the overall mean before it adds them,
+    so a large offset costs no precision.
 
-    Each task folds its frames into centred co-moments, so what is shuffled is
-    n(n-1)/2 rows per (subject, task) whatever the recording length, and no
-    per-sample pair is ever emitted. The final sum merges the tasks.
+    ``lengths`` (subject_id, n_samples) counts the samples of sparse
+    recordings: a sample without any cell is an all-zero frame.
     """
     partial = frames.select("subject_id", "grp", "x").mapInPandas(_partial_comoments, _PARTIAL)
+    key = ["subject_id", "grp", "i", "j"]
     rows = partial.select(
         "subject_id", "grp", "n",
-        F.inline(F.arrays_zip("ci", "cj", "mi", "mj", "cij", "cii", "cjj")))
+        F.inline(F.arrays_zip("ci", "cj", "mi", "mj", "cij", "cii", "cjj"))) \
+        .withColumnsRenamed({"ci": "i", "cj": "j"})
+    # one row per task and pair; the aggregation below reuses this partitioning
+    whole = Window.partitionBy(*key)
     n = F.col("n")
-    sums = (
-        rows.groupBy("subject_id", "grp", F.col("ci").alias("i"), F.col("cj").alias("j"))
-        .agg(F.sum("n").alias("n"),
-             F.sum(n * F.col("mi")).alias("si"),
-             F.sum(n * F.col("mj")).alias("sj"),
-             F.sum(F.col("cij") + n * F.col("mi") * F.col("mj")).alias("sij"),
-             F.sum(F.col("cii") + n * F.col("mi") * F.col("mi")).alias("sii"),
-             F.sum(F.col("cjj") + n * F.col("mj") * F.col("mj")).alias("sjj"))
-    )
+    total = F.sum("n").over(whole)
+    rows = rows.withColumns({"ti": F.sum(n * F.col("mi")).over(whole) / total,
+                             "tj": F.sum(n * F.col("mj")).over(whole) / total})
+    di, dj = F.col("mi") - F.col("ti"), F.col("mj") - F.col("tj")
+    out = rows.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.first("ti").alias("mi"), F.first("tj").alias("mj"),
+        F.sum(F.col("cij") + n * di * dj).alias("cij"),
+        F.sum(F.col("cii") + n * di * di).alias("cii"),
+        F.sum(F.col("cjj") + n * dj * dj).alias("cjj"))
     if lengths is None:
-        return sums
-    return sums.join(lengths.select("subject_id", F.col("n_samples").alias("_n")), "subject_id") \
-        .withColumn("n", F.col("_n")).drop("_n")
+        return out
+    out = out.join(lengths.select("subject_id", F.col("n_samples").alias("_n")), "subject_id")
+    gap = n * (F.col("_n") - n) / F.col("_n")
+    return out.select(
+        *key, F.col("_n").alias("n"), (F.col("mi") * n / F.col("_n")).alias("mi"),
+        (F.col("mj") * n / F.col("_n")).alias("mj"),
+        (F.col("cij") + F.col("mi") * F.col("mj") * gap).alias("cij"),
+        (F.col("cii") + F.col("mi") * F.col("mi") * gap).alias("cii"),
+        (F.col("cjj") + F.col("mj") * F.col("mj") * gap).alias("cjj"))
 
 
 def pearson_edges(frames: DataFrame, absolute: bool = True,
                   lengths: DataFrame | None = None) -> DataFrame:
     """Correlation of every channel pair; undefined values become 0."""
-    n = F.col("n")
-    cov = F.col("sij") - F.col("si") * F.col("sj") / n
-    vi = F.col("sii") - F.col("si") * F.col("si") / n
-    vj = F.col("sjj") - F.col("sj") * F.col("sj") / n
-    # a constant channel leaves only rounding noise in its variance
-    floor = F.lit(1e-14)
-    defined = (vi > floor * F.col("sii")) & (vj > floor * F.col("sjj"))
-    r = F.when(defined, cov / F.sqrt(vi * vj)).otherwise(0.0)
+    power = F.col("cii") * F.col("cjj")
+    r = F.when(power > 0, F.col("cij") / F.sqrt(power)).otherwise(0.0)
     r = F.greatest(F.least(nan_to_num(r), F.lit(1.0)), F.lit(-1.0))
     return pair_moments(frames, lengths).select(
         "subject_id", "grp", "i", "j", (F.abs(r) if absolute else r).alias("w"))

@@ -159,7 +159,8 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
     # model-sized from here on: pack the two splits of a subject side by side
     packed = sums.groupBy(*KEY).agg(F.collect_list(
         F.struct("split", "part", "P", "n_obs", "s1", "a")).alias("m"))
-    rows = with_lambdas(packed, basis, by)
+    # a subject too short for any cell keeps its (empty) grid
+    rows = with_lambdas(train.select(*KEY).join(packed, KEY, "left"), basis, by)
     cols = [*KEY, *(f.split()[0] for f in MODEL_FIELDS.split(", "))]
 
     def merged(found, split, p):
@@ -179,7 +180,8 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                found = {(e["split"], e["part"], e["P"]): e for e in r.m}
+                found = {(e["split"], e["part"], e["P"]): e for e in
+                         ([] if r.m is None else r.m)}
                 for p in p_grid:
                     tr, va = merged(found, "train", p), merged(found, "val", p)
                     for k in k_grid:

@@ -122,13 +122,24 @@ def pane_blocks(signals: DataFrame, stats: DataFrame, basis: DataFrame, pane: in
 
 
 def with_context(blocks: DataFrame, stats: DataFrame, basis: DataFrame, pane: int, halo: int,
-                 orders=None, by: str | None = None, extra=()) -> DataFrame:
-    """Join scaling, graph and model orders onto block rows (all model-sized tables)."""
+                 orders=None, by: str | None = None, extra=(), complete: bool = False) -> DataFrame:
+    """Join scaling, graph and model orders onto block rows.
+
+    A pane without any sample still counts (its zeros are scaled like all
+    others), so the panes are listed from the recording lengths; that list is
+    partitioned like the blocks, which are not shuffled again. ``complete``
+    says that the blocks already cover every pane.
+    """
     key = [*KEY, *extra]
-    same = ["subject_id"] + [c for c in extra if c in stats.columns]
-    out = blocks.select(*key, "pane", F.col("cells.c").alias("c"), F.col("cells.o").alias("o"),
-                        F.col("cells.v").alias("v"))
-    out = out.join(stats.select(*same, "n_samples", "mu", "sd"), same)
+    cells = blocks.select(*key, "pane", F.col("cells.c").alias("c"),
+                          F.col("cells.o").alias("o"), F.col("cells.v").alias("v"))
+    scale = stats.select(*[c for c in key if c in stats.columns], "n_samples", "mu", "sd")
+    if complete:
+        out = cells.join(scale, [c for c in key if c in stats.columns])
+    else:
+        panes = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_samples") - 1) / pane))
+        every = scale.withColumn("pane", F.explode(panes))
+        out = every.join(cells, [*key, "pane"], "left")
     if isinstance(orders, DataFrame):
         out = out.join(orders.select("subject_id", "orders"), "subject_id")
     elif orders is not None:
@@ -151,7 +162,9 @@ def block_matrix(row, standardise: bool = True) -> np.ndarray:
     Halo rows ahead of the recording stay in the matrix but are never summed.
     """
     x = np.zeros((row.halo + row.rows, len(row.mu)))
-    if len(row.v) and isinstance(row.v[0], (list, np.ndarray)):
+    if row.v is None:
+        pass
+    elif len(row.v) and isinstance(row.v[0], (list, np.ndarray)):
         for c, o, piece in zip(row.c, row.o, row.v):
             piece = piece[:max(0, len(x) - o)]
             x[o:o + len(piece), c] = piece

@@ -33,8 +33,8 @@ def group_moments(df: DataFrame, keys, value: str = "value", a: str = "A",
 
 
 def welch_columns() -> tuple[Column, Column]:
-    va = F.col("sd_a") * F.col("sd_a") / F.col("n_a")
-    vb = F.col("sd_b") * F.col("sd_b") / F.col("n_b")
+    va = F.col("sd_a") * F.col("sd_a") / F.greatest("n_a", F.lit(1))
+    vb = F.col("sd_b") * F.col("sd_b") / F.greatest("n_b", F.lit(1))
     ok = (F.col("n_a") > 1) & (F.col("n_b") > 1) & (va + vb > 0)
     t = F.when(ok, (F.col("mean_a") - F.col("mean_b")) / F.sqrt(va + vb))
     df = F.when(ok, (va + vb) * (va + vb) / (va * va / (F.col("n_a") - 1)
@@ -45,7 +45,7 @@ def welch_columns() -> tuple[Column, Column]:
 def student_columns() -> tuple[Column, Column]:
     dof = F.col("n_a") + F.col("n_b") - 2
     pooled = ((F.col("n_a") - 1) * F.col("sd_a") * F.col("sd_a")
-              + (F.col("n_b") - 1) * F.col("sd_b") * F.col("sd_b")) / dof
+              + (F.col("n_b") - 1) * F.col("sd_b") * F.col("sd_b")) / F.greatest(dof, F.lit(1))
     ok = (F.col("n_a") > 1) & (F.col("n_b") > 1) & (pooled > 0)
     t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1 / F.col("n_a")
                                                                + 1 / F.col("n_b")))

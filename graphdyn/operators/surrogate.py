@@ -98,7 +98,7 @@ def surrogate_null(signals: DataFrame, basis: DataFrame, n_channels: int, *, P:
     stats = recording_stats(signals, n_channels)
     blocks = surrogate_blocks(signals, stats, n_surrogates, pane, P, seed=seed)
     ready = with_context(blocks, stats, basis, pane, P, F.array(F.lit(P)),
-                         extra=("surrogate",))
+                         extra=("surrogate",), complete=True)
     parts = pane_moments(ready, K, pane, standardise=False, extra=("surrogate",))
     moments = scope_moments(parts, pane, length, step, extra=("surrogate",))
     models = cut_lineage(fit_models(moments.withColumn("K", F.lit(K)), basis,

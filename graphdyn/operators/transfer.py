@@ -78,7 +78,7 @@ def _expand(rows: DataFrame, keep, taps: dict[str, Column], n_omega: int, fs: fl
 def transfer_function(models: DataFrame, basis: DataFrame, *, n_omega: int = 128,
                       fs: float = 100.0, guard: str = "add", p_max: int = 20,
                       by: str | None = None, extra=()) -> DataFrame:
-    """One row per (model, omega, mode): re, im, mag, phase.
+    """One row per (model, omega, mode): re, im, mag, phase (NULL exactly at a pole).
 
     ``guard`` near a pole: ``add`` shifts the denominator, ``rescale`` lifts
     its magnitude to 1e-3, ``fail`` drops a model that comes closer than 1e-6
@@ -93,10 +93,12 @@ def transfer_function(models: DataFrame, basis: DataFrame, *, n_omega: int = 128
         ok = low.filter((F.col("m") >= 1e-6) & (1 / (F.col("m") + 1e-10) <= 1000)).select(*key)
         cells = cells.join(ok, key, "left_semi")
     power = re * re + im * im
+    finite = power > 0
     return cells.select(
-        *key, "omega_idx", "omega", "freq_hz", "mode", "lambda", (re / power).alias("re"),
-        (-im / power).alias("im"), (1 / F.sqrt(power)).alias("mag"),
-        F.atan2(-im, re).alias("phase"))
+        *key, "omega_idx", "omega", "freq_hz", "mode", "lambda",
+        F.when(finite, re / power).alias("re"), F.when(finite, -im / power).alias("im"),
+        F.when(finite, 1 / F.sqrt(power)).alias("mag"),
+        F.when(finite, F.atan2(-im, re)).alias("phase"))
 
 
 def paired_surface(tv: DataFrame, lti: DataFrame, basis: DataFrame, *, n_omega: int = 128,
@@ -116,7 +118,8 @@ def paired_surface(tv: DataFrame, lti: DataFrame, basis: DataFrame, *, n_omega:
                     n_omega, fs, p_max, guard)
     return cells.select(
         *key, "window_idx", "omega_idx", "freq_hz", "mode", "lambda",
-        (1 / F.hypot("w_re", "w_im")).alias("g_tv"), (1 / F.hypot("l_re", "l_im")).alias("g_lti"))
+        *[F.when(F.hypot(f"{n}_re", f"{n}_im") > 0, 1 / F.hypot(f"{n}_re", f"{n}_im")).alias(g)
+          for n, g in (("w", "g_tv"), ("l", "g_lti"))])
 
 
 def join_surfaces(tf: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def read_cohort(spark, d):
         F.when(F.col("grp") == "A", "AD").otherwise("HC").alias("arm"),
         F.col("subject_id").alias("sub-id"), "channel", "t", "value")
      .write.option("header", True).partitionBy("arm", "sub-id").csv(path))
-    signals, _ = rd.read_cohort(spark, path, id_rule="bids")
+    signals, _ = rd.read_cohort(spark, path, id_rule="bids", group_depth=2)
     return signals
 
 
@@ -260,7 +260,7 @@ def subject_id_from_path(spark, d):
 @query("doc_id:l grp", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'AD' WHEN 1 THEN 'HC' END AS grp
 FROM documents""")
 def group_from_path(spark, d):
-    return fx.recording_paths(spark, d).select("doc_id", fn.group_from_path("path").alias("grp"))
+    return fx.recording_paths(spark, d).select("doc_id", fn.group_from_path("path", depth=2).alias("grp"))
 
 
 @query("grp mean_sparsity:r6 k:l", f"""WITH {o.EDGES}, {o.BINARIZE}
@@ -349,9 +349,8 @@ SELECT a.subject_id, a.channel AS i, b.channel AS j, count(*) AS n,
 FROM f1 a JOIN f1 b ON a.subject_id = b.subject_id AND a.t = b.t AND a.channel < b.channel
 GROUP BY ALL""")
 def channel_pair_moments(spark, d):
-    n = F.col("n")
     return con.pair_moments(fx.frames_embeddings(spark, d)).withColumn(
-        "cov", F.col("sij") / n - F.col("si") / n * (F.col("sj") / n))
+        "cov", F.col("cij") / F.col("n"))
 
 
 @query("subject_id grp i:i j:i w:r6", f"WITH {o.EDGES} SELECT * FROM edges")

@@ -24,7 +24,7 @@ def read_signals(spark: SparkSession, paths, fmt: str = "parquet") -> DataFrame:
 
 
 def read_cohort(spark: SparkSession, paths, fmt: str = "csv",
-                id_rule: str = "strip") -> tuple[DataFrame, DataFrame]:
+                id_rule: str = "strip", group_depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """All recordings of a cohort in one scan.
 
     Files hold (channel, t, value); subject and group come from the path.
@@ -40,7 +40,7 @@ def read_cohort(spark: SparkSession, paths, fmt: str = "csv",
     path = F.col("_metadata.file_path")
     raw = raw.select(
         "*", subject_id_from_path(path, id_rule).alias("subject_id"),
-        F.coalesce(group_from_path(path), F.lit("ALL")).alias("grp"))
+        F.coalesce(group_from_path(path, depth=group_depth), F.lit("ALL")).alias("grp"))
     bad = F.col("channel").isNull() | F.col("t").isNull()
     if fmt == "csv":
         bad = bad | F.col("_corrupt").isNotNull()

@@ -37,7 +37,7 @@ def test_path_rules(spark):
     got = df.select(*[fn.subject_id_from_path("path", r) for r in ("strip", "bids", "stem")],
                     fn.group_from_path("path")).collect()
     assert [tuple(r) for r in got] == [
-        ("x1", "s6_x1_rs-hep_eeg", "s6_x1_rs-hep_eeg", "AD"), ("a.b", "sub-07", "a.b", "HC"),
+        ("x1", "s6_x1_rs-hep_eeg", "s6_x1_rs-hep_eeg", "AD"), ("a.b", "sub-07", "a.b", None),
         ("plain", "plain", "plain", None)]
 
 

@@ -1,4 +1,4 @@
-"""A cross-section of the registered queries against DuckDB on the smallest tables."""
+"""A cross-section of the registered queries against DuckDB on small tables."""
 
 import os
 
@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = ("lineitem", "supplier", "events", "documents", "embeddings")
 PICK = ("consensus_direct", "consensus_binarize", "distance_consensus_match_subject",
         "consensus_by_subgroup", "connected_components", "small_world_index",
