@@ -21,24 +21,26 @@ MODEL_FIELDS = ("P int, K int, h array<double>, rho double, n_obs bigint, rss do
 
 
 class LagMoments:
-    """A_j(p, q) with its observation count and sum."""
+    """A_j(p, q) of a batch of models of one order, with counts and sums."""
 
-    def __init__(self, a, order: int, n_obs: int, s1: float):
+    def __init__(self, a, order: int, n_obs, s1):
         side = order + 1
-        self.a = np.asarray(a, float).reshape(-1, side, side)
-        self.order, self.n_obs, self.s1 = order, n_obs, s1
+        self.a = np.asarray(a, float).reshape(len(n_obs), -1, side, side)
+        self.n_obs, self.s1 = np.asarray(n_obs, float), np.asarray(s1, float)
 
     def system(self, P: int, K: int):
+        """Gram matrices (batch, m, m) and right-hand sides (batch, m), m = P (K + 1)."""
         p = np.repeat(np.arange(1, P + 1), K + 1)
         k = np.tile(np.arange(K + 1), P)
-        gram = self.a[k[:, None] + k[None, :], p[:, None], p[None, :]]
-        return gram, self.a[k, p, 0]
+        gram = self.a[:, k[:, None] + k[None, :], p[:, None], p[None, :]]
+        return gram, self.a[:, k, p, 0]
 
     def score(self, h, P: int, K: int):
         """RSS, R2, MSE, BIC of one-step predictions, without another data pass."""
         gram, rhs = self.system(P, K)
-        yy = self.a[0, 0, 0]
-        rss = max(0.0, yy - 2 * h @ rhs + h @ gram @ h)
+        yy = self.a[:, 0, 0, 0]
+        fitted = (h * rhs).sum(axis=1)
+        rss = np.maximum(0.0, yy - 2 * fitted + np.einsum("bi,bij,bj->b", h, gram, h))
         tss = yy - self.s1 ** 2 / self.n_obs
         mse = rss / self.n_obs
         bic = self.n_obs * np.log(mse + 1e-10) + P * (K + 1) * np.log(self.n_obs)
@@ -47,33 +49,46 @@ class LagMoments:
 
 def fit_coefficients(m: LagMoments, P: int, K: int, ridge: float = RIDGE) -> np.ndarray:
     gram, rhs = m.system(P, K)
-    return np.linalg.solve(gram + ridge * np.eye(len(rhs)), rhs)
+    return np.linalg.solve(gram + ridge * np.eye(rhs.shape[1]), rhs[:, :, None])[:, :, 0]
 
 
-def spectral_radius(h, lam, P: int, K: int) -> float:
-    """Largest companion root over the graph modes, one P x P block per mode."""
-    taps = np.asarray(h).reshape(P, K + 1) @ np.asarray(lam)[None, :] ** np.arange(K + 1)[:, None]
-    comp = np.zeros((len(lam), P, P))
-    comp[:, 0, :] = taps.T
-    if P > 1:
-        comp[:, np.arange(1, P), np.arange(P - 1)] = 1.0
-    roots = np.abs(np.linalg.eigvals(comp))
-    roots = roots[np.isfinite(roots)]
-    return float(roots.max()) if roots.size else float("nan")
+def spectral_radius(h, lam, P: int, K: int) -> np.ndarray:
+    """Largest companion root over the graph modes, one P x P block per model and mode."""
+    powers = np.asarray(lam)[None, :] ** np.arange(K + 1)[:, None]
+    taps = np.asarray(h).reshape(-1, P, K + 1) @ powers              # batch, P, mode
+    if P == 1:
+        roots = np.abs(taps)
+    else:
+        comp = np.zeros((len(taps), len(lam), P, P))
+        comp[:, :, 0, :] = taps.transpose(0, 2, 1)
+        comp[:, :, np.arange(1, P), np.arange(P - 1)] = 1.0
+        roots = np.abs(np.linalg.eigvals(comp))
+    roots = np.where(np.isfinite(roots), roots, -1.0).reshape(len(taps), -1).max(axis=1)
+    return np.where(roots < 0, np.nan, roots)
 
 
 def _null_model(P, K):
     return (P, K, None, None, None, None, None, None, None)
 
 
-def _fit_one(train, P, K, lam, score_on=None):
+def _fit_batch(train, P, K, lam, score_on=None):
+    """Model rows of one batch; a batch with a singular system is redone one by one."""
+    target = train if score_on is None else score_on
     try:
         h = fit_coefficients(train, P, K)
         rho = spectral_radius(h, lam, P, K)
-        target = train if score_on is None else score_on
-        return (P, K, h, rho, target.n_obs, *target.score(h, P, K))
-    except (np.linalg.LinAlgError, ValueError):
-        return _null_model(P, K)
+    except np.linalg.LinAlgError:
+        if len(train.a) == 1:
+            return [_null_model(P, K)]
+        side = train.a.shape[-1] - 1
+
+        def one(m, x):
+            return LagMoments(m.a[x:x + 1], side, m.n_obs[x:x + 1], m.s1[x:x + 1])
+
+        return [_fit_batch(one(train, x), P, K, lam, one(target, x))[0]
+                for x in range(len(train.a))]
+    return [(P, K, hh, *map(float, (r,)), int(n), *map(float, rest)) for hh, r, n, *rest in
+            zip(h, rho, target.n_obs, *target.score(h, P, K))]
 
 
 def with_lambdas(df: DataFrame, basis: DataFrame, by: str | None = None) -> DataFrame:
@@ -96,10 +111,13 @@ def fit_models(moments: DataFrame, basis: DataFrame, *, by: str | None = None,
 
     def run(batches):
         for pdf in batches:
+            pdf["_g"] = [np.asarray(x).tobytes() for x in pdf["lam"]]
             out = []
-            for r in pdf.itertuples(index=False):
-                m = LagMoments(r.a, r.P, r.n_obs, r.s1)
-                out.append((*(getattr(r, k) for k in keys), *_fit_one(m, r.P, r.K, r.lam)))
+            for (P, K, _), part in pdf.groupby(["P", "K", "_g"], sort=False):
+                m = LagMoments(np.stack(part["a"].to_numpy()), P, part["n_obs"], part["s1"])
+                models = _fit_batch(m, P, K, part["lam"].iloc[0])
+                out += [(*k, *row) for k, row in
+                        zip(part[keys].itertuples(index=False, name=None), models)]
             yield pd.DataFrame(out, columns=cols)
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
@@ -164,6 +182,7 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
     cols = [*KEY, *(f.split()[0] for f in MODEL_FIELDS.split(", "))]
 
     def merged(found, split, p):
+        """(a, n_obs, s1) of one split at order p, or None when it is too short."""
         tail = found.get((split, "tail", p))
         if tail is None:
             return None
@@ -174,20 +193,31 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
             b = np.asarray(rest["a"]).reshape(-1, p_max + 1, p_max + 1)
             a = a + b[:, :p + 1, :p + 1]
             n_obs, s1 = n_obs + rest["n_obs"], s1 + rest["s1"]
-        return LagMoments(a, p, n_obs, s1)
+        return a, n_obs, s1
+
+    def batch(parts, p):
+        a, n_obs, s1 = zip(*parts)
+        return LagMoments(np.stack(a), p, n_obs, s1)
 
     def run(batches):
         for pdf in batches:
+            pdf["_g"] = [np.asarray(x).tobytes() for x in pdf["lam"]]
             out = []
-            for r in pdf.itertuples(index=False):
-                found = {(e["split"], e["part"], e["P"]): e for e in
-                         ([] if r.m is None else r.m)}
+            for _, part in pdf.groupby("_g", sort=False):
+                lam = part["lam"].iloc[0]
+                ids = list(zip(part["subject_id"], part["grp"]))
+                found = [{(e["split"], e["part"], e["P"]): e for e in ([] if m is None else m)}
+                         for m in part["m"]]
                 for p in p_grid:
-                    tr, va = merged(found, "train", p), merged(found, "val", p)
+                    pairs = [(merged(f, "train", p), merged(f, "val", p)) for f in found]
+                    ok = [x for x, (tr, va) in enumerate(pairs) if tr is not None and va is not None]
                     for k in k_grid:
-                        cell = _null_model(p, k) if tr is None or va is None else \
-                            _fit_one(tr, p, k, r.lam, va)
-                        out.append((r.subject_id, r.grp, *cell))
+                        cells = dict.fromkeys(range(len(ids)), _null_model(p, k))
+                        if ok:
+                            tr = batch([pairs[x][0] for x in ok], p)
+                            va = batch([pairs[x][1] for x in ok], p)
+                            cells |= dict(zip(ok, _fit_batch(tr, p, k, lam, va)))
+                        out += [(*ids[x], *cells[x]) for x in range(len(ids))]
             yield pd.DataFrame(out, columns=cols)
 
     grid = rows.mapInPandas(run, f"subject_id string, grp string, {MODEL_FIELDS}")

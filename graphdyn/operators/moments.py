@@ -104,7 +104,7 @@ def identity_stats(signals: DataFrame, n_channels: int) -> DataFrame:
 
 def pane_blocks(signals: DataFrame, stats: DataFrame, basis: DataFrame, pane: int, halo: int,
                 orders=None, by: str | None = None, extra=()) -> DataFrame:
-    """One row per (subject, pane): its cells, its scaling and its graph basis.
+    """One row per (subject, block of ``pane`` samples): cells, scaling, graph basis.
 
     ``basis`` has lam and u, one row per graph; ``by`` names the column that
     picks a subject's graph (None: the single graph serves all). ``orders`` is
@@ -183,46 +183,67 @@ def mode_matrix(row, x: np.ndarray) -> np.ndarray:
     return x @ np.asarray(row.u).reshape(n, n).T
 
 
-def _lag_sums(s, lam_pow, p_max, first):
-    """A_j(p, q) summed over the block rows from index ``first`` on."""
-    lags = np.stack([s[first - p:len(s) - p] for p in range(p_max + 1)])      # p, t, m
-    by_mode = lags.transpose(2, 0, 1)                                         # m, p, t
-    gamma = by_mode @ by_mode.transpose(0, 2, 1)                              # m, p, q
-    return np.tensordot(lam_pow, gamma, axes=(1, 0))                          # j, p, q
-
-
 def _reduce_panes(keys, k_max, pane, grid, standardise):
     cols = [*keys, "n_samples", "pane", "P", "part", "n_obs", "s1", "a"]
 
+    def stretches(rows):
+        """(first row, panes, rows per pane): the full panes of a block, then the rest."""
+        full = rows // pane
+        if full:
+            yield 0, full, pane
+        if rows % pane:
+            yield full * pane, 1, rows % pane
+
     def run(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 x = block_matrix(row, standardise)
                 s = mode_matrix(row, x)
+                n = x.shape[1]
                 lam_pow = np.asarray(row.lam)[None, :] ** np.arange(2 * k_max + 1)[:, None]
-                head = (*(getattr(row, k) for k in keys), row.n_samples, row.pane)
+                head = (*(getattr(row, k) for k in keys), row.n_samples)
                 orders = sorted(int(p) for p in row.orders)
+                lags = np.stack([s[row.halo - p:len(s) - p] for p in range(orders[-1] + 1)])
+                sums = x[row.halo:].sum(axis=1)
+                begin = row.start // pane
                 # a grid starts once, at pane 0; windows may start at any pane
-                whole = [] if grid and row.pane == 0 else orders[-1:] if grid else orders
-                tail = [] if grid and row.pane > 0 else orders
-                for part, ps in (("whole", whole), ("tail", tail)):
-                    for p in ps:
-                        skip = 0 if part == "whole" else p % pane
-                        if (part == "tail" and skip == 0) or skip >= row.rows:
-                            continue
-                        first = row.halo + skip
-                        kept = x[first:]
-                        out.append((*head, p, part, kept.size, float(kept.sum()),
-                                    _lag_sums(s, lam_pow, p, first).ravel()))
+                lead = grid and begin == 0
+                whole = [] if lead else orders[-1:] if grid else orders
+                tail = [] if grid and begin > 0 else orders
+                for at, count, size in stretches(row.rows):
+                    span = slice(at, at + count * size)
+                    cube = lags[:, span].reshape(len(lags), count, size, n) \
+                        .transpose(3, 1, 0, 2)                          # mode, pane, p, t
+                    s1 = sums[span].reshape(count, size)
+                    for part, ps in (("whole", whole), ("tail", tail)):
+                        for p in ps:
+                            skip = 0 if part == "whole" else p % pane
+                            if (part == "tail" and skip == 0) or skip >= size:
+                                continue
+                            v = cube[:, :, :p + 1, skip:]
+                            gamma = v @ v.transpose(0, 1, 3, 2)         # mode, pane, p, q
+                            a = np.tensordot(lam_pow, gamma, axes=(1, 0))
+                            a = a.transpose(1, 0, 2, 3).reshape(count, -1)
+                            total = s1[:, skip:].sum(axis=1)
+                            out += [(*head, begin + at // pane + c, p, part, (size - skip) * n,
+                                     float(total[c]), a[c]) for c in range(count)]
             if out:
                 yield pd.DataFrame(out, columns=cols)
     return run
 
 
+def block_length(pane: int, target: int = 1024) -> int:
+    """Samples per block: a multiple of the pane near ``target``."""
+    return pane * max(1, target // pane)
+
+
 def pane_moments(blocks: DataFrame, k_max: int, pane: int, *, grid: bool = False,
                  standardise: bool = True, extra=()) -> DataFrame:
-    """Reduce each block to its lag moments: (keys, n_samples, pane, P, part, n_obs, s1, a)."""
+    """Lag moments of every pane: (keys, n_samples, pane, P, part, n_obs, s1, a).
+
+    A block may hold several panes; in a grid it must be one pane.
+    """
     keys = [*KEY, *extra]
     types = dict(blocks.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
@@ -279,7 +300,7 @@ def gpvar_moments(signals: DataFrame, basis: DataFrame, n_channels: int, *, orde
     pane = math.gcd(length, step)
     if stats is None:
         stats = (recording_stats if standardise else identity_stats)(signals, n_channels)
-    blocks = pane_blocks(signals, stats, basis, pane, p_max, orders, by)
+    blocks = pane_blocks(signals, stats, basis, block_length(pane), p_max, orders, by)
     return scope_moments(pane_moments(blocks, k_max, pane, standardise=standardise),
                          pane, length, step)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphdyn.functions.scalars import nan_to_num
 from graphdyn.operators.gpvar import fit_models, lti_models, tv_models
 from graphdyn.operators.moments import (
-    KEY, pane_moments, recording_stats, scope_moments, with_context)
+    KEY, block_length, pane_moments, recording_stats, scope_moments, with_context)
 from graphdyn.operators.transfer import global_msd, paired_surface
 from graphdyn.schema import SD_FLOOR, Z_CLIP
 from graphdyn.session import cut_lineage
@@ -96,8 +96,9 @@ def surrogate_null(signals: DataFrame, basis: DataFrame, n_channels: int, *, P:
     """
     pane = math.gcd(length, step)
     stats = recording_stats(signals, n_channels)
-    blocks = surrogate_blocks(signals, stats, n_surrogates, pane, P, seed=seed)
-    ready = with_context(blocks, stats, basis, pane, P, F.array(F.lit(P)),
+    block = block_length(pane)
+    blocks = surrogate_blocks(signals, stats, n_surrogates, block, P, seed=seed)
+    ready = with_context(blocks, stats, basis, block, P, F.array(F.lit(P)),
                          extra=("surrogate",), complete=True)
     parts = pane_moments(ready, K, pane, standardise=False, extra=("surrogate",))
     moments = scope_moments(parts, pane, length, step, extra=("surrogate",))
