@@ -7,6 +7,7 @@ with P = 2, K = 1, windows of 100 samples and steps of 50.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions import scalars as fn
@@ -20,7 +21,8 @@ from graphdyn.operators import transfer as tr
 from graphdyn.plans import cohort
 from graphdyn.plans import oracle_parts as o
 from graphdyn.plans.catalog import query
-from graphdyn.plans.network_queries import N1, _graph
+from graphdyn.plans.network_queries import (
+    _ARCS, _GRAPH, _KSUBJ, _NORM, N1, _binar, _distance_sql, _graph)
 from graphdyn.schema import Preset
 from graphdyn.session import cut_lineage
 from graphdyn.sources import fixtures as fx
@@ -699,8 +701,6 @@ SELECT *, p_adjusted <= 0.25 AS reject, count_if(p_adjusted <= 0.25) OVER (PARTI
 FROM adj""")
 def fdr_bh(spark, d):
     """Adjusts the empirical tail shares of the consensus edges of each group."""
-    from pyspark.sql import Window
-    from graphdyn.plans.network_queries import _binar
     w = Window.partitionBy("grp")
     p = _binar(spark, d).withColumn("p_value", F.rank().over(w.orderBy(F.col("w_full").desc()))
                                     / F.count(F.lit(1)).over(w) / 4)
@@ -799,19 +799,35 @@ def group_surface_diff(spark, d):
 
 # -- full analyses on data-driven graphs ---------------------------------------------------------
 
-@query("grp i:i j:i g:r6")
+@query("grp i:i j:i g:r6", f"WITH {_distance_sql(_KSUBJ)} SELECT * FROM dist_graph")
 def group_network(spark, d):
     """Recordings to the final group graph in one call."""
     return cohort.group_network(fx.frames_embeddings(spark, d), fx.channel_layout(spark, N1))
 
 
-@query("subject_id grp scope window_idx:l rho:r6 r2:r6 bic:r6")
+def _group_graph_sql() -> str:
+    """Node form on each group's own graph: (L x) by a join with the Laplacian cells."""
+    return f"""{_GRAPH}, {_ARCS}, {_NORM}, {o.dense('f1', 64)}, {o.ZSCORE},
+lxs AS (SELECT z.subject_id, z.t, l.i AS channel, sum(l.v * z.x) AS lx
+        FROM zs z JOIN nlap l ON l.grp = z.grp AND l.j = z.channel GROUP BY ALL),
+shifted AS (SELECT z.*, lx FROM zs z JOIN lxs USING (subject_id, t, channel)),
+feat AS (SELECT subject_id, grp, n_samples, channel, t, x AS y, lag(x, 1) OVER w AS f1,
+                lag(lx, 1) OVER w AS f2
+         FROM shifted WINDOW w AS (PARTITION BY subject_id, channel ORDER BY t)),
+{o.scopes(200, 100, 1)}, {o.gram(2, _KEY)}, {o.solve(2, _KEY)},
+scored AS (SELECT *, yy - 2 * (h1 * v1 + h2 * v2)
+           + (h1 * h1 * g11 + 2 * h1 * h2 * g12 + h2 * h2 * g22) AS rss FROM sol)
+SELECT *, 1 - rss / (yy - s1 * s1 / n_obs + 1e-10) AS r2,
+       n_obs * ln(rss / n_obs + 1e-10) + 2 * ln(n_obs) AS bic FROM scored"""
+
+
+@query("subject_id grp window_idx:l n_obs:l h1:r6 h2:r6 r2:r6 bic:r6", f"WITH {_group_graph_sql()}")
 def models_on_group_graphs(spark, d):
     """Embedding channels as signals on each group's own consensus graph."""
-    from graphdyn.plans.cohort import fit_cohort, group_bases
-    basis = cut_lineage(group_bases(_graph(spark, d)))
-    return fit_cohort(fx.signals_embeddings(spark, d), basis, N1, length=200, step=100, P=1, K=1,
-                      by="grp")
+    basis = cut_lineage(cohort.group_bases(_graph(spark, d)))
+    m = cohort.fit_cohort(fx.signals_embeddings(spark, d), basis, N1, length=200, step=100,
+                          P=1, K=1, by="grp")
+    return m.select("*", *[F.col("h")[k].alias(f"h{k + 1}") for k in range(2)])
 
 
 @query("metric t_stat:r6 p_value:r6 cohens_d:r6")
