@@ -14,6 +14,7 @@ from graphdyn.functions.special import t_p_value
 from graphdyn.operators.connectivity import keep_flag
 from graphdyn.operators.consensus import equal_width_histogram
 from graphdyn.operators.ranking import global_positions
+from graphdyn.session import sized
 
 
 def align(left: DataFrame, right: DataFrame, keys=(), a: str = "w", b: str = "w") -> DataFrame:
@@ -160,7 +161,8 @@ def subject_vs_consensus(edges: DataFrame, cons: DataFrame, *, keys=("grp",), b:
     of both sides share the same partitioning.
     """
     own = ["subject_id", "grp"]
-    pairs = align(edges.select(*own, "i", "j", "w"), cons, keys, b=b)
+    graph = sized(cons.select(*keys, "i", "j", b))
+    pairs = align(edges.select(*own, "i", "j", "w"), graph, keys, b=b)
     ready = with_kept(with_ranks(pairs, own), own, rule, sparsity, value)
     return ready.groupBy(*own).agg(
         pearson().alias("pearson_r"), spearman().alias("spearman_rho"),

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdyn.operators.moments import (
-    KEY, pane_blocks, pane_moments, recording_stats, restandardised_stats, sum_moments)
+    KEY, pane_blocks, pane_moments, recording_lengths, recording_stats, restandardised_stats,
+    sum_moments)
 from graphdyn.operators.prep import split_points
 from graphdyn.schema import RIDGE
 
@@ -154,7 +155,8 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
     p_max, k_max = p_grid[-1], k_grid[-1]
     pane = max(pane, p_max + 1)
     until, end = split_points(F.col("n_samples"))
-    train = recording_stats(signals, n_channels, until)
+    lengths = recording_lengths(signals)
+    train = recording_stats(signals, n_channels, until, lengths)
     if val_scaling == "train":
         val = train
     elif val_scaling == "reference":
@@ -164,8 +166,7 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
     stats = train.select(*KEY, F.lit("train").alias("split"), until.alias("n_samples"), "mu", "sd") \
         .unionByName(val.select(*KEY, F.lit("val").alias("split"), (end - until).alias("n_samples"),
                                 "mu", "sd"))
-    lengths = signals.groupBy("subject_id").agg((F.max("t") + 1).alias("n_samples"))
-    rows = signals.join(lengths, "subject_id").filter(F.col("t") < end).select(
+    rows = signals.join(lengths.select("subject_id", "n_samples"), "subject_id").filter(F.col("t") < end).select(
         *KEY, "channel", "value",
         F.when(F.col("t") < until, "train").otherwise("val").alias("split"),
         F.when(F.col("t") < until, F.col("t")).otherwise(F.col("t") - until).alias("t"))

@@ -30,11 +30,18 @@ from pyspark.sql import functions as F
 from graphdyn.functions.scalars import nan_to_num, zscore_value
 from graphdyn.operators.prep import halo_panes
 from graphdyn.schema import SD_FLOOR, Z_CLIP
+from graphdyn.session import sized
 
 KEY = ["subject_id", "grp"]
 
 
-def recording_stats(signals: DataFrame, n_channels: int, span: Column | None = None) -> DataFrame:
+def recording_lengths(signals: DataFrame) -> DataFrame:
+    """(subject_id, grp, n_samples), written out so that joins know its size."""
+    return sized(signals.groupBy(*KEY).agg((F.max("t") + 1).alias("n_samples")))
+
+
+def recording_stats(signals: DataFrame, n_channels: int, span: Column | None = None,
+                    lengths: DataFrame | None = None) -> DataFrame:
     """Per subject: n_samples and the arrays mu, sd over channels, absent cells counting as 0.
 
     ``span`` (a column in n_samples, e.g. 70 % of it) limits the reference to leading
@@ -48,7 +55,7 @@ def recording_stats(signals: DataFrame, n_channels: int, span: Column | None = N
         per = per.withColumn("n_samples", F.max("_last").over(Window.partitionBy(*KEY)))
         n_ref = F.col("n_samples").cast("double")
     else:
-        lengths = signals.groupBy(*KEY).agg((F.max("t") + 1).alias("n_samples"))
+        lengths = recording_lengths(signals) if lengths is None else lengths
         base = signals.join(lengths, KEY).filter(F.col("t") < span)
         per = base.groupBy(*KEY, "n_samples", "channel").agg(*aggs)
         n_ref = span.cast("double")
@@ -79,6 +86,7 @@ def restandardised_stats(signals: DataFrame, stats: DataFrame, span: Column,
     def at(name):
         return F.get(name, F.col("channel").cast("int"))
 
+    stats = sized(stats)
     cells = signals.join(stats.select("subject_id", "n_samples", "mu", "sd"), "subject_id") \
         .filter(F.col("t") < span)
     z = zscore_value(nan_to_num(F.col("value")), at("mu"), at("sd"))

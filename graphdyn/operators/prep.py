@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num, zscore_value
+from graphdyn.session import sized
 
 KEY = ["subject_id", "grp"]
 
@@ -63,7 +64,7 @@ def channel_stats(signals: DataFrame, until: Column | None = None) -> DataFrame:
 
 def zscore(signals: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Standardise per channel against ``stats`` (default: the table itself)."""
-    st = channel_stats(signals) if stats is None else stats
+    st = sized(channel_stats(signals)) if stats is None else stats
     return (signals.join(st, ["subject_id", "channel"])
             .withColumn("value", zscore_value("value", "mu", "sd")).drop("mu", "sd"))
 
@@ -76,7 +77,7 @@ def split_points(T: Column) -> tuple[Column, Column]:
 def temporal_split(signals: DataFrame) -> DataFrame:
     """Adds ``split``: train, val, or NULL for the unused rest."""
     train, val = split_points(F.col("n_samples"))
-    return (signals.join(recording_lengths(signals), "subject_id")
+    return (signals.join(sized(recording_lengths(signals)), "subject_id")
             .withColumn("split", F.when(F.col("t") < train, "train")
                         .when(F.col("t") < val, "val")).drop("n_samples"))
 
@@ -86,7 +87,7 @@ def sliding_windows(signals: DataFrame, length: int, step: int) -> DataFrame:
 
     Windows start at sample 0; one that would pass the end is not formed.
     """
-    joined = signals.join(recording_lengths(signals), "subject_id")
+    joined = signals.join(sized(recording_lengths(signals)), "subject_id")
     last = F.floor((F.col("n_samples") - length) / step)
     first_w = F.greatest(F.lit(0), F.floor((F.col("t") - length) / step) + 1)
     last_w = F.least(F.floor(F.col("t") / step), last)
@@ -167,8 +168,8 @@ def lagged(signals: DataFrame, order: int, pane: int = 4096) -> DataFrame:
 def circular_shift(signals: DataFrame, n_surrogates: int, seed: int = 0,
                    shift: Column | None = None) -> DataFrame:
     """Surrogates: every channel rolled by its own offset. A projection, no shuffle
-    beyond the join with the recording lengths. ``signals`` must be dense."""
-    joined = signals.join(recording_lengths(signals), "subject_id")
+    beyond attaching the recording lengths. ``signals`` must be dense."""
+    joined = signals.join(sized(recording_lengths(signals)), "subject_id")
     if shift is None:
         shift = shift_of(F.lit(seed))
     return (joined.withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n_surrogates))))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphdyn.functions.scalars import with_freq_grid
 from graphdyn.operators.gpvar import with_lambdas
 from graphdyn.operators.moments import KEY
+from graphdyn.session import sized
 
 MODEL_KEY = [*KEY, "scope", "window_idx"]
 
@@ -110,8 +111,8 @@ def paired_surface(tv: DataFrame, lti: DataFrame, basis: DataFrame, *, n_omega:
     produced from the same row.
     """
     key = [*KEY, *extra]
-    one = lti.select(*key, F.col("h").alias("h0"), F.col("P").alias("P0"),
-                     F.col("K").alias("K0"))
+    one = sized(lti.select(*key, F.col("h").alias("h0"), F.col("P").alias("P0"),
+                           F.col("K").alias("K0")))
     rows = with_lambdas(tv.select(*key, "window_idx", "h", "P", "K").join(one, key), basis, by)
     cells = _expand(rows, [*key, "window_idx"],
                     {"w": _taps("h", "P", "K"), "l": _taps("h0", "P0", "K0")},

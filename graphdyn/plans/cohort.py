@@ -12,13 +12,13 @@ from graphdyn.operators.gpvar import (
     window_summary)
 from graphdyn.operators.moments import KEY
 from graphdyn.schema import PRESETS, QC_LOG, Preset
-from graphdyn.session import cut_lineage
+from graphdyn.session import cut_lineage, sized
 
 
 def channel_compatibility(signals: DataFrame, n_channels: int) -> tuple[DataFrame, DataFrame]:
     """(kept signals, rejects): subjects whose channel count is not the graph's."""
     counts = signals.groupBy(*KEY).agg(F.count_distinct("channel").alias("n"))
-    bad = counts.filter(F.col("n") != n_channels)
+    bad = sized(counts.filter(F.col("n") != n_channels))
     kept = signals.join(bad.select("subject_id"), "subject_id", "left_anti")
     log = bad.select(*KEY, F.lit("REJECT").alias("status"),
                      F.lit("Channel_mismatch").alias("reason"),
@@ -280,4 +280,4 @@ def consensus_validation(edges: DataFrame, cons: DataFrame, *, w: str = "w",
 def group_bases(cons: DataFrame, by: str = "grp", w: str = "g") -> DataFrame:
     """Packed eigenbasis of the normalised Laplacian of each group's graph."""
     lap = graphs.normalised_from_edges(cons, by, w)
-    return graphs.packed_basis(graphs.graph_fourier_basis(lap, by), by)
+    return sized(graphs.packed_basis(graphs.graph_fourier_basis(lap, by), by))

@@ -824,7 +824,7 @@ SELECT *, 1 - rss / (yy - s1 * s1 / n_obs + 1e-10) AS r2,
 @query("subject_id grp window_idx:l n_obs:l h1:r6 h2:r6 r2:r6 bic:r6", f"WITH {_group_graph_sql()}")
 def models_on_group_graphs(spark, d):
     """Embedding channels as signals on each group's own consensus graph."""
-    basis = cut_lineage(cohort.group_bases(_graph(spark, d)))
+    basis = cohort.group_bases(_graph(spark, d))
     m = cohort.fit_cohort(fx.signals_embeddings(spark, d), basis, N1, length=200, step=100,
                           P=1, K=1, by="grp")
     return m.select("*", *[F.col("h")[k].alias(f"h{k + 1}") for k in range(2)])

@@ -42,6 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Write a reduced table (one row per subject or pair) before joining it back.
+
+    With the true size known, the optimizer broadcasts it only below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides beyond it.
+    Without, the large side would be shuffled by subject just to attach a number.
+    """
+    return cut_lineage(df)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate once and continue from the written table.
 
