@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num, zscore_value
-from graphdyn.session import sized
+from graphdyn.session import sized, spread
 
 KEY = ["subject_id", "grp"]
 
@@ -27,8 +27,8 @@ def dense_grid(signals: DataFrame, n_channels: int, pane: int = 4096) -> DataFra
     spread over the tasks, so a long recording is not expanded in one place.
     """
     spans = signals.groupBy(*KEY).agg((F.max("t") + 1).alias("n_samples"))
-    panes = spans.select(*KEY, "n_samples", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("n_samples") - 1) / pane))).alias("p")).repartition(*KEY, "p")
+    panes = spread(spans.select(*KEY, "n_samples", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("n_samples") - 1) / pane))).alias("p")), *KEY, "p")
     cells = panes.select(*KEY, F.explode(F.sequence(
         F.col("p") * pane, F.least((F.col("p") + 1) * pane, F.col("n_samples")) - 1)).alias("t")).select(
         *KEY, "t", F.explode(F.sequence(F.lit(0), F.lit(n_channels - 1))).alias("channel"))

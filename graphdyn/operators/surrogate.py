@@ -20,7 +20,7 @@ from graphdyn.operators.moments import (
     KEY, block_length, pane_moments, recording_stats, scope_moments, with_context)
 from graphdyn.operators.transfer import global_msd, paired_surface
 from graphdyn.schema import SD_FLOOR, Z_CLIP
-from graphdyn.session import cut_lineage
+from graphdyn.session import cut_lineage, spread
 
 
 def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_surrogates: int, pane: int,
@@ -50,6 +50,8 @@ def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_surrogates: int, pa
                         F.col("s.sd").alias("sd"), F.col("cells.o").alias("o"),
                         F.col("cells.v").alias("v"), shifts.alias("shifts"))
 
+    ready = spread(ready, *KEY, "channel", "chunk")
+
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphdyn.functions.scalars import with_freq_grid
 from graphdyn.operators.gpvar import with_lambdas
 from graphdyn.operators.moments import KEY
-from graphdyn.session import sized
+from graphdyn.session import sized, spread
 
 MODEL_KEY = [*KEY, "scope", "window_idx"]
 
@@ -63,6 +63,7 @@ def _expand(rows: DataFrame, keep, taps: dict[str, Column], n_omega: int, fs: fl
             p_max: int, guard: str) -> DataFrame:
     """Model rows to (keep, omega_idx, freq_hz, mode, lambda, <name>_re, <name>_im)."""
     lags = F.sequence(F.lit(1), F.lit(p_max))
+    rows = spread(rows, *keep)
     grid = with_freq_grid(rows.withColumns({f"_h_{n}": c for n, c in taps.items()}), n_omega, fs) \
         .withColumns({"_cos": F.transform(lags, lambda p: F.cos(F.col("omega") * p)),
                       "_sin": F.transform(lags, lambda p: F.sin(F.col("omega") * p))})

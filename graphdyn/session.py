@@ -42,6 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Spread rows that are about to be multiplied over all shuffle partitions.
+
+    File packing and adaptive coalescing size partitions by the bytes before
+    the multiplication; an explicit number is left alone by both.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Write a reduced table (one row per subject or pair) before joining it back.
 
