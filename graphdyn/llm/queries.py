@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import exact, mixing, sharding
+from graphdyn.llm import exact, language, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,13 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+@_register
+def op7_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.filter(~out), "text", "lang", "doc_id")
+    pred, score = language.added(docs)
+    return language.predict(docs, model, keep=("doc_id",)).select(
+        "doc_id", out.alias("held_out"), F.col(pred).alias("lang_pred"), F.col(score).alias("score"))
