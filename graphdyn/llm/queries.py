@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import exact, language, mixing, sharding
+from graphdyn.llm import exact, language, mixing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,16 @@ def op7_language_id(spark, sf_dir):
     pred, score = language.added(docs)
     return language.predict(docs, model, keep=("doc_id",)).select(
         "doc_id", out.alias("held_out"), F.col(pred).alias("lang_pred"), F.col(score).alias("score"))
+
+
+@_register
+def op1_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    rows = docs.filter(~out).join(labels, F.col("doc_id") == F.col("id"))
+    model = toxicity.fit(rows, "text", "toxic", "doc_id")
+    name, = toxicity.added(docs)
+    return toxicity.score(docs, model, keep=("doc_id",)).select(
+        "doc_id", out.alias("held_out"), F.col(name).alias("score"),
+        (F.col(name) >= 0.5).cast("int").alias("predicted"))

@@ -59,8 +59,12 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def words(texts: list[bytes], gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """(hash per word, first word of each text and the end), A-Z lower-cased."""
+def words(texts: list[bytes], gap: np.ndarray = BLANK,
+          stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash per word, first word of each text and the end), A-Z lower-cased.
+
+    Each of ``stems`` adds an array: a hash of the word's first so many bytes.
+    """
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     n = len(raw)
@@ -73,7 +77,8 @@ def words(texts: list[bytes], gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.n
     np.cumsum(_CODE[raw] * p[:n], out=run[1:])
     out = mix((run[stop] - run[start]) * inv[start] + (stop - start).astype(_U))
     first = np.searchsorted(start, np.concatenate([[0], ends]))
-    return out, first
+    cut = [mix((run[np.minimum(stop, start + k)] - run[start]) * inv[start] + _U(k * 0x9E3779B1)) for k in stems]
+    return out, first, *cut
 
 
 def shingles(w: np.ndarray, size: int) -> np.ndarray:
