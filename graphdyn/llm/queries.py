@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import exact, language, mixing, sharding, toxicity
+from graphdyn.llm import exact, language, mixing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,16 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, keep=("doc_id",)).select(
         "doc_id", out.alias("held_out"), F.col(name).alias("score"),
         (F.col(name) >= 0.5).cast("int").alias("predicted"))
+
+
+@_register
+def op6_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    name, = secrets.added(docs)
+    found = secrets.scan(docs, keep=("doc_id",)).withColumnRenamed(name, "found")
+    joined = "concat_ws(',', transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)))"
+    n = {k: F.expr(f"cast(size(filter(found, s -> s.kind = '{k}')) as bigint)") for k in secrets.KINDS}
+    return found.select(
+        "doc_id", *(n[k].alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(F.expr(joined.format("filter(found, s -> s.kind != 'novel')")), 256).alias("base_sha256"),
+        F.expr(joined.format("found")).alias("spans"), n["novel"].alias("n_novel"))
