@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import exact, language, mixing, secrets, sharding, toxicity
+from graphdyn.llm import decontam, exact, language, mixing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,13 @@ def op6_secret_scan(spark, sf_dir):
         "doc_id", *(n[k].alias(f"n_{k}") for k in secrets.KINDS[:3]),
         F.sha2(F.expr(joined.format("filter(found, s -> s.kind != 'novel')")), 256).alias("base_sha256"),
         F.expr(joined.format("found")).alias("spans"), n["novel"].alias("n_novel"))
+
+
+@_register
+def op3_decontamination(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    name, = decontam.added(docs)
+    found = decontam.find(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode(name).alias("m")).select(
+        "doc_id", F.col("m.item").alias("item_id"), F.col("m.similarity").alias("similarity"),
+        F.col("m.first_word").alias("first_word"), F.col("m.n_words").alias("n_words"))
