@@ -118,10 +118,9 @@ def op7_language_id(spark, sf_dir):
 @_register
 def op1_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
     out = language.held_out(F.col("doc_id"), 5, 0)
-    rows = docs.filter(~out).join(labels, F.col("doc_id") == F.col("id"))
-    model = toxicity.fit(rows, "text", "toxic", "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~out)
+    model = toxicity.fit(docs, labels, "text", "toxic", "doc_id")
     name, = toxicity.added(docs)
     return toxicity.score(docs, model, keep=("doc_id",)).select(
         "doc_id", out.alias("held_out"), F.col(name).alias("score"),

@@ -27,7 +27,7 @@ from graphdyn.llm.common import fresh, unit_hash
 from graphdyn.llm.words import PUNCT, chunks, encode, mix, words
 
 TRAIN_DOCS = 3000
-SHARD_ROWS = 3000
+SHARD_ROWS = 4000
 EPOCHS = 6
 STEMS = (4, 6)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
@@ -90,8 +90,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(rows: DataFrame, text: str, label: str, key: str, train_docs: int = TRAIN_DOCS) -> Model:
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str,
+        train_docs: int = TRAIN_DOCS) -> Model:
+    """Learn from the texts of ``docs`` whose key has a label in ``labels``.
+
+    The sample is drawn from the labels alone; at most about 2 * ``train_docs``
+    drawn keys are broadcast to the documents, whose texts are not shuffled.
+    """
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     rows = rows.filter(F.col("y").isin(0, 1))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
@@ -102,13 +108,16 @@ def fit(rows: DataFrame, text: str, label: str, key: str, train_docs: int = TRAI
     draw = unit_hash("toxicity", F.col("k"))
     n_shards = -(-sum(min(n, train_docs) for n in counts.values()) // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("k"), F.lit(n_shards)).alias("shard")
-    sample = rows.filter(draw < share).select(shard, draw.alias("draw"), "t", "y")
+    drawn = rows.filter(draw < share).select("k", "y", shard, draw.alias("draw"))
+    sample = docs.select(F.col(key).alias("k2"), F.col(text).alias("t")).join(
+        F.broadcast(drawn), F.col("k2") == F.col("k")).select("shard", "draw", "t", "y")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "y"])
         names, w = ftrl(list(zip(features(encode(pdf["t"])), pdf["y"])))
         return pd.DataFrame({"name": names.astype(np.int64), "w": w})
 
+    # a shard is a bounded sample
     parts = sample.groupBy("shard").applyInPandas(train, "name long, w double")
     # a coordinate that one shard zeroed counts as 0 there
     mean = parts.groupBy("name").agg((F.sum("w") / n_shards).alias("w")).toPandas()
