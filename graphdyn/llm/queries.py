@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import decontam, exact, language, mixing, secrets, sharding, toxicity
+from graphdyn.llm import decontam, exact, jaccard, language, mixing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,8 @@ def op3_decontamination(spark, sf_dir):
     return found.select("doc_id", F.explode(name).alias("m")).select(
         "doc_id", F.col("m.item").alias("item_id"), F.col("m.similarity").alias("similarity"),
         F.col("m.first_word").alias("first_word"), F.col("m.n_words").alias("n_words"))
+
+
+@_register
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
