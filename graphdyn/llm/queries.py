@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import decontam, exact, jaccard, language, mixing, secrets, sharding, toxicity
+from graphdyn.llm import decontam, exact, html, jaccard, language, mixing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,12 @@ def op3_decontamination(spark, sf_dir):
 @_register
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register
+def op4_html_extraction(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    name, = html.added(pages)
+    text = F.concat_ws(" ", F.col(name))
+    return html.extract(pages, html.fit(pages), keep=("page_id", "url")).select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
