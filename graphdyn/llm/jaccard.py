@@ -76,8 +76,8 @@ def _pack(bits: int):
         from pyspark import TaskContext
         base, seq = TaskContext.get().partitionId() << 32, 0
         for pdf in batches:
-            raw, ids = encode(pdf["t"]), pdf["k"].to_numpy()
-            none = pd.isna(pdf["k"]).to_numpy()
+            raw, ids = encode(pdf["t"]), pdf["k"].to_numpy(np.int64)
+            none = pdf["none"].to_numpy(bool)
             for a, b in chunks(raw, PACK):
                 for c in range(a, b, PACK_DOCS):
                     d = min(b, c + PACK_DOCS)
@@ -96,7 +96,7 @@ def _pack_rows(pack, ids, none, sets, bits) -> pd.DataFrame:
     low = ((h[order] << _U(bits)) >> _U(32)).astype(np.uint32)
     cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
     held = np.flatnonzero(np.diff(cut))
-    own = {"ids": np.where(none, 0, ids).astype(np.int64).tobytes(), "none": none.tobytes(),
+    own = {"ids": ids.tobytes(), "none": none.tobytes(),
            "n": n.tobytes(), "sigs": b"".join(_sig(s) or bytes(16) for s in sets),
            "doc": doc[order].tobytes()}
     rows = [(pack, -1 - pack % 997, None, *own.values())]
@@ -171,7 +171,8 @@ def list_lengths(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(k, n, sig, df) per document, written once."""
     p = partitions(docs)
     bits = min(16, max(6, (2 * p - 1).bit_length()))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    k = F.col(key).cast("long")
+    rows = docs.select(F.coalesce(k, F.lit(0)).alias("k"), k.isNull().alias("none"), F.col(text).alias("t"))
     packed = rows.mapInPandas(_pack(bits), _PACKED)
     counted = packed.repartition(p, "bucket").sortWithinPartitions("bucket").mapInPandas(_count, _PACKED)
     back = counted.repartition(p, "pack").sortWithinPartitions("pack")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import decontam, exact, html, jaccard, language, mixing, secrets, sharding, toxicity
+from graphdyn.llm import decontam, exact, html, jaccard, language, mixing, secrets, sharding, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,8 @@ def op4_html_extraction(spark, sf_dir):
     text = F.concat_ws(" ", F.col(name))
     return html.extract(pages, html.fit(pages), keep=("page_id", "url")).select(
         "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+@_register
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
