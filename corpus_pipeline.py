@@ -1,13 +1,33 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Language ID rejects, of each near-duplicate group one document stays, documents
+with a benchmark passage go, sources are mixed to their target weights, and the
+result is cut into shards. All stages but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphdyn.llm import mixing, sharding
+from graphdyn.llm import decontam, jaccard, language, mixing, sharding
 from graphdyn.session import cut_lineage
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, learned from the labelled rows among them."""
+    return language.accept(docs, language.fit(docs, "text", "lang", "doc_id"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each component of linked documents."""
+    return jaccard.dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixing.mix(docs)
@@ -19,7 +39,10 @@ def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES = [
-    ("mixing", mix_sources),
+    ("language ID", keep_languages),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
     ("sharding", shard_documents),
 ]
 
