@@ -14,7 +14,7 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that ``df`` does not have (Spark ignores case)."""
     taken, out = {c.lower() for c in df.columns}, []
     for base in bases:
-        name = f"_{base}"
+        name = base
         while name.lower() in taken:
             name = "_" + name
         taken.add(name.lower())

@@ -39,7 +39,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphdyn.llm.common import fresh, partitions
@@ -77,17 +77,17 @@ def _pack(bits: int):
         base, seq = TaskContext.get().partitionId() << 32, 0
         for pdf in batches:
             raw, ids = encode(pdf["t"]), pdf["k"].to_numpy(np.int64)
-            none = pdf["none"].to_numpy(bool)
+            none, names = pdf["none"].to_numpy(bool), pdf["name"].tolist()
             for a, b in chunks(raw, PACK):
                 for c in range(a, b, PACK_DOCS):
                     d = min(b, c + PACK_DOCS)
-                    yield _pack_rows(base + seq, ids[c:d], none[c:d], _sets(raw[c:d]), bits)
+                    yield _pack_rows(base + seq, ids[c:d], none[c:d], names[c:d], _sets(raw[c:d]), bits)
                     seq += 1
 
     return run
 
 
-def _pack_rows(pack, ids, none, sets, bits) -> pd.DataFrame:
+def _pack_rows(pack, ids, none, names, sets, bits) -> pd.DataFrame:
     n = np.array([len(s) for s in sets], np.uint32)
     h = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
@@ -97,14 +97,14 @@ def _pack_rows(pack, ids, none, sets, bits) -> pd.DataFrame:
     cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
     held = np.flatnonzero(np.diff(cut))
     own = {"ids": ids.tobytes(), "none": none.tobytes(),
-           "n": n.tobytes(), "sigs": b"".join(_sig(s) or bytes(16) for s in sets),
+           "names": b"".join(names), "n": n.tobytes(), "sigs": b"".join(_sig(s) or bytes(16) for s in sets),
            "doc": doc[order].tobytes()}
     rows = [(pack, -1 - pack % 997, None, *own.values())]
-    rows += [(pack, int(k), low[cut[k]:cut[k + 1]].tobytes(), *[None] * 5) for k in held]
+    rows += [(pack, int(k), low[cut[k]:cut[k + 1]].tobytes(), *[None] * len(own)) for k in held]
     return pd.DataFrame(rows, columns=["pack", "bucket", "data", *own])
 
 
-_PACKED = "pack long, bucket int, data binary, ids binary, none binary, n binary, sigs binary, doc binary"
+_PACKED = "pack long, bucket int, data binary, ids binary, none binary, names binary, n binary, sigs binary, doc binary"
 
 
 def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -147,7 +147,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(k, sig, n, df): the list length of each shingle, in order of hash, or null if too few are shared."""
+    """(k, name, sig, n, df): the list length of each shingle, in order of hash, or null if too few are shared."""
     for rows in _runs(batches, ["pack"]):
         rows = rows.sort_values("bucket")
         own = rows.iloc[0]
@@ -161,22 +161,27 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = pd.array(np.frombuffer(own["ids"], np.int64), dtype="Int64")
         ids[np.frombuffer(own["none"], bool)] = pd.NA
         yield pd.DataFrame({
-            "k": ids, "n": n,
+            "k": ids, "name": [own["names"][16 * i: 16 * i + 16] for i in range(len(n))], "n": n,
             "sig": [own["sigs"][16 * i: 16 * i + 16] if n[i] else None for i in range(len(n))],
             "df": [df[end[i] - n[i]: end[i]].tobytes() if n[i] and 5 * shared[i] >= 4 * n[i] else None
                    for i in range(len(n))]})
 
 
+def _name(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def list_lengths(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(k, n, sig, df) per document, written once."""
+    """(k, name, n, sig, df) per document, written once; the name is the text's md5."""
     p = partitions(docs)
     bits = min(16, max(6, (2 * p - 1).bit_length()))
     k = F.col(key).cast("long")
-    rows = docs.select(F.coalesce(k, F.lit(0)).alias("k"), k.isNull().alias("none"), F.col(text).alias("t"))
+    rows = docs.select(F.coalesce(k, F.lit(0)).alias("k"), k.isNull().alias("none"), F.col(text).alias("t"),
+                       _name(text).alias("name"))
     packed = rows.mapInPandas(_pack(bits), _PACKED)
     counted = packed.repartition(p, "bucket").sortWithinPartitions("bucket").mapInPandas(_count, _PACKED)
     back = counted.repartition(p, "pack").sortWithinPartitions("pack")
-    return cut_lineage(back.mapInPandas(_unpack, "k long, n long, sig binary, df binary"))
+    return cut_lineage(back.mapInPandas(_unpack, "k long, name binary, n long, sig binary, df binary"))
 
 
 # --- 2. and 3. classes and their short lists -------------------------------
@@ -291,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_link(a: str, b: str) -> F.Column:
+def _may_link(a: str, b: str) -> Column:
     """Size, shared-shingle and position bounds for a pair that meets at positions pos."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = F.ceil(4 * (n + m) / F.lit(9))
@@ -329,8 +334,8 @@ def class_links(classes: DataFrame) -> DataFrame:
     return links.unionByName(_links(pairs.join(tried, ["q", "x"], "left_anti"), classes))
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id), one row per document."""
+def _classed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(k, name, n, c): key, text's md5, set size and component, one row per document."""
     lengths = list_lengths(docs, text, key)
     classes = _searchable(docs, lengths, text, key)
     label = components(class_links(classes))
@@ -341,25 +346,36 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     found = cut_lineage(named.join(least, "label").select(F.col("sig").alias("s"), "least"))
     out = lengths.join(found, F.col("sig") == F.col("s"), "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k")).alias("component_id"))
+    return out.select("k", "name", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k")).alias("c"))
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id), one row per document."""
+    return _classed(docs, text, key).select(
+        F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that with the smallest key.
 
-    Documents without words all stay. Rows that repeat the key that stays are
-    folded into one per text.
+    Documents without words all stay. Of rows that repeat a key that stays, and
+    of null keys in a component without others, one row stays.
     """
-    out = cut_lineage(join(docs, text, key).withColumnRenamed("component_id", "c"))
-    gone = F.coalesce(F.col(key) != F.col("c"), F.col("c").isNotNull())
-    drop, = fresh(docs, "drop")
-    lost = cut_lineage(out.filter(gone).select(F.col(key).alias(drop)).distinct())
-    kept = docs.join(lost, F.col(key).eqNullSafe(F.col(drop)), "left_anti")
-    again = cut_lineage(out.filter(~gone & (F.col("n_shingles") > 0)).groupBy(F.col(key).alias(drop)).count()
-                        .filter("count > 1").select(drop))
+    out = cut_lineage(_classed(docs, text, key))
+    here, own = F.col(key), _name(text)
+    first, k, name = fresh(docs, "first", "k", "name")
+    stays = F.col("k").eqNullSafe(F.col("c"))
+    # of the texts under the key that stays, that of the smallest md5
+    heads = out.filter(stays & (F.col("n") > 0)).groupBy("c").agg(F.min("name").alias("m"), F.count("*").alias("r"))
+    heads = cut_lineage(heads.withColumnRenamed("c", "c2"))
+    marked = out.join(heads, F.col("c").eqNullSafe(F.col("c2")), "left")
+    gone = (F.col("n") > 0) & ~(stays & (F.col("name") == F.col("m")))
+    lost = cut_lineage(marked.filter(gone).select(F.col("k").alias(k), F.col("name").alias(name)).distinct())
+    kept = docs.join(lost, here.cast("long").eqNullSafe(F.col(k)) & (own == F.col(name)), "left_anti")
+    again = cut_lineage(marked.filter(~gone & (F.col("r") > 1)).groupBy("k", "name").count()
+                        .filter("count > 1").select(F.col("k").alias(k), F.col("name").alias(name)))
     if again.isEmpty():
         return kept
-    same = F.col(key).eqNullSafe(F.col(drop))
+    same = here.cast("long").eqNullSafe(F.col(k)) & (own == F.col(name))
     return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates([key, text]))
+        kept.join(again, same, "left_semi").withColumn(first, own).dropDuplicates([key, first]).drop(first))
