@@ -93,7 +93,7 @@ def group_from_path(path, labels=("AD", "HC"), depth: int = 1) -> Column:
     return F.coalesce(*found)
 
 
-# -- labels and verdicts ----------------------------------------------------
+# -- labels and verdicts (fixed values: words and thresholds) ----------------------------------------------------
 
 def significance_stars(p) -> Column:
     p = _c(p)

@@ -1,6 +1,6 @@
 """Similarity of graphs, and of subjects to a consensus.
 
-Two edge tables are aligned by an equi-join on (i, j); all metrics of a pair
+Two edge tables are aligned by a full equi-join on (i, j); all metrics of a pair
 of graphs then come from one aggregation over the aligned weights a and b.
 """
 
@@ -20,11 +20,23 @@ from graphdyn.session import sized
 def align(left: DataFrame, right: DataFrame, keys=(), a: str = "w", b: str = "w") -> DataFrame:
     """Edges of two graph tables side by side: left columns, weights ``a`` and ``b``.
 
-    ``keys`` are extra join columns beside (i, j), e.g. the group.
+    ``keys`` are extra join columns beside (i, j), e.g. the group. An edge that
+    one side lacks has weight 0 there; a left graph whose keys occur on the right
+    gets all edges of that right graph.
     """
-    l = left.withColumnRenamed(a, "a")
+    own = [c for c in left.columns if c not in ("i", "j", a)]
+    l = left.select(*own, "i", "j", F.col(a).alias("a"))
     r = right.select(*keys, "i", "j", F.col(b).alias("b"))
-    return l.join(r, [*keys, "i", "j"])
+    if own:
+        graphs = left.select(*own).distinct()
+        if keys:
+            r = graphs.join(r, list(keys))
+        else:  # one graph for all, bounded by the montage
+            packed = r.agg(F.collect_list(F.struct("i", "j", "b")).alias("e"))
+            r = graphs.select(*own, F.inline(packed.scalar()))
+    elif keys:
+        raise ValueError("keys must be columns of the left table")
+    return l.join(r, [*own, "i", "j"], "full").fillna(0.0, ["a", "b"])
 
 
 def average_rank(keys, value: str) -> Column:

@@ -14,89 +14,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num
+from graphdyn.operators.prep import checked_channels
 
 _PARTIAL = ("subject_id string, grp string, n bigint, ci array<int>, cj array<int>,"
             " mi array<double>, mj array<double>, cij array<double>,"
             " cii array<double>, cjj array<double>")
-_OPEN_SUBJECTS = 32  # partial states a task holds before it emits them
+#: Samples of one subject that are folded into one partial state.
+BLOCK = 1024
 
 
 def to_frames(signals: DataFrame, n_channels: int) -> DataFrame:
-    """Long samples to one dense vector per (subject, t); absent cells are 0."""
-    cells = F.map_from_entries(F.collect_list(F.struct("channel", "value")))
-    return (
-        signals.groupBy("subject_id", "grp", "t").agg(cells.alias("m"))
-        .select("subject_id", "grp", "t", F.transform(
-            F.sequence(F.lit(0), F.lit(n_channels - 1)),
-            lambda c: nan_to_num(F.coalesce(F.element_at("m", c), F.lit(0.0)))).alias("x"))
-    )
-
-
-class _Comoments:
-    """Mergeable count, mean and centred co-moment matrix of one subject."""
-
-    __slots__ = ("n", "mean", "c")
-
-    def __init__(self, x: np.ndarray):
-        self.n = len(x)
-        self.mean = x.mean(axis=0)
-        d = x - self.mean
-        self.c = d.T @ d
-
-    def merge(self, other: "_Comoments") -> None:
-        n = self.n + other.n
-        gap = other.mean - self.mean
-        self.c += other.c + np.outer(gap, gap) * (self.n * other.n / n)
-        self.mean += gap * (other.n / n)
-        self.n = n
-
-
-def _emit(states: dict) -> pd.DataFrame:
-    rows = []
-    for (subject, grp), s in states.items():
-        i, j = np.triu_indices(len(s.mean), 1)
-        var = np.diag(s.c)
-        rows.append((subject, grp, s.n, i.astype(np.int32), j.astype(np.int32), s.mean[i],
-                     s.mean[j], s.c[i, j], var[i], var[j]))
-    return pd.DataFrame(rows, columns=["subject_id", "grp", "n", "ci", "cj", "mi", "mj", "cij",
-                                       "cii", "cjj"])
+    """Long samples to blocks (subject, block, cells) of ``BLOCK`` samples; absent cells are 0.
+
+    A channel outside 0..n_channels-1 is an error.
+    """
+    known = checked_channels(signals, n_channels)
+    cell = F.struct((F.col("t") % BLOCK).cast("int").alias("o"), F.col("channel").cast("int").alias("c"),
+                    nan_to_num("value").alias("v"))
+    return known.groupBy("subject_id", "grp", F.floor(F.col("t") / BLOCK).alias("block")).agg(
+        F.collect_list(cell).alias("cells"), F.lit(n_channels).alias("n_channels"))
+
+
+def _comoments(x: np.ndarray) -> tuple:
+    """Count, means and centred co-moments of every channel pair of a block of samples."""
+    n, mean = len(x), x.mean(axis=0)
+    d = x - mean
+    c = d.T @ d
+    i, j = np.triu_indices(len(mean), 1)
+    var = np.diag(c)
+    return n, i.astype(np.int32), j.astype(np.int32), mean[i], mean[j], c[i, j], var[i], var[j]
 
 
 def _partial_comoments(batches):
-    states: dict = {}
+    """One row per block, whatever else the task holds."""
     for pdf in batches:
-        for key, part in pdf.groupby(["subject_id", "grp"], sort=False):
-            block = _Comoments(np.stack(part["x"].to_numpy()))
-            if key in states:
-                states[key].merge(block)
+        rows = []
+        for row in pdf.itertuples(index=False):
+            if hasattr(row, "cells"):
+                o = np.array([c["o"] for c in row.cells])
+                seen, at = np.unique(o, return_inverse=True)
+                x = np.zeros((len(seen), row.n_channels))
+                x[at, [c["c"] for c in row.cells]] = [c["v"] for c in row.cells]
             else:
-                states[key] = block
-        if len(states) > _OPEN_SUBJECTS:
-            yield _emit(states)
-            states = {}
-    if states:
-        yield _emit(states)
+                x = np.stack(row.x)
+            rows.append((row.subject_id, row.grp, *_comoments(x)))
+        yield pd.DataFrame(rows, columns=["subject_id", "grp", "n", "ci", "cj", "mi", "mj", "cij",
+                                          "cii", "cjj"])
+
+
+def block_moments(frames: DataFrame) -> DataFrame:
+    """One partial state per (subject, block) of frames: arrays over the channel pairs."""
+    if "cells" not in frames.columns:
+        frames = frames.groupBy("subject_id", "grp", F.floor(F.col("t") / BLOCK).alias("block")).agg(
+            F.collect_list("x").alias("x"))
+    return frames.drop("block").mapInPandas(_partial_comoments, _PARTIAL)
 
 
 def pair_moments(frames: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Centred second-order sums of every channel pair (i < j) per subject.
 
-    Columns n, mi, mj, cij, cii, cjj. Each task folds its frames into centred
-    co-moments, so what is shuffled is n(n-1)/2 rows per (subject, task)
-    whatever the recording length, and no per-sample pair is ever emitted. The
-    merge re-centres the task results on the overall mean before it adds them,
-    so a large offset costs no precision.
+    Columns n, mi, mj, cij, cii, cjj. Samples are gathered in blocks of
+    ``BLOCK`` per subject, each folded into centred co-moments: one shuffle of
+    the samples and one of n(n-1)/2 rows per block, however many subjects there
+    are; no per-sample pair is ever emitted. The merge re-centres the blocks on
+    the overall mean before it adds them, so a large offset costs no precision.
+
+    ``frames`` has (subject_id, grp, t, x array) or the blocks of ``to_frames``.
 
     ``lengths`` (subject_id, n_samples) counts the samples of sparse
     recordings: a sample without any cell is an all-zero frame.
     """
-    partial = frames.select("subject_id", "grp", "x").mapInPandas(_partial_comoments, _PARTIAL)
+    partial = block_moments(frames)
     key = ["subject_id", "grp", "i", "j"]
     rows = partial.select(
         "subject_id", "grp", "n",
         F.inline(F.arrays_zip("ci", "cj", "mi", "mj", "cij", "cii", "cjj"))) \
         .withColumnsRenamed({"ci": "i", "cj": "j"})
-    # one row per task and pair; the aggregation below reuses this partitioning
+    # one row per block and pair; the aggregation below reuses this partitioning
     whole = Window.partitionBy(*key)
     n = F.col("n")
     total = F.sum("n").over(whole)

@@ -18,7 +18,7 @@ def consensus_direct(edges: DataFrame, sparsity: float | None = 0.15,
     dense = (edges.groupBy(by, "i", "j")
              .agg(F.abs(fisher_z_inv(F.avg(fisher_z("w")))).alias("w_full")))
     if sparsity is None or sparsity >= 1:
-        return dense.select(by, "i", "j", F.lit(1.0).alias("c"),
+        return dense.select(by, "i", "j", (F.col("w_full") > 0).cast("double").alias("c"),
                             F.col("w_full").alias("w"), "w_full")
     kept = dense.withColumn("keep", keep_flag("proportional", [by], "w_full", sparsity))
     w = F.when(F.col("keep"), F.col("w_full")).otherwise(0.0)

@@ -1,4 +1,4 @@
-"""GP-VAR models from lag moments: fit, stability, scores, selection.
+"""graph autoregression models from lag moments: fit, stability, scores, selection.
 
 Everything here works on model-sized rows, one per (subject, scope, order).
 The small dense systems are solved row by row inside Arrow batches.

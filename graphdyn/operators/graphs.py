@@ -8,8 +8,6 @@ the square of the channel count.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -132,9 +130,15 @@ def laplacian_normalised(matrix: DataFrame, by: str = "grp") -> DataFrame:
     given = (tagged.filter("is_laplacian").select(by, "i", "j", "v").groupBy(by)
              .applyInPandas(_normalise_given_laplacian(by),
                             f"{by} string, i int, j int, v double"))
-    pairs = tagged.filter(~F.col("is_laplacian") & (F.col("i") < F.col("j"))) \
-        .select(by, "i", "j", F.col("v").alias("w"))
-    return normalised_from_edges(pairs, by).unionByName(given)
+    cells = tagged.filter(~F.col("is_laplacian")).select(
+        by, "i", "j", F.greatest("v", F.lit(0.0)).alias("a"))
+    # the degree of an adjacency-like matrix holds its diagonal
+    deg = cells.groupBy(by, "i").agg(F.greatest(F.sum("a"), F.lit(DEGREE_FLOOR)).alias("di"))
+    other = deg.select(by, F.col("i").alias("j"), F.col("di").alias("dj"))
+    own = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    built = cells.join(deg, [by, "i"]).join(other, [by, "j"]).select(
+        by, "i", "j", (own - F.col("a") / F.sqrt(F.col("di") * F.col("dj"))).alias("v"))
+    return built.unionByName(given)
 
 
 def graph_fourier_basis(lap: DataFrame, by: str = "grp") -> DataFrame:
@@ -179,39 +183,55 @@ def spectrum_summary(basis: DataFrame, by: str = "grp") -> DataFrame:
 
 # -- paths, components, clustering ------------------------------------------
 
-def all_pairs(edges: DataFrame, n_nodes: int, by: str = "grp", w: str = "w",
-              length: str = "weight") -> DataFrame:
+def all_pairs(edges: DataFrame, by: str = "grp", w: str = "w", length: str = "weight") -> DataFrame:
     """Shortest length and hop count of every connected ordered pair.
 
-    Doubles the allowed hops per round, so ceil(log2(n)) self joins reach the
-    fixpoint for any graph on ``n_nodes`` nodes; each round is written out, as
-    the next one reads it twice.
+    Each round extends the pairs that improved by one edge, until none does:
+    nodes x edges rows a round at most, no number of nodes is asked for. Each
+    round is written out, as the next one reads it twice.
     ``length`` is ``weight`` (the weight is the length) or ``inverse``.
     """
     cost = F.col("w") if length == "weight" else 1 / F.col("w")
-    arcs = both_ways(edges, by, w)
-    one = arcs.filter("w > 0").select(by, "i", "j", cost.alias("d"), F.lit(1).alias("h"))
-    own = arcs.select(by, "i", F.col("i").alias("j"), F.lit(0.0).alias("d"),
-                      F.lit(0).alias("h")).distinct()
-    dist = cut_lineage(one.unionByName(own))
-    for _ in range(max(1, math.ceil(math.log2(max(2, n_nodes - 1))))):
-        left = dist.select(by, "i", F.col("j").alias("k"), F.col("d").alias("d1"),
-                           F.col("h").alias("h1"))
-        right = dist.select(by, F.col("i").alias("k"), "j", F.col("d").alias("d2"),
-                            F.col("h").alias("h2"))
-        dist = cut_lineage(left.join(right, [by, "k"]).groupBy(by, "i", "j").agg(
-            F.min(F.col("d1") + F.col("d2")).alias("d"),
-            F.min(F.col("h1") + F.col("h2")).alias("h")))
-    return dist
-
-
-def components(pairs: DataFrame, by: str = "grp") -> DataFrame:
-    """Component label of every node: the smallest node it can reach."""
-    return pairs.groupBy(by, F.col("i").alias("node")).agg(F.min("j").alias("component"))
-
-
-def component_summary(pairs: DataFrame, by: str = "grp") -> DataFrame:
-    sizes = components(pairs, by).groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"))
+    both = both_ways(edges, by, w)
+    arcs = cut_lineage(both.filter("w > 0").select(by, F.col("i").alias("k"), "j", cost.alias("c")))
+    one = arcs.select(by, F.col("k").alias("i"), "j", F.col("c").alias("d"), F.lit(1).alias("h"))
+    own = both.select(by, "i", F.col("i").alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("h")).distinct()
+    dist = cut_lineage(one.unionByName(own).withColumn("better", F.col("i") != F.col("j")))
+    while True:
+        grown = (dist.filter("better").select(by, "i", F.col("j").alias("k"), "d", "h").join(arcs, [by, "k"])
+                 .groupBy(by, "i", "j").agg(F.min(F.col("d") + F.col("c")).alias("d2"),
+                                            (F.min("h") + 1).alias("h2")))
+        dist = cut_lineage(dist.drop("better").join(grown, [by, "i", "j"], "full").select(
+            by, "i", "j", F.least("d", "d2").alias("d"), F.least("h", "h2").alias("h"),
+            F.coalesce((F.col("d2") < F.col("d")) | (F.col("h2") < F.col("h")), F.col("d").isNull())
+            .alias("better")))
+        if dist.filter("better").isEmpty():
+            return dist.drop("better")
+
+
+def components(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
+    """Component label of every node: the smallest node it can reach over edges of positive weight.
+
+    Labels spread along edges and are then replaced by their own labels, until
+    nothing changes; each round is written out.
+    """
+    both = cut_lineage(both_ways(edges, by, w).select(by, "i", "j", "w"))
+    arcs = both.filter("w > 0")
+    lab = cut_lineage(both.select(by, F.col("i").alias("node"), F.col("i").alias("component")).distinct())
+    while True:
+        far = lab.select(by, F.col("node").alias("j"), F.col("component").alias("c"))
+        near = arcs.join(far, [by, "j"]).groupBy(by, F.col("i").alias("node")).agg(F.min("c").alias("c"))
+        new = lab.join(near, [by, "node"], "left").select(
+            by, "node", F.col("component").alias("old"), F.least("component", "c").alias("c"))
+        up = new.select(by, F.col("node").alias("c"), F.col("c").alias("c2"))
+        new = cut_lineage(new.join(up, [by, "c"]).select(by, "node", "old", F.col("c2").alias("component")))
+        lab = new.drop("old")
+        if new.filter("old <> component").isEmpty():
+            return lab
+
+
+def component_summary(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
+    sizes = components(edges, by, w).groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy(by).agg(
         F.count(F.lit(1)).alias("component_count"), F.max("size").alias("largest_size"),
         (F.max("size") / F.sum("size")).alias("largest_fraction"))
@@ -219,7 +239,7 @@ def component_summary(pairs: DataFrame, by: str = "grp") -> DataFrame:
 
 def avg_shortest_path(pairs: DataFrame, by: str = "grp") -> DataFrame:
     """Mean length over ordered pairs of the largest component (lowest label on ties)."""
-    lab = components(pairs, by)
+    lab = pairs.groupBy(by, F.col("i").alias("node")).agg(F.min("j").alias("component"))
     sizes = lab.groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"))
     giant = sizes.groupBy(by).agg(F.max_by(
         "component", F.struct("size", (-F.col("component")).alias("k"))).alias("component"))
@@ -242,7 +262,7 @@ def weight_rows(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
 def clustering_weighted(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
     """Clustering per node: geometric mean of the triangle weights over max w.
 
-    Triangles are counted edge by edge: for the edge (i, j) the weight rows of
+    Undefined (NULL) in a graph without edges. Triangles are counted edge by edge: for the edge (i, j) the weight rows of
     its two ends are combined, so no wedge list is ever produced.
     """
     rows = weight_rows(edges, by, w)
@@ -257,8 +277,8 @@ def clustering_weighted(edges: DataFrame, by: str = "grp", w: str = "w") -> Data
     nodes = rows.select(by, F.col("i"))
     k = F.col("k")
     return (nodes.join(tri, [by, "i"], "left").join(top, by)
-            .select(by, F.col("i").alias("node"), F.coalesce(
-                F.when(k > 1, F.col("t") / F.col("_top") / (k * (k - 1))), F.lit(0.0))
+            .select(by, F.col("i").alias("node"), F.when(F.col("_top") > 0, F.coalesce(
+                F.when(k > 1, F.col("t") / F.col("_top") / (k * (k - 1))), F.lit(0.0)))
                 .alias("clustering")))
 
 
@@ -286,17 +306,17 @@ def small_world_index(edges: DataFrame, pairs: DataFrame, by: str = "grp",
                     F.when((F.col("n") >= 4) & (F.col("k") > 1), sigma).alias("sigma")))
 
 
-def graph_summary(cons: DataFrame, n_nodes: int, by: str = "grp") -> DataFrame:
+def graph_summary(cons: DataFrame, by: str = "grp") -> DataFrame:
     """One row of metrics per group over the columns c and g."""
     cons = cut_lineage(cons.select(by, "i", "j", "c", "g"))
-    pairs = all_pairs(cons, n_nodes, by, "g")
+    pairs = all_pairs(cons, by, "g")
     basis = graph_fourier_basis(laplacian(cons, by, "g"), by)
     world = small_world_index(cons, pairs, by, "g").select(
         by, F.col("sigma").alias("small_world_sigma"))
     parts = [
         degree_summary(cons, by, "g"), average_clustering(cons, by, "g"),
         avg_shortest_path(pairs, by).select(by, "path_length"), world,
-        component_summary(pairs, by), spectrum_summary(basis, by)]
+        component_summary(cons, by, "g"), spectrum_summary(basis, by)]
     out = edge_density(cons, by)
     for p in parts:
         out = out.join(p, by, "left")

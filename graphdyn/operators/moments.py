@@ -1,4 +1,4 @@
-"""Pane blocks and lag moments: the sufficient statistics of a GP-VAR model.
+"""Pane blocks and lag moments: the sufficient statistics of a graph autoregression model.
 
 A model predicts x[t] from L^k x[t-p], p = 1..P, k = 0..K. All it needs is
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num, zscore_value
-from graphdyn.operators.prep import halo_panes
+from graphdyn.operators.prep import checked_channels, halo_panes
 from graphdyn.schema import SD_FLOOR, Z_CLIP
 from graphdyn.session import sized
 
@@ -70,7 +70,7 @@ def recording_stats(signals: DataFrame, n_channels: int, span: Column | None = N
 
 def _channel_arrays(per: DataFrame, n_channels: int) -> DataFrame:
     """Rows per channel to arrays over channels 0..n-1."""
-    packed = per.groupBy(*KEY, "n_samples").agg(F.map_from_entries(F.collect_list(F.struct(
+    packed = checked_channels(per, n_channels).groupBy(*KEY, "n_samples").agg(F.map_from_entries(F.collect_list(F.struct(
         "channel", F.struct("mu", "sd").alias("s")))).alias("s"))
     ids = F.sequence(F.lit(0), F.lit(n_channels - 1))
 
@@ -301,7 +301,7 @@ def scope_moments(parts: DataFrame, pane: int, length: int, step: int, extra=())
     return sum_moments(spread.filter(used), [*KEY, *extra, "window_idx", "P"])
 
 
-def gpvar_moments(signals: DataFrame, basis: DataFrame, n_channels: int, *, orders, k_max: int,
+def graph_var_moments(signals: DataFrame, basis: DataFrame, n_channels: int, *, orders, k_max: int,
                   p_max: int, length: int, step: int, by: str | None = None,
                   stats: DataFrame | None = None, standardise: bool = True) -> DataFrame:
     """Whole-recording and window moments of a cohort in one pass over the samples."""
@@ -336,7 +336,7 @@ def graph_fourier_transform(signals: DataFrame, basis: DataFrame, n_channels: in
     return vec.select(*KEY, "t", F.posexplode("s").alias("mode", "s"))
 
 
-def gpvar_features(signals: DataFrame, basis: DataFrame, n_channels: int, P: int, K: int, *,
+def graph_var_features(signals: DataFrame, basis: DataFrame, n_channels: int, P: int, K: int, *,
                    pane: int = 1024, by: str | None = None,
                    stats: DataFrame | None = None) -> DataFrame:
     """Design rows: target y = x[t, channel] and f[(p-1)(K+1)+k] = (L^k x[t-p])[channel]."""

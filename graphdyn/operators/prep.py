@@ -20,8 +20,19 @@ def recording_lengths(signals: DataFrame) -> DataFrame:
     return signals.groupBy("subject_id").agg((F.max("t") + 1).alias("n_samples"))
 
 
+def checked_channels(signals: DataFrame, n_channels: int) -> DataFrame:
+    """``signals``, failing on a channel outside 0..n_channels-1.
+
+    ``plans.cohort.channel_compatibility`` rejects such recordings beforehand.
+    """
+    c = F.col("channel")
+    stray = F.raise_error(F.concat(F.lit(f"channel outside 0..{n_channels - 1}: "), c.cast("string")))
+    return signals.withColumn("channel", F.when((c >= 0) & (c < n_channels), c).otherwise(
+        stray.cast("int")))
+
+
 def dense_grid(signals: DataFrame, n_channels: int, pane: int = 4096) -> DataFrame:
-    """Every (subject, channel, t) cell present; gaps are 0.
+    """Every (subject, channel, t) cell present; gaps are 0, stray channels an error.
 
     The skeleton grows pane by pane: a subject is first split into panes and
     spread over the tasks, so a long recording is not expanded in one place.
@@ -32,7 +43,8 @@ def dense_grid(signals: DataFrame, n_channels: int, pane: int = 4096) -> DataFra
     cells = panes.select(*KEY, F.explode(F.sequence(
         F.col("p") * pane, F.least((F.col("p") + 1) * pane, F.col("n_samples")) - 1)).alias("t")).select(
         *KEY, "t", F.explode(F.sequence(F.lit(0), F.lit(n_channels - 1))).alias("channel"))
-    return (cells.join(signals.select("subject_id", "channel", "t", "value"),
+    known = checked_channels(signals, n_channels)
+    return (cells.join(known.select("subject_id", "channel", "t", "value"),
                        ["subject_id", "channel", "t"], "left")
             .select(*KEY, "channel", "t", nan_to_num(F.col("value")).alias("value")))
 

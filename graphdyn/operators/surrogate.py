@@ -15,20 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num
-from graphdyn.operators.gpvar import fit_models, lti_models, tv_models
+from graphdyn.operators.graph_var import fit_models, lti_models, tv_models
 from graphdyn.operators.moments import (
     KEY, block_length, pane_moments, recording_stats, scope_moments, with_context)
-from graphdyn.operators.transfer import global_msd, paired_surface
+from graphdyn.operators.transfer import mean_msd, paired_models, pass_msd, surface_pass
 from graphdyn.schema import SD_FLOOR, Z_CLIP
 from graphdyn.session import cut_lineage, spread
 
 
 def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_surrogates: int, pane: int,
-                     halo: int, chunk: int = 4096, seed: int = 0) -> DataFrame:
+                     halo: int, chunk: int = 4096, seed: int = 0,
+                     shift=None) -> DataFrame:
     """Standardised, circularly shifted panes: (keys, surrogate, pane, cells).
 
-    Each channel of each surrogate moves by a hash of (seed, surrogate,
-    subject, channel) modulo its length. A chunk of samples is cut into the
+    Each channel of each surrogate moves by ``shift`` modulo its length: a
+    function of the columns (surrogate, channel), by default a hash of (seed,
+    surrogate, subject, channel). A chunk of samples is cut into the
     pieces that land in each pane; a pane collects one or two per channel.
     """
     own = F.floor(F.col("t") / chunk)
@@ -42,10 +44,12 @@ def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_surrogates: int, pa
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"),
                                       F.floor((F.col("n_samples") - 1) / chunk))))
     full = skeleton.join(chunks, [*KEY, "channel", "chunk"], "left")
+    def drawn(s, channel):
+        return F.xxhash64(F.lit(seed), s, F.col("subject_id"), channel)
+
     shifts = F.transform(
         F.sequence(F.lit(1), F.lit(n_surrogates)),
-        lambda s: F.pmod(F.xxhash64(F.lit(seed), s, F.col("subject_id"), F.col("channel")),
-                         F.col("n_samples")))
+        lambda s: F.pmod((shift or drawn)(s, F.col("channel")).cast("long"), F.col("n_samples")))
     ready = full.select(*KEY, "channel", "chunk", "n_samples", F.col("s.mu").alias("mu"),
                         F.col("s.sd").alias("sd"), F.col("cells.o").alias("o"),
                         F.col("cells.v").alias("v"), shifts.alias("shifts"))
@@ -88,28 +92,38 @@ def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_surrogates: int, pa
         F.collect_list(F.struct("c", "o", "v")).alias("cells"))
 
 
-def surrogate_null(signals: DataFrame, basis: DataFrame, n_channels: int, *, P: int, K: int,
-                   length: int, step: int, n_surrogates: int = 200, seed: int = 0,
-                   min_windows: int = 5, rho_lti: float = 1.0, rho_tv: float = 0.99,
-                   n_omega: int = 128, guard: str = "add") -> DataFrame:
+def surrogate_null(signals: DataFrame, basis: DataFrame, n_channels: int, *, P: int | None = None,
+                   K: int | None = None, orders: DataFrame | None = None, p_max: int | None = None,
+                   k_max: int | None = None, length: int, step: int, n_surrogates: int = 200,
+                   seed: int = 0, min_windows: int = 5, rho_lti: float = 1.0, rho_tv: float = 0.99,
+                   n_omega: int = 128, guard: str = "add", shift=None) -> DataFrame:
     """Null distribution of the global MSD: (subject_id, grp, surrogate, global_msd).
 
-    Unstable surrogates and those with too few stable windows are left out.
+    Either one P and K for all, or ``orders`` (subject_id, P, K) with the largest
+    values ``p_max`` and ``k_max`` among them. Unstable surrogates and those
+    with too few stable windows are left out.
     """
+    if (orders is None) != (P is not None and K is not None):
+        raise ValueError("give either P and K or a table of orders")
+    if orders is None:
+        p_max, k_max, lists = P, K, F.array(F.lit(P))
+    else:
+        lists = orders.select("subject_id", F.array("P").alias("orders"))
     pane = math.gcd(length, step)
     stats = recording_stats(signals, n_channels)
     block = block_length(pane)
-    blocks = surrogate_blocks(signals, stats, n_surrogates, block, P, seed=seed)
-    ready = with_context(blocks, stats, basis, block, P, F.array(F.lit(P)),
-                         extra=("surrogate",), complete=True)
-    parts = pane_moments(ready, K, pane, standardise=False, extra=("surrogate",))
+    blocks = surrogate_blocks(signals, stats, n_surrogates, block, p_max, seed=seed, shift=shift)
+    ready = with_context(blocks, stats, basis, block, p_max, lists, extra=("surrogate",), complete=True)
+    parts = pane_moments(ready, k_max, pane, standardise=False, extra=("surrogate",))
     moments = scope_moments(parts, pane, length, step, extra=("surrogate",))
-    models = cut_lineage(fit_models(moments.withColumn("K", F.lit(K)), basis,
-                                    extra=("surrogate",)))
-    paired = paired_surface(
-        tv_models(models, length, step, rho_tv), lti_models(models, rho_lti), basis,
-        n_omega=n_omega, guard=guard, p_max=P, extra=("surrogate",))
-    return global_msd(paired, extra=("surrogate",)).filter(F.col("n_windows") >= min_windows)
+    moments = moments.withColumn("K", F.lit(K)) if orders is None else moments.join(
+        orders.select("subject_id", "K"), "subject_id")
+    models = cut_lineage(fit_models(moments, basis, extra=("surrogate",)))
+    rows = paired_models(tv_models(models, length, step, rho_tv), lti_models(models, rho_lti), basis,
+                         extra=("surrogate",))
+    parts = surface_pass(rows, n_omega=n_omega, guard=guard, extra=("surrogate",), surface=False)
+    return mean_msd(pass_msd(parts, ("surrogate",)), ("surrogate",)).filter(
+        F.col("n_windows") >= min_windows)
 
 
 def tv_test(null: DataFrame, observed: DataFrame, outside: DataFrame, *, alpha: float = 0.05,

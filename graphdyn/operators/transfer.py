@@ -1,18 +1,22 @@
 """Transfer functions G(omega, lambda) and their comparison over windows.
 
-A model row is expanded to its surface by two generators and reduced again in
-the same stage, so surfaces are pipelined through the aggregation and only
-partial results are shuffled. The whole-recording model travels next to each
-window model on the model-sized row, which replaces a surface-sized join.
+Whole analyses evaluate a model row as arrays (``surface_pass``) and keep one
+distance per window and mergeable sums per cell, so no surface is ever a table.
+Where the surface itself is the result, a model row is expanded by two
+generators and reduced again in the same stage. The whole-recording model
+travels next to each window model on the model-sized row, which replaces a
+surface-sized join.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import with_freq_grid
-from graphdyn.operators.gpvar import with_lambdas
+from graphdyn.operators.graph_var import with_lambdas
 from graphdyn.operators.moments import KEY
 from graphdyn.session import sized, spread
 
@@ -103,6 +107,15 @@ def transfer_function(models: DataFrame, basis: DataFrame, *, n_omega: int = 128
         F.when(finite, F.atan2(-im, re)).alias("phase"))
 
 
+def paired_models(tv: DataFrame, lti: DataFrame, basis: DataFrame, by: str | None = None,
+                  extra=()) -> DataFrame:
+    """Each window model beside its whole-recording model (h0, P0, K0) and the eigenvalues."""
+    key = [*KEY, *extra]
+    one = sized(lti.select(*key, F.col("h").alias("h0"), F.col("P").alias("P0"),
+                           F.col("K").alias("K0")))
+    return with_lambdas(tv.select(*key, "window_idx", "h", "P", "K").join(one, key), basis, by)
+
+
 def paired_surface(tv: DataFrame, lti: DataFrame, basis: DataFrame, *, n_omega: int = 128,
                    fs: float = 100.0, guard: str = "add", p_max: int = 20,
                    by: str | None = None, extra=()) -> DataFrame:
@@ -112,9 +125,7 @@ def paired_surface(tv: DataFrame, lti: DataFrame, basis: DataFrame, *, n_omega:
     produced from the same row.
     """
     key = [*KEY, *extra]
-    one = sized(lti.select(*key, F.col("h").alias("h0"), F.col("P").alias("P0"),
-                           F.col("K").alias("K0")))
-    rows = with_lambdas(tv.select(*key, "window_idx", "h", "P", "K").join(one, key), basis, by)
+    rows = paired_models(tv, lti, basis, by, extra)
     cells = _expand(rows, [*key, "window_idx"],
                     {"w": _taps("h", "P", "K"), "l": _taps("h0", "P0", "K0")},
                     n_omega, fs, p_max, guard)
@@ -124,6 +135,96 @@ def paired_surface(tv: DataFrame, lti: DataFrame, basis: DataFrame, *, n_omega:
           for n, g in (("w", "g_tv"), ("l", "g_lti"))])
 
 
+def gains(h, P: int, K: int, lam, omega, guard: str):
+    """|G| of one model on the grid (omega, mode) as an array; NaN exactly at a pole."""
+    taps = np.vander(lam, K + 1, increasing=True) @ np.reshape(h, (P, K + 1)).T
+    den = 1 - np.exp(-1j * np.outer(omega, np.arange(1, P + 1))) @ taps.T
+    size = np.abs(den)
+    if guard == "add":
+        size = np.where(size < 1e-3, np.abs(den + 1e-3), size)
+    elif guard == "rescale":
+        size = np.where(size < 1e-3, size * (1e-3 / (size + 1e-10)), size)
+    elif guard not in {"fail", "none"}:
+        raise ValueError(f"unknown guard {guard!r}")
+    return np.divide(1.0, size, out=np.full(size.shape, np.nan), where=size > 0)
+
+
+def surface_pass(rows: DataFrame, *, n_omega: int = 128, guard: str = "add", extra=(),
+                 surface: bool = True) -> DataFrame:
+    """One pass over model rows (``paired_models``), evaluated as arrays.
+
+    Rows with ``window_idx``: that window's mean squared distance ``msd``.
+    Other rows (only with ``surface``): per (omega, mode) the count, mean and
+    centred square sum of the window gains of one Arrow batch, and the LTI gain.
+    Both kinds come from the same evaluation; write the result before using
+    ``pass_msd`` and ``pass_stats`` on it.
+    """
+    key = [*KEY, *extra]
+    kinds = {"subject_id": "string", "grp": "string", "surrogate": "int"}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + (
+        ", window_idx long, msd double, lam array<double>, g_lti array<double>, n array<long>,"
+        " mean array<double>, m2 array<double>")
+    omega = np.arange(n_omega) * (np.pi / (n_omega - 1))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name, part in pdf.groupby(key, sort=False):
+                first = part.iloc[0]
+                lam = np.asarray(first["lam"])
+                base = gains(first["h0"], first["P0"], first["K0"], lam, omega, guard)
+                n = np.zeros(base.shape, np.int64)
+                mean, m2 = np.zeros(base.shape), np.zeros(base.shape)
+                for row in part.itertuples(index=False):
+                    g = gains(row.h, row.P, row.K, lam, omega, guard)
+                    gap = (g - base) ** 2
+                    seen = ~np.isnan(gap)
+                    out.append((*name, row.window_idx, gap[seen].mean() if seen.any() else None,
+                                *[None] * 5))
+                    ok = ~np.isnan(g)
+                    n += ok
+                    step = np.where(ok, g - mean, 0.0)
+                    mean += step / np.maximum(n, 1)
+                    m2 += step * np.where(ok, g - mean, 0.0)
+                if surface:
+                    out.append((*name, None, None, lam, base.ravel(), n.ravel(), mean.ravel(), m2.ravel()))
+            if out:
+                yield pd.DataFrame(out, columns=[*key, "window_idx", "msd", "lam", "g_lti", "n", "mean", "m2"]
+                                   ).astype({"window_idx": "Int64"})
+
+    # by window, so a subject with many windows is many tasks
+    return spread(rows, *key, "window_idx").mapInPandas(run, schema)
+
+
+def pass_msd(parts: DataFrame, extra=()) -> DataFrame:
+    return parts.filter("window_idx is not null").select(*KEY, *extra, "window_idx", "msd")
+
+
+def pass_stats(parts: DataFrame, n_omega: int = 128, fs: float = 100.0, extra=()) -> DataFrame:
+    """The columns of ``surface_stats``, from the partial sums."""
+    key = [*KEY, *extra]
+    cells = parts.filter("window_idx is null").select(*key, "lam", F.posexplode(
+        F.arrays_zip("g_lti", "n", "mean", "m2")).alias("cell", "z"))
+    modes = F.size("lam")
+    mode = (F.col("cell") % modes).cast("int")
+    cells = cells.select(*key, F.floor(F.col("cell") / modes).cast("int").alias("omega_idx"),
+                         mode.alias("mode"), F.get("lam", mode).alias("lambda"), "z.*")
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    spread_ = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")) / F.sum("n") - mean * mean
+    out = cells.groupBy(*key, "omega_idx", "mode").agg(
+        F.first("lambda").alias("lambda"), F.max("g_lti").alias("g_lti"), mean.alias("tv_mean"),
+        F.greatest(spread_, F.lit(0.0)).alias("tv_var"), F.sum("n").alias("n_windows"))
+    hz = F.col("omega_idx") * F.lit(float(fs) / (2 * (n_omega - 1)))
+    return out.select(*key, "omega_idx", "mode", hz.alias("freq_hz"), "lambda",
+                      F.when(~F.isnan("g_lti"), F.col("g_lti")).alias("g_lti"), "tv_mean",
+                      F.sqrt("tv_var").alias("tv_std"), "tv_var", "n_windows")
+
+
+def mean_msd(windows: DataFrame, extra=()) -> DataFrame:
+    return windows.groupBy(*KEY, *extra).agg(
+        F.avg("msd").alias("global_msd"), F.count(F.lit(1)).alias("n_windows"))
+
+
 def join_surfaces(tf: DataFrame) -> DataFrame:
     """The same pairing as a join of two surfaces held in one table."""
     lti = tf.filter("scope = 'lti'").select(*KEY, "omega_idx", "mode",
@@ -149,8 +250,7 @@ def msd_per_window(paired: DataFrame, extra=()) -> DataFrame:
 
 
 def global_msd(paired: DataFrame, extra=()) -> DataFrame:
-    return (msd_per_window(paired, extra).groupBy(*KEY, *extra)
-            .agg(F.avg("msd").alias("global_msd"), F.count(F.lit(1)).alias("n_windows")))
+    return mean_msd(msd_per_window(paired, extra), extra)
 
 
 def marginals(paired: DataFrame) -> DataFrame:

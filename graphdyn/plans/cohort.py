@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphdyn.operators import compare, consensus, graphs, moments, stats, surrogate, transfer
 from graphdyn.operators.connectivity import pearson_edges
-from graphdyn.operators.gpvar import (
+from graphdyn.operators.graph_var import (
     fit_models, global_coefficient_cv, lti_models, model_grid, select_model, tv_models,
     window_summary)
 from graphdyn.operators.moments import KEY
@@ -54,11 +54,11 @@ def fit_cohort(signals: DataFrame, basis: DataFrame, n_channels: int, *, length:
     Orders are fixed (P, K) or come per subject from a selection table.
     """
     if orders is None:
-        found = moments.gpvar_moments(signals, basis, n_channels, orders=F.array(F.lit(P)),
+        found = moments.graph_var_moments(signals, basis, n_channels, orders=F.array(F.lit(P)),
                                       k_max=K, p_max=P, length=length, step=step, by=by)
         return fit_models(found.withColumn("K", F.lit(K)), basis, by=by)
     lists = orders.select("subject_id", F.array("P").alias("orders"))
-    found = moments.gpvar_moments(signals, basis, n_channels, orders=lists, k_max=k_max,
+    found = moments.graph_var_moments(signals, basis, n_channels, orders=lists, k_max=k_max,
                                   p_max=p_max, length=length, step=step, by=by)
     return fit_models(found.join(orders.select("subject_id", "K"), "subject_id"), basis, by=by)
 
@@ -69,32 +69,34 @@ def subject_test(signals: DataFrame, basis: DataFrame, n_channels: int, *, lengt
                           seed: int = 0, n_omega: int | None = None) -> DataFrame:
     """The 15-column summary: selection, models, comparison and test per subject.
 
-    With ``n_surrogates`` the surrogate null is built for fixed orders P, K.
+    With ``n_surrogates`` the surrogate null uses the same orders as the models:
+    P and K, or those selected per subject.
     """
     n_omega = n_omega or preset.n_omega
+    orders, k_max = None, K
     if P is None:
         grid = model_grid(signals, basis, n_channels, preset.p_grid, preset.k_grid,
                           rho_limit=preset.rho_select)
         orders = cut_lineage(select_model(grid, preset.fallback))
-        p_max = max(*preset.p_grid, preset.fallback[0])
+        p_max, k_max = max(*preset.p_grid, preset.fallback[0]), max(*preset.k_grid, preset.fallback[1])
         models = fit_cohort(signals, basis, n_channels, length=length, step=step, orders=orders,
-                            p_max=p_max, k_max=max(*preset.k_grid, preset.fallback[1]))
+                            p_max=p_max, k_max=k_max)
     else:
         p_max = P
         models = fit_cohort(signals, basis, n_channels, length=length, step=step, P=P, K=K)
     models = cut_lineage(models)
     lti = lti_models(models, preset.rho_lti)
     tv = tv_models(models, length, step, preset.rho_tv)
-    paired = transfer.paired_surface(tv, lti, basis, n_omega=n_omega, fs=fs,
-                                     guard=preset.guard, p_max=p_max)
-    surface = cut_lineage(transfer.surface_stats(paired))
-    msd = cut_lineage(transfer.global_msd(paired)).filter(
+    parts = cut_lineage(transfer.surface_pass(transfer.paired_models(tv, lti, basis), n_omega=n_omega,
+                                              guard=preset.guard))
+    surface = cut_lineage(transfer.pass_stats(parts, n_omega, fs))
+    msd = cut_lineage(transfer.mean_msd(transfer.pass_msd(parts))).filter(
         F.col("n_windows") >= preset.min_windows)
     extent = transfer.surface_summary(surface)
     if n_surrogates:
         null = surrogate.surrogate_null(
-            signals, basis, n_channels, P=P, K=K, length=length, step=step,
-            n_surrogates=n_surrogates, seed=seed, min_windows=preset.min_windows,
+            signals, basis, n_channels, P=P, K=K, orders=orders, p_max=p_max, k_max=k_max,
+            length=length, step=step, n_surrogates=n_surrogates, seed=seed, min_windows=preset.min_windows,
             rho_lti=preset.rho_lti, rho_tv=preset.rho_tv, n_omega=n_omega, guard=preset.guard)
     else:
         null = msd.limit(0).select("subject_id", "global_msd")
@@ -118,12 +120,12 @@ def subject_summary(signals, lti, tv, msd, extent, tests, fs: float = 100.0) ->
                 "p_value_msd", "is_time_varying"))
 
 
-def group_summary_rows(signals, lti, tv, paired, surface, selected, fs: float = 100.0):
+def group_summary_rows(signals, lti, tv, windows, surface, selected, fs: float = 100.0):
     """One row per subject of the group comparison (17 columns)."""
     shape = signals.groupBy("subject_id").agg(
         F.count_distinct("channel").alias("n_channels"),
         ((F.max("t") + 1) / fs).alias("duration"))
-    msd = transfer.global_msd(paired).select("subject_id", F.col("global_msd").alias("mean_msd"))
+    msd = transfer.mean_msd(windows).select("subject_id", F.col("global_msd").alias("mean_msd"))
     cv = transfer.tf_cv(surface).select("subject_id", "mean_cv")
     return (
         lti.select(*KEY, F.col("P").alias("best_P"), F.col("K").alias("best_K"),
@@ -138,8 +140,12 @@ def group_summary_rows(signals, lti, tv, paired, surface, selected, fs: float =
                 "n_windows", "mean_msd", "mean_cv"))
 
 
+# The metrics of the three published group tests
 GROUP_METRICS = ("lti_r2", "lti_rho", "lti_bic", "tv_r2_mean", "tv_rho_mean", "mean_msd",
                  "mean_cv")
+QC_METRICS = ("lti_r2", "lti_rho", "best_P", "best_K", "n_windows")
+SMALL_COHORT_METRICS = (*GROUP_METRICS, "best_P", "best_K", "n_windows")
+SUBJECT_METRICS = ("global_msd", "global_variance", "global_coeff_cv", "outside_ci_fraction")
 
 
 def qc_gate(facts: DataFrame, preset: Preset = PRESETS["qc"]) -> DataFrame:
@@ -152,6 +158,7 @@ def qc_gate(facts: DataFrame, preset: Preset = PRESETS["qc"]) -> DataFrame:
         return F.format_string(f"%.{digits}f", F.col(c))
 
     lim = preset.rho_lti
+    # Statuses, reasons and details of the processing log
     gates = [
         (~F.coalesce(F.col("loaded"), F.lit(False)), "FAILED", "EEG_loading_error", "", "", ""),
         (F.col("n_channels") != F.col("expected_channels"), "REJECT", "Channel_mismatch",
@@ -254,10 +261,11 @@ def qc_cohort(signals: DataFrame, basis: DataFrame, n_channels: int, *, length:
     accepted = log.filter("status = 'SUCCESS'").select("subject_id")
     lti = lti_models(models, preset.rho_lti).join(accepted, "subject_id", "left_semi")
     tv = tv_models(models, length, step, preset.rho_tv).join(accepted, "subject_id", "left_semi")
-    paired = transfer.paired_surface(tv, lti, basis, n_omega=preset.n_omega, fs=fs,
-                                     guard="none", p_max=p_max)
-    surface = cut_lineage(transfer.surface_stats(paired))
-    summary = cut_lineage(group_summary_rows(signals, lti, tv, paired, surface, selected, fs))
+    parts = cut_lineage(transfer.surface_pass(transfer.paired_models(tv, lti, basis),
+                                              n_omega=preset.n_omega, guard="none"))
+    surface = cut_lineage(transfer.pass_stats(parts, preset.n_omega, fs))
+    summary = cut_lineage(group_summary_rows(signals, lti, tv, transfer.pass_msd(parts), surface,
+                                             selected, fs))
     return {
         "model_grid": grid, "selected": selected, "models": models, "log": log,
         "report": qc_report(log), "quality": qc_quality(facts, log), "summary": summary,

@@ -1,4 +1,4 @@
-"""Registered queries: signal preparation, GP-VAR models, transfer functions, cohort statistics.
+"""Registered queries: signal preparation, graph autoregression models, transfer functions, cohort statistics.
 
 Most run on the ledger signals (16 subjects, 7 channels, T grows with the
 tables) over the ring graph of 7 channels, whose spectrum has a closed form,
@@ -7,11 +7,13 @@ with P = 2, K = 1, windows of 100 samples and steps of 50.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions import scalars as fn
-from graphdyn.operators import gpvar as gv
+from graphdyn.operators import graph_var as gv
 from graphdyn.operators import graphs as gr
 from graphdyn.operators import moments as mo
 from graphdyn.operators import prep
@@ -58,6 +60,13 @@ def _surface(spark, d):
     return tr.surface_stats(_paired(spark, d))
 
 
+def _pass(spark, d):
+    """Window distances and surface sums from one evaluation of the models."""
+    tv, lti = _split(spark, d)
+    parts = cut_lineage(tr.surface_pass(tr.paired_models(tv, lti, _ring(spark)), n_omega=OMEGA))
+    return tr.pass_msd(parts), tr.pass_stats(parts, OMEGA)
+
+
 # -- preparation ----------------------------------------------------------------------
 
 @query("subject_id grp channel:i t:l value:r6", f"""WITH {o.EVENTS}, {o.dense('ev', 5)}
@@ -149,9 +158,11 @@ def circular_shift_surrogate(spark, d):
 
 
 @query("subject_id channel:i t:l value:r6 lag_1:r6 lag_2:r6", f"""WITH {o.LEDGER}
-SELECT a.subject_id, a.channel, a.t, a.value, b.value AS lag_1, c.value AS lag_2
-FROM led a LEFT JOIN led b ON b.subject_id = a.subject_id AND b.channel = a.channel AND b.t = a.t - 1
-LEFT JOIN led c ON c.subject_id = a.subject_id AND c.channel = a.channel AND c.t = a.t - 2""")
+SELECT subject_id, channel, t, value,
+       CASE WHEN lag(t, 1) OVER w = t - 1 THEN lag(value, 1) OVER w END AS lag_1,
+       CASE WHEN lag(t, 1) OVER w = t - 2 THEN lag(value, 1) OVER w
+            WHEN lag(t, 2) OVER w = t - 2 THEN lag(value, 2) OVER w END AS lag_2
+FROM led WINDOW w AS (PARTITION BY subject_id, channel ORDER BY t)""")
 def lag_join(spark, d):
     return prep.lagged(fx.signals_ledger(spark, d), 2, pane=256)
 
@@ -172,9 +183,9 @@ def graph_fourier_transform(spark, d):
 
 @query("subject_id channel:i t:l y:r6 f1:r6 f2:r6 f3:r6 f4:r6", f"""WITH {o.LEDGER_Z},
 {o.lap('zs')}, {o.FEATURES} SELECT * FROM feat WHERE t >= 2""")
-def gpvar_features(spark, d):
+def graph_var_features(spark, d):
     sig = fx.signals_ledger(spark, d)
-    f = mo.gpvar_features(sig, _ring(spark), N, P, K, stats=mo.recording_stats(sig, N))
+    f = mo.graph_var_features(sig, _ring(spark), N, P, K, stats=mo.recording_stats(sig, N))
     return f.select("subject_id", "channel", "t", "y",
                     *[F.col("f")[k].alias(f"f{k + 1}") for k in range(4)])
 
@@ -186,8 +197,8 @@ _GRAM = (f"{o.LEDGER_Z}, {o.lap('zs')}, {o.FEATURES}, {o.scopes(LEN, STEP)},"
 
 @query("subject_id window_idx:l n_obs:l s1:r6 yy:r6 g11:r6 g12:r6 g13:r6 g14:r6 g22:r6 g23:r6 g24:r6"
        " g33:r6 g34:r6 g44:r6 v1:r6 v2:r6 v3:r6 v4:r6", f"WITH {_GRAM} SELECT * FROM gram")
-def gpvar_moments(spark, d):
-    m = mo.gpvar_moments(fx.signals_ledger(spark, d), _ring(spark), N, orders=F.array(F.lit(P)),
+def graph_var_moments(spark, d):
+    m = mo.graph_var_moments(fx.signals_ledger(spark, d), _ring(spark), N, orders=F.array(F.lit(P)),
                          k_max=K, p_max=P, length=LEN, step=STEP)
 
     def a(j, p, q):
@@ -210,7 +221,7 @@ def _flat(models):
 
 
 @query("subject_id h1:r6 h2:r6 h3:r6 h4:r6", f"WITH {_M} SELECT * FROM models WHERE scope = 'lti'")
-def gpvar_fit(spark, d):
+def graph_var_fit(spark, d):
     return _flat(_models(spark, d).filter("scope = 'lti'"))
 
 
@@ -220,7 +231,7 @@ def spectral_radius(spark, d):
 
 
 @query("subject_id window_idx:l n_obs:l rss:r6 r2:r6 mse:r6 bic:r6", f"WITH {_M} SELECT * FROM models")
-def gpvar_evaluate(spark, d):
+def graph_var_evaluate(spark, d):
     return _models(spark, d)
 
 
@@ -369,7 +380,7 @@ def model_order_test(spark, d):
 
 # -- transfer functions -----------------------------------------------------------------
 
-_S = o.ledger_surfaces()
+_S = re.sub(r"\b(led|models|tf|paired) AS \(", r"\1 AS MATERIALIZED (", o.ledger_surfaces())
 
 
 @query("subject_id scope window_idx:l omega_idx:i mode:i re:r6 im:r6 mag:r6 phase:r6",
@@ -417,8 +428,8 @@ def msd_per_window(spark, d):
 @query("subject_id grp global_msd:r6 n_windows:l global_variance:r6 outside_ci_fraction:r6",
        f"WITH {_S} SELECT * FROM gmsd JOIN extent USING (subject_id, grp)")
 def compare_tf(spark, d):
-    p = _paired(spark, d)
-    return tr.global_msd(p).join(tr.surface_summary(tr.surface_stats(p)), ["subject_id", "grp"])
+    windows, surface = _pass(spark, d)
+    return tr.mean_msd(windows).join(tr.surface_summary(surface), ["subject_id", "grp"])
 
 
 @query("subject_id axis idx:i g_lti:r6 tv_mean:r6 tv_std:r6", f"""WITH {_S},
@@ -473,18 +484,17 @@ tv AS (SELECT g.subject_id, g.grp, global_msd AS observed_msd, outside_ci_fracti
 SELECT *, p_value_msd < 0.05 OR outside_ci_fraction > 0.05 AS is_time_varying FROM tv""")
 def tv_test(spark, d):
     """The decision rule on a known null: the subject's own window distances."""
-    p = _paired(spark, d)
-    ext = tr.surface_summary(tr.surface_stats(p))
-    null = tr.msd_per_window(p).withColumnRenamed("msd", "global_msd")
-    return su.tv_test(null, tr.global_msd(p), ext, min_valid=10)
+    windows, surface = _pass(spark, d)
+    null = windows.withColumnRenamed("msd", "global_msd")
+    return su.tv_test(null, tr.mean_msd(windows), tr.surface_summary(surface), min_valid=10)
 
 
 @query("subject_id simple:b", f"""WITH {_S}
 SELECT subject_id, global_msd > 1e-4 OR outside_ci_fraction > 0.10 AS simple
 FROM gmsd JOIN extent USING (subject_id)""")
 def simple_tv_decision(spark, d):
-    p = _paired(spark, d)
-    both = tr.global_msd(p).join(tr.surface_summary(tr.surface_stats(p)), ["subject_id", "grp"])
+    windows, surface = _pass(spark, d)
+    both = tr.mean_msd(windows).join(tr.surface_summary(surface), ["subject_id", "grp"])
     return both.withColumn("simple", su.simple_tv_decision())
 
 
@@ -571,12 +581,12 @@ def qc_quality(spark, d):
 
 def _summary(spark, d):
     """Per-subject metrics of the cohort, written once."""
-    sig, ring = fx.signals_ledger(spark, d), _ring(spark)
     tv, lti = _split(spark, d)
-    p = tr.paired_surface(tv, lti, ring, n_omega=OMEGA, p_max=P)
+    parts = cut_lineage(tr.surface_pass(tr.paired_models(tv, lti, _ring(spark)), n_omega=OMEGA))
     chosen = lti.select("subject_id", F.col("bic").alias("best_bic"))
     return cut_lineage(cohort.group_summary_rows(
-        sig, lti, tv, p, cut_lineage(tr.surface_stats(p)), chosen))
+        fx.signals_ledger(spark, d), lti, tv, tr.pass_msd(parts),
+        cut_lineage(tr.pass_stats(parts, OMEGA)), chosen))
 
 
 _SUM = f"""{_S},

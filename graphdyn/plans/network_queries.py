@@ -69,6 +69,29 @@ def read_cohort(spark, d):
     return signals
 
 
+@query("subject_id grp status reason detail_1", f"""WITH {o.EVENTS},
+n AS (SELECT subject_id, grp, max(t) + 1 AS n FROM ev GROUP BY ALL)
+SELECT 'sub-id=' || subject_id AS subject_id, CASE WHEN grp = 'A' THEN 'AD' ELSE 'HC' END AS grp,
+       'FAILED' AS status, 'EEG_loading_error' AS reason,
+       CASE WHEN subject_id = '3' THEN 'bad_rows=1' ELSE 'n_samples=' || n || '/' || (n + 1) END AS detail_1
+FROM n WHERE subject_id IN ('3', '7')""")
+def cohort_rejects(spark, d):
+    """One recording with a broken row, one that is a sample short of its manifest."""
+    path = _scratch(spark, "cohort")
+    sig = fx.signals_events(spark, d)
+    files = sig.select(F.when(F.col("grp") == "A", "AD").otherwise("HC").alias("arm"),
+                       F.col("subject_id").alias("sub-id"),
+                       F.concat_ws(",", "channel", "t", "value").alias("line"))
+    broken = files.filter("`sub-id` = '3'").select("arm", "sub-id").distinct().withColumn(
+        "line", F.lit("x,y,oops"))
+    files.unionByName(broken).write.partitionBy("arm", "sub-id").text(path)
+    late = (F.col("subject_id") == "7").cast("int")
+    want = sig.groupBy("subject_id").agg((F.max("t") + 1).alias("n")).select(
+        F.concat(F.lit("sub-id="), "subject_id").alias("subject_id"), (F.col("n") + late).alias("n_samples"))
+    _, rejects = rd.read_cohort(spark, path, id_rule="bids", group_depth=2, header=False, expected=want)
+    return rejects
+
+
 @query("graph_id i:i j:i w:r6", f"""WITH {o.EDGES}, {o.MEAN}
 SELECT grp AS graph_id, i, j, w FROM cmean""")
 def read_graph(spark, d):
@@ -403,7 +426,7 @@ def consensus_direct(spark, d):
 
 
 @query("grp i:i j:i c:r6 w:r6 w_full:r6", f"""WITH {o.EDGES}, {o.DIRECT}
-SELECT grp, i, j, 1.0 AS c, w_full AS w, w_full FROM direct""")
+SELECT grp, i, j, CAST(w_full > 0 AS DOUBLE) AS c, w_full AS w, w_full FROM direct""")
 def consensus_direct_dense(spark, d):
     return cns.consensus_direct(_edges(spark, d), None)
 
@@ -443,6 +466,18 @@ def edge_alignment(spark, d):
     return cmp.align(e, cns.consensus_mean(e), ["grp"])
 
 
+@query("subject_id i:i j:i a:r6 b:r6", f"""WITH {o.EDGES},
+mean AS (SELECT grp, i, j, avg(w) AS b FROM edges GROUP BY ALL)
+SELECT e.subject_id, e.i, e.j, CASE WHEN e.w > 0.2 THEN e.w ELSE 0 END AS a,
+       CASE WHEN b > 0.1 THEN b ELSE 0 END AS b
+FROM edges e JOIN mean USING (grp, i, j) WHERE e.w > 0.2 OR b > 0.1""")
+def sparse_alignment(spark, d):
+    """Both sides lack edges; an absent edge counts as weight 0."""
+    e = _edges(spark, d)
+    return cmp.align(e.filter("w > 0.2"), cns.consensus_mean(e).filter("w > 0.1"), ["grp"])
+
+
+
 @query("grp i:i j:i w:r6 dist:r6", f"""WITH {o.EDGES}, {o.MEAN}, {o.layout(64)}
 SELECT grp, i, j, w, dist FROM cmean JOIN dists USING (i, j)""")
 def distance_attach(spark, d):
@@ -668,7 +703,7 @@ pr{k} AS (SELECT a.grp, a.i, b.j, min(a.d + b.d) AS d, min(a.h + b.h) AS h
 
 
 def _pairs(spark, d):
-    return gr.all_pairs(_graph(spark, d), N1, w="g")
+    return gr.all_pairs(_graph(spark, d), w="g")
 
 
 @query("grp i:i j:i d:r6 h:i", f"WITH {_GRAPH}, {_ARCS}, {_PAIRS} SELECT * FROM pr6")
@@ -699,7 +734,7 @@ sz AS (SELECT grp, c, count(*) AS n FROM lb GROUP BY ALL)
 SELECT grp, count(*) AS component_count, max(n) AS largest_size, max(n) / sum(n)
        AS largest_fraction FROM sz GROUP BY grp""")
 def connected_components(spark, d):
-    return gr.component_summary(gr.all_pairs(_strong(spark, d), N1, w="g"))
+    return gr.component_summary(_strong(spark, d), w="g")
 
 
 _TRI = """top AS (SELECT grp, max(w) AS m FROM arcs GROUP BY grp),
@@ -736,7 +771,7 @@ SELECT grp, k AS mean_degree, c AS clustering, l AS hop_length,
        (c / (k / n)) / (l / (ln(n) / ln(k))) AS sigma FROM k JOIN c USING (grp) JOIN l USING (grp)""")
 def small_world_index(spark, d):
     g = _graph(spark, d)
-    return gr.small_world_index(g, gr.all_pairs(g, N1, w="g"), w="g")
+    return gr.small_world_index(g, gr.all_pairs(g, w="g"), w="g")
 
 
 @query("grp sparsity_pct:r6 n_edges:l n_possible:l degree_min:l degree_median:r6 degree_max:l"
@@ -744,7 +779,7 @@ def small_world_index(spark, d):
        " consensus_median:r6 clustering:r6 path_length:r6 small_world_sigma:r6 component_count:l"
        " largest_fraction:r6 lambda_min:r6 lambda_two:r6 lambda_max:r6 lambda_q3:r6 near_zero:l")
 def graph_summary(spark, d):
-    return gr.graph_summary(_graph(spark, d), N1)
+    return gr.graph_summary(_graph(spark, d))
 
 
 # -- similarity -------------------------------------------------------------------------

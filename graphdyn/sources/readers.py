@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import group_from_path, nan_to_num, subject_id_from_path
 from graphdyn.schema import CHANNELS, EDGES, QC_LOG, SIGNALS
+from graphdyn.session import sized
 
 
-def _load(spark, paths, schema, fmt, **options):
+def _load(spark, paths, schema, fmt, header: bool = True, **options):
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.schema(schema).options(**options)
     if fmt == "csv":
-        return reader.option("header", True).csv(paths)
+        return reader.option("header", header).csv(paths)
     return reader.format(fmt).load(paths)
 
 
@@ -23,37 +24,61 @@ def read_signals(spark: SparkSession, paths, fmt: str = "parquet") -> DataFrame:
     return df.withColumn("value", nan_to_num("value"))
 
 
-def read_cohort(spark: SparkSession, paths, fmt: str = "csv",
-                id_rule: str = "strip", group_depth: int = 1) -> tuple[DataFrame, DataFrame]:
+def read_cohort(spark: SparkSession, paths, fmt: str = "csv", id_rule: str = "strip",
+                group_depth: int = 1, skip_unreadable: bool = False,
+                expected: DataFrame | None = None,
+                header: bool = True) -> tuple[DataFrame, DataFrame]:
     """All recordings of a cohort in one scan.
 
     Files hold (channel, t, value); subject and group come from the path.
-    Unreadable files and rows are skipped. Returns (signals, rejects), where
-    rejects has the processing-log columns, one row per file with bad rows.
+    Returns (signals, rejects); rejects has the processing-log columns, one row
+    per failed recording, and a failed recording has no rows in signals:
+
+    * a row that cannot be parsed (``bad_rows``),
+    * with ``skip_unreadable``, a file that cannot be read at all
+      (``unreadable``); without it such a file stops the job,
+    * with ``expected`` (subject_id, n_samples), a recording that is absent or
+      does not end at that sample (``n_samples``), e.g. a truncated file.
     """
     cols = "channel int, t long, value double"
-    options = {"ignoreCorruptFiles": True}
+    options = {"ignoreCorruptFiles": skip_unreadable}
     if fmt == "csv":
         cols += ", _corrupt string"
         options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    raw = _load(spark, paths, cols, fmt, **options)
-    path = F.col("_metadata.file_path")
-    raw = raw.select(
-        "*", subject_id_from_path(path, id_rule).alias("subject_id"),
-        F.coalesce(group_from_path(path, depth=group_depth), F.lit("ALL")).alias("grp"))
+    raw = _load(spark, paths, cols, fmt, header, **options)
+
+    def named(path):
+        return (subject_id_from_path(path, id_rule).alias("subject_id"),
+                F.coalesce(group_from_path(path, depth=group_depth), F.lit("ALL")).alias("grp"))
+
+    raw = raw.select("*", *named(F.col("_metadata.file_path")))
     bad = F.col("channel").isNull() | F.col("t").isNull()
     if fmt == "csv":
         bad = bad | F.col("_corrupt").isNotNull()
     flagged = raw.withColumn("_bad", bad)
-    signals = flagged.filter(~F.col("_bad")).select(
-        "subject_id", "grp", "channel", "t", nan_to_num("value").alias("value"))
-    rejects = (
-        flagged.groupBy("subject_id", "grp").agg(F.count_if("_bad").alias("n"))
-        .filter("n > 0")
-        .select("subject_id", "grp", F.lit("FAILED").alias("status"),
-                F.lit("EEG_loading_error").alias("reason"),
-                F.concat(F.lit("bad_rows="), F.col("n")).alias("detail_1"),
-                F.lit("").alias("detail_2"), F.lit("").alias("detail_3")))
+    key = ["subject_id", "grp"]
+    seen = flagged.groupBy(*key).agg(F.count_if("_bad").alias("bad"),
+                                     (F.max(F.when(~F.col("_bad"), F.col("t"))) + 1).alias("n"))
+    facts = seen.select(*key, F.when(F.col("bad") > 0, F.concat(F.lit("bad_rows="), F.col("bad")))
+                        .alias("why"), "n")
+    if skip_unreadable:
+        files = [paths] if isinstance(paths, str) else list(paths)
+        # only paths are listed, contents are not read
+        listed = spark.read.format("binaryFile").load(files).select(*named(F.col("path"))).distinct()
+        facts = facts.unionByName(listed.join(seen, key, "left_anti").select(
+            *key, F.lit("unreadable").alias("why"), F.lit(None).cast("long").alias("n")))
+    if expected is not None:
+        want = expected.select("subject_id", F.col("n_samples").alias("want"))
+        gap = F.col("n").isNull() | (F.col("n") != F.col("want"))
+        facts = facts.join(want, "subject_id", "full").withColumn("grp", F.coalesce("grp", F.lit("ALL")))
+        facts = facts.withColumn("why", F.coalesce("why", F.when(F.col("want").isNotNull() & gap, F.concat(
+            F.lit("n_samples="), F.coalesce("n", F.lit(0)), F.lit("/"), F.col("want")))))
+    failed = sized(facts.filter(F.col("why").isNotNull()).select(*key, "why"))
+    signals = flagged.filter(~F.col("_bad")).join(failed, key, "left_anti").select(
+        *key, "channel", "t", nan_to_num("value").alias("value"))
+    rejects = failed.select(
+        *key, F.lit("FAILED").alias("status"), F.lit("EEG_loading_error").alias("reason"),
+        F.col("why").alias("detail_1"), F.lit("").alias("detail_2"), F.lit("").alias("detail_3"))
     return signals, rejects
 
 

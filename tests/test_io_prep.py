@@ -4,7 +4,7 @@ from conftest import signals_frame
 from pyspark.sql import functions as F
 
 from graphdyn.functions import scalars as fn
-from graphdyn.operators import prep
+from graphdyn.operators import connectivity, moments, prep
 from graphdyn.sources import readers, writers
 
 
@@ -17,11 +17,38 @@ def test_cohort_with_bad_rows(spark, tmp_path):
         f.write_text(body)
     signals, rejects = readers.read_cohort(spark, [str(good), str(bad)])
     rows = sorted((r.subject_id, r.grp, r.channel, r.value) for r in signals.collect())
-    assert rows == [("one", "AD", 0, 1.5), ("one", "AD", 1, 0.0), ("two", "HC", 0, 2.0)]
+    # a failed recording leaves the data as a whole
+    assert rows == [("one", "AD", 0, 1.5), ("one", "AD", 1, 0.0)]
     r = rejects.collect()
     assert [(x.subject_id, x.status, x.detail_1) for x in r] == [("two", "FAILED", "bad_rows=1")]
 
 
+def test_cohort_with_unreadable_and_short_files(spark, tmp_path):
+    body = "channel,t,value\n" + "".join(f"0,{t},1.0\n" for t in range(5))
+    for arm, name in (("AD", "whole"), ("AD", "cut"), ("HC", "broken")):
+        (tmp_path / arm).mkdir(exist_ok=True)
+        f = tmp_path / arm / (f"{name}.csv.gz" if name == "broken" else f"{name}.csv")
+        f.write_bytes(b"not gzip at all" if name == "broken" else body.encode())
+    paths = [str(p) for p in tmp_path.glob("*/*")]
+    with pytest.raises(Exception, match="(?i)gzip"):
+        readers.read_cohort(spark, paths)[0].count()
+    want = spark.createDataFrame([("whole", 5), ("cut", 9), ("gone", 4)], "subject_id string, n_samples long")
+    signals, rejects = readers.read_cohort(spark, paths, id_rule="stem", skip_unreadable=True, expected=want)
+    assert {r.subject_id for r in signals.collect()} == {"whole"} and signals.count() == 5
+    got = {r.subject_id: r.detail_1 for r in rejects.collect()}
+    assert got.pop("cut") == "n_samples=5/9" and got.pop("gone") == "n_samples=0/4"
+    assert list(got.values()) == ["unreadable"]
+
+
+def test_stray_channels_are_an_error(spark):
+    sig = spark.createDataFrame([("s", "A", 0, 0, 1.0), ("s", "A", 3, 0, 1.0)],
+                                "subject_id string, grp string, channel int, t long, value double")
+    for build in (lambda: prep.dense_grid(sig, 3), lambda: connectivity.to_frames(sig, 3),
+                  lambda: moments.recording_stats(sig, 3)):
+        with pytest.raises(Exception, match="channel outside 0..2: 3"):
+            build().collect()
+
+
 def test_log_is_appended(spark, tmp_path):
     path = str(tmp_path / "log")
     row = spark.createDataFrame([("s", "A", "SUCCESS", "Completed", "", "", "")],

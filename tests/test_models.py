@@ -4,7 +4,7 @@ import pytest
 from conftest import signals_frame
 from pyspark.sql import functions as F
 
-from graphdyn.operators import gpvar, moments, surrogate, transfer
+from graphdyn.operators import graph_var, moments, surrogate, transfer
 from graphdyn.plans import cohort
 from graphdyn.schema import Preset
 
@@ -64,7 +64,7 @@ def test_gaps_count_as_zero_before_scaling(spark, recordings, basis, ring_lap):
 
 @pytest.mark.parametrize("scaling", ["train", "reference"])
 def test_grid_and_selection(spark, recordings, basis, ring_lap, scaling):
-    grid = gpvar.model_grid(signals_frame(spark, recordings), basis, 6, (1, 2, 4), (0, 1, 2),
+    grid = graph_var.model_grid(signals_frame(spark, recordings), basis, 6, (1, 2, 4), (0, 1, 2),
                             val_scaling=scaling, pane=40)
     got = {(r.subject_id, r.P, r.K): r for r in grid.collect()}
     best = {}
@@ -81,16 +81,16 @@ def test_grid_and_selection(spark, recordings, basis, ring_lap, scaling):
                 assert got[(s, p, k)].bic == pytest.approx(bic, rel=1e-7)
                 if got[(s, p, k)].stable and bic < best.get(s, (np.inf,))[0]:
                     best[s] = (bic, p, k)
-    for r in gpvar.select_model(grid).collect():
+    for r in graph_var.select_model(grid).collect():
         assert (r.P, r.K) == best[r.subject_id][1:]
 
 
 def test_grid_keeps_failed_cells_and_falls_back(spark, basis):
     x = np.random.default_rng(1).normal(size=(6, 12))
-    grid = gpvar.model_grid(signals_frame(spark, {("s", "A"): x}), basis, 6, (9, 20), (1,))
+    grid = graph_var.model_grid(signals_frame(spark, {("s", "A"): x}), basis, 6, (9, 20), (1,))
     assert [(r.P, r.success, r.stable) for r in grid.orderBy("P").collect()] == [
         (9, False, False), (20, False, False)]
-    r = gpvar.select_model(grid, (5, 1)).first()
+    r = graph_var.select_model(grid, (5, 1)).first()
     assert (r.P, r.K, r.is_fallback, r.best_bic) == (5, 1, True, None)
 
 
@@ -99,14 +99,14 @@ def test_tie_prefers_small_k_then_small_p(spark):
             ("s", "A", 1, 0, 0.5, False)]
     grid = spark.createDataFrame(rows, "subject_id string, grp string, P int, K int, bic double,"
                                        " stable boolean")
-    r = gpvar.select_model(grid).first()
+    r = graph_var.select_model(grid).first()
     assert (r.P, r.K) == (3, 0)
 
 
 def test_features_and_fourier_transform(spark, recordings, basis, ring_lap):
     sig = signals_frame(spark, recordings)
     stats = moments.recording_stats(sig, 6)
-    rows = moments.gpvar_features(sig, basis, 6, 3, 2, pane=50, stats=stats) \
+    rows = moments.graph_var_features(sig, basis, 6, 3, 2, pane=50, stats=stats) \
         .filter("subject_id = 'b'").orderBy("t", "channel").collect()
     r, y = brute.design(brute.zscore(recordings[("b", "B")]), ring_lap, 3, 2)
     np.testing.assert_allclose([x.f for x in rows], r, atol=1e-9)
@@ -219,3 +219,36 @@ def test_qc_gate_order(spark):
     assert [r.reason for r in log] == [c[1] for c in cases]
     assert log[0].status == "SUCCESS" and log[0].detail_3 == "n_win=12"
     assert log[6].detail_1 == "R2=0.4900"
+
+
+def test_surrogate_null_takes_selected_orders(spark, recordings, basis):
+    """Orders per subject give the same null as a run with that subject's fixed orders."""
+    sig = signals_frame(spark, recordings)
+    subjects = sorted(s for s, _ in recordings)
+    chosen = {s: (1 + i % 2, i % 2) for i, s in enumerate(subjects)}
+    orders = spark.createDataFrame([(s, *pk) for s, pk in chosen.items()], "subject_id string, P int, K int")
+    common = dict(length=60, step=30, n_surrogates=3, min_windows=1, n_omega=16,
+                  shift=lambda s, c: 17 * s + 5 * c)
+    null = surrogate.surrogate_null(sig, basis, 6, orders=orders, p_max=2, k_max=1, **common)
+    got = {(r.subject_id, r.surrogate): r.global_msd for r in null.collect()}
+    for P, K in set(chosen.values()):
+        fixed = surrogate.surrogate_null(sig, basis, 6, P=P, K=K, **common)
+        for r in fixed.collect():
+            if chosen[r.subject_id] == (P, K):
+                assert got.pop((r.subject_id, r.surrogate)) == pytest.approx(r.global_msd)
+    assert not got
+    with pytest.raises(ValueError):
+        surrogate.surrogate_null(sig, basis, 6, P=1, **common)
+
+
+def test_subject_test_selects_and_tests(spark, recordings, basis):
+    """Order selection and the surrogate test in one analysis."""
+    from dataclasses import replace
+
+    from graphdyn.plans import cohort
+    from graphdyn.schema import PRESETS
+    preset = replace(PRESETS["subject"], p_grid=(1, 2), k_grid=(0, 1), fallback=(2, 1), min_windows=2)
+    out = cohort.subject_test(signals_frame(spark, recordings), basis, 6, length=60, step=30,
+                              preset=preset, n_surrogates=3, n_omega=16)
+    rows = out.collect()
+    assert len(rows) > 0 and {(r.P, r.K) for r in rows} <= {(p, k) for p in (1, 2) for k in (0, 1)}

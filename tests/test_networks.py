@@ -38,13 +38,54 @@ def test_correlation_with_constant_channel_and_hot_subject(spark):
             assert got[(s, i, j)] == pytest.approx(want, abs=1e-9)
 
 
-def test_partial_states_survive_many_subjects(spark):
-    rng = np.random.default_rng(1)
-    rows = [(f"s{t % 90}", "A", t, rng.normal(size=3).tolist()) for t in range(1800)]
-    f = spark.createDataFrame(rows, "subject_id string, grp string, t long, x array<double>") \
-        .coalesce(2)
+@pytest.mark.parametrize("subjects", [20, 400, 4000])
+def test_partial_states_do_not_depend_on_subjects(spark, subjects):
+    """One state per (subject, block), however many subjects share the tasks."""
+    t = F.col("id") % 20 + connectivity.BLOCK * (F.col("id") % 2)
+    f = spark.range(subjects * 40).select(
+        F.concat(F.lit("s"), (F.floor(F.col("id") / 40)).cast("string")).alias("subject_id"),
+        F.lit("A").alias("grp"), t.alias("t"),
+        F.array(F.rand(1), F.rand(2), F.rand(3)).alias("x")).coalesce(4)
+    got = connectivity.block_moments(f).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert got == (2 * subjects, 20, 20)
     assert connectivity.pair_moments(f).agg(F.min("n"), F.max("n"), F.count("*")).first() \
-        == (20, 20, 270)
+        == (40, 40, 3 * subjects)
+
+
+def test_sparse_sides_align_with_zero(spark):
+    left = spark.createDataFrame([("s", "A", 0, 1, 0.5)], "subject_id string, grp string, i int, j int, w double")
+    right = spark.createDataFrame([("A", 0, 1, 0.5), ("A", 0, 2, 0.4), ("B", 0, 1, 1.0)], "grp string, i int, j int, w double")
+    got = sorted(tuple(r) for r in compare.align(left, right, ["grp"]).collect())
+    assert got == [("s", "A", 0, 1, 0.5, 0.5), ("s", "A", 0, 2, 0.0, 0.4)]
+    one = right.filter("grp = 'A'").drop("grp")
+    got = compare.subject_vs_consensus(left, one, keys=()).first()
+    assert got.n_edges == 2 and got.cosine == pytest.approx(0.25 / (0.5 * np.hypot(0.5, 0.4)))
+    pairs = compare.align(one.filter("j = 2"), one.filter("j = 1")).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(0.0, 0.5), (0.4, 0.0)]
+
+
+def test_dense_consensus_marks_positive_pairs_only(spark):
+    e = spark.createDataFrame([("s", "A", 0, 1, 0.0), ("s", "A", 0, 2, 0.3)], "subject_id string, grp string, i int, j int, w double")
+    got = {(r.i, r.j): r.c for r in consensus.consensus_direct(e, None).collect()}
+    assert got == {(0, 1): 0.0, (0, 2): 1.0}
+
+
+def test_path_of_twelve_nodes(spark):
+    e = spark.createDataFrame([("g", i, i + 1, 1.0) for i in range(11)] + [("g", 20, 21, 0.0)],
+                              "grp string, i int, j int, w double")
+    pairs = graphs.all_pairs(e)
+    assert pairs.filter("i < 12 and j < 12").count() == 144 and pairs.agg(F.max("h")).first()[0] == 11
+    c = graphs.component_summary(e).first()
+    assert (c.component_count, c.largest_size) == (3, 12)
+
+
+def test_adjacency_with_diagonal_and_graph_without_edges(spark):
+    m = spark.createDataFrame([("g", i, j, 1.0 if i == j else 0.5) for i in range(2) for j in range(2)],
+                              "grp string, i int, j int, v double")
+    got = {(r.i, r.j): r.v for r in graphs.laplacian_normalised(m).collect()}
+    assert got == pytest.approx({(0, 0): 1 / 3, (1, 1): 1 / 3, (0, 1): -1 / 3, (1, 0): -1 / 3})
+    none = spark.createDataFrame([("g", 0, 1, 0.0)], "grp string, i int, j int, w double")
+    assert [r.clustering for r in graphs.clustering_weighted(none).collect()] == [None, None]
 
 
 @pytest.mark.parametrize("kappa", [0.15, 0.4, 1.0])
@@ -117,8 +158,8 @@ def test_two_components_paths_and_clustering(spark):
     for i, j, v in ((0, 1, .5), (1, 2, .25), (0, 2, .9), (2, 3, .5), (4, 5, 1.0)):
         w[i, j] = w[j, i] = v
     e = edges_frame(spark, {"s": w}).select("grp", "i", "j", "w")
-    pairs = graphs.all_pairs(e, 7)
-    c = graphs.component_summary(pairs).first()
+    pairs = graphs.all_pairs(e)
+    c = graphs.component_summary(e).first()
     assert (c.component_count, c.largest_size) == (3, 4)
     d = {(r.i, r.j): (r.d, r.h) for r in pairs.collect()}
     assert d[(0, 2)] == (0.75, 1) and d[(0, 3)] == (1.25, 2) and (0, 4) not in d

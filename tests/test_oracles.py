@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 TABLES = ("lineitem", "supplier", "events", "documents", "embeddings")
 PICK = ("consensus_direct", "consensus_binarize", "distance_consensus_match_subject",
         "consensus_by_subgroup", "connected_components", "small_world_index",
-        "subject_vs_consensus", "jaccard_rules", "dense_grid", "gpvar_moments", "fit_tv",
+        "subject_vs_consensus", "jaccard_rules", "dense_grid", "graph_var_moments", "fit_tv",
         "model_grid", "compare_tf", "tf_marginals", "band_stats", "fdr_bh", "append_qc_log")
 
 
