@@ -665,12 +665,27 @@ def mann_whitney(spark, d):
     return st.mann_whitney(_metrics(spark, d), p_values=False)
 
 
+@query("metric u_stat:r6 p_value:r6", f"""WITH {_SUM},
+pairs AS (SELECT a.metric, CASE WHEN a.value > b.value THEN 1.0 WHEN a.value = b.value THEN 0.5
+          ELSE 0 END AS win FROM mets a JOIN mets b USING (metric) WHERE a.grp = 'A' AND b.grp = 'B'),
+u AS MATERIALIZED (SELECT n.metric, n_a, n_b, sum(win) AS u_stat FROM pairs JOIN (
+       SELECT metric, count_if(grp = 'A') AS n_a, count_if(grp = 'B') AS n_b FROM mets GROUP BY metric) n
+       USING (metric) GROUP BY ALL)
+SELECT metric, u_stat, {o.rank_tail('greatest(u_stat, n_a * n_b - u_stat)', 'n_a', 'n_b')} AS p_value FROM u""")
+def mann_whitney_exact(spark, d):
+    """The exact tail, against a count over all placements of the smaller group's ranks."""
+    return st.mann_whitney(_metrics(spark, d))
+
+
 @query("metric u_stat:r6 p_value:r6 effect_r:r6")
 def mann_whitney_p(spark, d):
     return st.mann_whitney(_metrics(spark, d))
 
 
-@query("metric t_stat:r6 df:r6 p_value:r6 significant:b")
+@query("metric t_stat:r6 df:r6 p_value:r6 significant:b", f"""WITH {_SUM},
+{o.two_groups('mets', 'metric')},
+wt AS (SELECT metric, {o.WELCH} FROM gm), pv AS (SELECT *, {o.t_tail()} AS p_value FROM wt)
+SELECT *, p_value < 0.05 AS significant FROM pv""")
 def p_values(spark, d):
     return st.two_group_test(_metrics(spark, d), ["metric"])
 
@@ -736,7 +751,16 @@ def pointwise_tests(spark, d):
                              p_values=False)
 
 
-@query("model_type mode:i p_value:r6 p_adjusted:r6 reject:b n_reject:l")
+@query("model_type mode:i p_value:r6 p_adjusted:r6 reject:b n_reject:l", f"""WITH {_CURVES},
+{o.two_groups('bymode', 'model_type, mode')},
+wt AS MATERIALIZED (SELECT model_type, mode, {o.WELCH} FROM gm),
+pv AS MATERIALIZED (SELECT model_type, mode, {o.t_tail()} AS p_value FROM wt),
+rk AS (SELECT model_type, p_value, count(*) OVER (PARTITION BY model_type ORDER BY p_value) AS r,
+         count(*) OVER (PARTITION BY model_type) AS n FROM pv),
+adj AS (SELECT a.model_type, a.mode, a.p_value, least(1.0, min(b.p_value * b.n / b.r)) AS p_adjusted
+        FROM pv a JOIN rk b ON b.model_type = a.model_type AND b.p_value >= a.p_value GROUP BY ALL)
+SELECT *, p_adjusted <= 0.05 AS reject, count_if(p_adjusted <= 0.05) OVER (PARTITION BY model_type) AS n_reject
+FROM adj""")
 def pointwise_stats(spark, d):
     return st.pointwise_stats(st.subject_curves(_surface(spark, d), "mode"))
 

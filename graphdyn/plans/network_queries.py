@@ -689,6 +689,57 @@ def laplacian_spectrum_summary(spark, d):
     return gr.spectrum_summary(gr.graph_fourier_basis(gr.laplacian(_graph(spark, d), w="g")))
 
 
+_CIRCULANT = f"""{o.EDGES}, {o.BINARIZE},
+wd AS (SELECT grp, least(j - i, 64 - (j - i)) AS d, avg(w_full) AS w FROM binar GROUP BY ALL),
+ev AS (SELECT grp, k.range AS k, sum(CASE WHEN d = 32 THEN 1 ELSE 2 END * w
+         * (1 - cos(2 * pi() * k.range * d / 64))) AS lam FROM wd, range(64) k GROUP BY ALL),
+sp AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY lam) - 1 AS mode, lam FROM ev)"""
+
+
+def _circulant_basis(spark, d):
+    """Every pair carries the mean weight at its ring distance, so eigenvalues are cosine sums."""
+    gap = F.col("j") - F.col("i")
+    same = Window.partitionBy("grp", F.least(gap, N1 - gap))
+    ring = _binar(spark, d).select("grp", "i", "j", F.avg("w_full").over(same).alias("w"))
+    return gr.graph_fourier_basis(gr.laplacian(cut_lineage(ring)))
+
+
+@query("grp mode:i lambda:r6", f"""WITH {_CIRCULANT} SELECT grp, mode, lam AS "lambda" FROM sp""")
+def circulant_spectrum(spark, d):
+    return _circulant_basis(spark, d)
+
+
+@query("grp lambda_min:r6 lambda_two:r6 lambda_max:r6 lambda_q3:r6 near_zero:l", f"""WITH {_CIRCULANT}
+SELECT grp, min(lam) AS lambda_min, max(lam) FILTER (WHERE mode = 1) AS lambda_two, max(lam) AS lambda_max,
+       quantile_cont(lam, 0.75) AS lambda_q3, count_if(lam < 1e-5) AS near_zero FROM sp GROUP BY grp""")
+def circulant_spectrum_summary(spark, d):
+    return gr.spectrum_summary(_circulant_basis(spark, d))
+
+
+@query("spectrum_r:r6 spectrum_distance:r6", f"""WITH {_CIRCULANT}
+SELECT corr(a.lam, b.lam) AS spectrum_r, sqrt(sum((a.lam - b.lam) * (a.lam - b.lam))) AS spectrum_distance
+FROM sp a JOIN sp b USING (mode) WHERE a.grp = 'A' AND b.grp = 'B'""")
+def circulant_similarity(spark, d):
+    return cmp.spectrum_similarity(cut_lineage(_circulant_basis(spark, d)), "A", "B")
+
+
+@query("grp i:i j:i v:r6", f"""WITH {_CIRCULANT},
+low AS (SELECT grp, least(0.0, min(lam)) AS low FROM (SELECT grp, lam - 1.0 AS lam FROM ev) GROUP BY grp),
+cell AS (SELECT grp, i, j, -w AS v FROM (SELECT grp, i, j, least(abs(j - i), 64 - abs(j - i)) AS d FROM
+           (SELECT DISTINCT grp FROM binar), (SELECT range AS i FROM range(64)), (SELECT range AS j FROM range(64)))
+         JOIN wd USING (grp, d)),
+diag AS (SELECT grp, i, -sum(v) AS deg FROM cell GROUP BY ALL)
+SELECT grp, i, j, v FROM cell
+UNION ALL SELECT grp, i, i, deg - 1.0 - low FROM diag JOIN low USING (grp)""")
+def psd_shift_lifts(spark, d):
+    """The Laplacian less the identity has the eigenvalue -1, so the shift must lift it by that."""
+    gap = F.col("j") - F.col("i")
+    same = Window.partitionBy("grp", F.least(gap, N1 - gap))
+    ring = cut_lineage(_binar(spark, d).select("grp", "i", "j", F.avg("w_full").over(same).alias("w")))
+    lap = gr.laplacian(ring).withColumn("v", F.col("v") - (F.col("i") == F.col("j")).cast("double"))
+    return gr.psd_shift(lap)
+
+
 @query("grp i:i j:i v:r6", f"""WITH {_GRAPH}, {_ARCS}, {_LAP} SELECT * FROM lap""")
 def psd_shift(spark, d):
     """A Laplacian has no negative eigenvalue, so the shift must leave it as it is."""
@@ -791,7 +842,10 @@ def subject_vs_consensus(spark, d):
     return _scores(spark, d)
 
 
-@query("subject_id grp pearson_r:r6")
+@query("subject_id grp pearson_r:r6 pearson_p:r6", f"""WITH {_SCORES},
+tt AS (SELECT subject_id, grp, pearson_r, n_edges - 2.0 AS df,
+         pearson_r * sqrt((n_edges - 2) / greatest(1 - pearson_r * pearson_r, 1e-300)) AS t_stat FROM scores)
+SELECT subject_id, grp, pearson_r, {o.t_tail()} AS pearson_p FROM tt""")
 def subject_correlation_p(spark, d):
     return cmp.pearson_p(_scores(spark, d))
 

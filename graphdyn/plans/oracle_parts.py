@@ -271,3 +271,20 @@ CASE WHEN sd_a*sd_a/n_a + sd_b*sd_b/n_b > 0
 STUDENT = """CASE WHEN sd_a + sd_b > 0 THEN (mean_a - mean_b) / sqrt(
   ((n_a-1)*sd_a*sd_a + (n_b-1)*sd_b*sd_b) / (n_a+n_b-2) * (1.0/n_a + 1.0/n_b)) END AS t_stat,
 CASE WHEN sd_a + sd_b > 0 THEN CAST(n_a + n_b - 2 AS DOUBLE) END AS df"""
+
+
+def t_tail(t: str = "t_stat", df: str = "df", steps: int = 3000) -> str:
+    """Two-sided tail of Student's t by a Simpson sum over the density (0 beyond 60)."""
+    x = f"least(abs({t}), 60.0)"
+    return (f"CASE WHEN {t} IS NOT NULL THEN greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0))"
+            f" / sqrt(pi() * {df}) * {x} / {3 * steps}.0 * (SELECT sum((CASE WHEN k IN (0, {steps}) THEN 1"
+            f" WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow({x} * k / {steps}.0, 2) / {df}, -({df} + 1) / 2.0))"
+            f" FROM range({steps + 1}) steps(k))) END")
+
+
+def rank_tail(u_max: str, n_a: str, n_b: str) -> str:
+    """Exact two-sided tail of the rank-sum statistic: all ways to place sample A, one bit per rank."""
+    return (f"(SELECT least(1.0, 2.0 * count_if(u >= ceil({u_max})) / count(*)) FROM ("
+            f"SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END) - {n_a} * ({n_a} + 1) / 2 AS u"
+            f" FROM range(65536) masks(m), range(16) bits(i) WHERE m < (1 << ({n_a} + {n_b}))"
+            f" GROUP BY m HAVING sum((m >> i) & 1) = {n_a}))")
