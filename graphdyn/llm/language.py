@@ -2,8 +2,10 @@
 
 One table serves all languages: row r holds a bit per language. An n-gram is
 looked up at ``HASHES`` rows; the bitwise AND gives every language whose filter
-holds it. A document's score per language is its number of hits (a popcount per
-bit), corrected for the false positives that the filter's fill makes likely.
+holds it. A document's count per language is its number of hits (a popcount per
+bit), corrected for the false positives that the filter's fill makes likely; the
+largest decides. The score is its share, after n-grams that every language
+holds (a passage that all sources repeat) are taken off all counts.
 
 Learning: n-grams are counted per language over a bounded sample of labelled
 documents (``TRAIN_DOCS`` per language, drawn by hash of the key). A language's
@@ -34,7 +36,6 @@ HASHES = 3
 TRAIN_DOCS = 1500
 MIN_SHARE = 1e-5
 RATIO = 0.2
-JUDGED = 200
 UNKNOWN = "und"
 _U = np.uint64
 _K = _U(0xD1342543DE82EF95)
@@ -125,15 +126,24 @@ class Filter:
                 out[w] = got if out[w] is None else out[w] & got
         return out
 
+    def _everywhere(self, masks: list[np.ndarray]) -> np.ndarray:
+        every = np.ones(len(masks[0]), bool)
+        for w, mask in enumerate(masks):
+            full = _U((1 << min(64, len(self.langs) - 64 * w)) - 1)
+            every &= mask & full == full
+        return every
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         langs, scores = [], np.zeros(len(texts))
         for a, b in _chunks(texts):
             found, has = grams(texts[a:b])
             n, total = b - a, np.zeros(b - a)
-            hits = np.zeros((len(self.langs), n))
+            hits, common = np.zeros((len(self.langs), n)), np.zeros(n)
             for gram, doc in found:
                 total += np.bincount(doc, minlength=n)
                 masks = self.contained(gram)
+                if len(self.langs) > 1:
+                    common += np.bincount(doc[self._everywhere(masks)], minlength=n)
                 for i in range(len(self.langs)):
                     held = (masks[i // 64] >> _U(i % 64)) & _U(1)
                     hits[i] += np.bincount(doc[held.astype(bool)], minlength=n)
@@ -141,9 +151,9 @@ class Filter:
                 langs += [UNKNOWN] * n
                 continue
             true = np.maximum(0, (hits - total * self.false[:, None]) / (1 - self.false[:, None]))
-            all_ = true.sum(0)
-            best = np.where(all_ > 0, true.argmax(0), self.usual)
-            scores[a:b] = np.where(has & (all_ > 0), true.max(0) / np.maximum(all_, 1e-300), 0.0)
+            best = np.where(true.any(0), true.argmax(0), self.usual)
+            own = np.maximum(0, true - common)
+            scores[a:b] = np.where(has, own.max(0) / np.maximum(own.sum(0), 1e-300), 0.0)
             langs += [self.langs[j] if h else UNKNOWN for j, h in zip(best, has)]
         return langs, scores
 
@@ -199,16 +209,14 @@ def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str,
 
 
 def accept(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have a language.
+    """The rows of ``docs`` that have a language; ``und`` is rejected.
 
-    Rejected are ``und`` and texts of at least ``JUDGED`` characters in which no
-    language stands out (share of the corrected hits under 1.2 times an even share).
+    A low score alone rejects nothing: a passage that all languages share, or a
+    second language in a text, lowers it without making the text unusable.
     """
-    pred, score = added(docs)
-    floor = 1.2 / max(2, len(model.langs))
-    known = (F.col(pred) != UNKNOWN) & (
-        (F.col(score) >= floor) | (F.length(F.col(text)) < JUDGED))
-    return predict(docs, model, text, tuple(docs.columns)).filter(known).select(docs.columns)
+    pred, _ = added(docs)
+    found = predict(docs, model, text, tuple(docs.columns))
+    return found.filter(F.col(pred) != UNKNOWN).select(docs.columns)
 
 
 def added(docs: DataFrame) -> list[str]:
