@@ -5,23 +5,23 @@ A model predicts x[t] from L^k x[t-p], p = 1..P, k = 0..K. All it needs is
     A_j(p, q) = sum_t  x[t-p]' L^j x[t-q],    0 <= p, q <= P,  0 <= j <= 2K,
 
 because every Gram entry is A_{k+k'}(p, p') and every right-hand side is
-A_k(p, 0). The sums merge over time, so a recording is cut into panes of
-``pane`` samples (each read with P samples of halo), every pane is reduced on
-its own, and the totals of any union of panes are plain sums:
-
-* a model over the whole recording takes every pane,
-* a sliding window takes the panes inside it,
-* a (P, K) grid takes sub-blocks of the same arrays.
-
-A scope that starts at sample s sums over t >= s + P only. With c = P mod pane
-and d = P // pane this means: leave out its first d panes and the first c rows
-of pane d. So a pane gives up to two arrays per order P, ``whole`` and ``tail``.
+A_k(p, 0). The sums merge over time, so a recording is cut into blocks (each
+read with P samples of halo), every block is reduced on its own, and totals are
+plain sums:
+
+* for the whole recording and its sliding windows a block adds up its share of
+  every scope it touches (``window_moments``); running sums between the scopes'
+  borders make overlapping windows cheap,
+* a (P, K) grid takes sub-blocks of the same arrays (``pane_moments``).
+
+A scope that starts at sample s sums over t >= s + P only. In a grid, with
+c = P mod pane and d = P // pane, this means: leave out the first d panes and
+the first c rows of pane d. So a pane gives up to two arrays per order P,
+``whole`` and ``tail``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -241,11 +241,6 @@ def _reduce_panes(keys, k_max, pane, grid, standardise):
     return run
 
 
-def block_length(pane: int, target: int = 1024) -> int:
-    """Samples per block: a multiple of the pane near ``target``."""
-    return pane * max(1, target // pane)
-
-
 def pane_moments(blocks: DataFrame, k_max: int, pane: int, *, grid: bool = False,
                  standardise: bool = True, extra=()) -> DataFrame:
     """Lag moments of every pane: (keys, n_samples, pane, P, part, n_obs, s1, a).
@@ -261,6 +256,10 @@ def pane_moments(blocks: DataFrame, k_max: int, pane: int, *, grid: bool = False
         " a array<double>")
 
 
+#: Samples per block of window moments.
+BLOCK = 1024
+
+
 def sum_moments(parts: DataFrame, keys) -> DataFrame:
     """Element-wise sum of the moment arrays of each key.
 
@@ -278,39 +277,69 @@ def sum_moments(parts: DataFrame, keys) -> DataFrame:
                        F.slice(x, 3, F.size(x) - 2).alias("a"))
 
 
-def scope_moments(parts: DataFrame, pane: int, length: int, step: int, extra=()) -> DataFrame:
+def _window_parts(keys, k_max, length, step, standardise):
+    cols = [*keys, "window_idx", "P", "n_obs", "s1", "a"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                x = block_matrix(row, standardise)
+                s = mode_matrix(row, x)
+                n = x.shape[1]
+                lam_pow = np.asarray(row.lam)[None, :] ** np.arange(2 * k_max + 1)[:, None]
+                head = tuple(getattr(row, k) for k in keys)
+                orders = sorted(int(p) for p in row.orders)
+                lags = np.stack([s[row.halo - p:len(s) - p] for p in range(orders[-1] + 1)])
+                sums = np.concatenate([[0.0], np.cumsum(x[row.halo:].sum(axis=1))])
+                last = (row.n_samples - length) // step if row.n_samples >= length else -1
+                first = max(0, (row.start - length) // step + 1)
+                wins = range(first, min(last, (row.start + row.rows - 1) // step) + 1)
+                for p in orders:
+                    # targets of a scope: all but its first p samples, within this block
+                    spans = [(-1, p - row.start, row.rows)]
+                    spans += [(w, w * step + p - row.start, w * step + length - row.start) for w in wins]
+                    spans = [(w, max(0, i), min(row.rows, j)) for w, i, j in spans]
+                    spans = [(w, i, j) for w, i, j in spans if i < j]
+                    cuts = sorted({c for _, i, j in spans for c in (i, j)})
+                    place = {c: k for k, c in enumerate(cuts)}
+                    running = np.zeros((len(cuts), lam_pow.shape[0] * (p + 1) ** 2))
+                    for k, (i, j) in enumerate(zip(cuts, cuts[1:]), 1):
+                        v = lags[:p + 1, i:j].transpose(2, 0, 1)              # mode, p, t
+                        a = np.tensordot(lam_pow, v @ v.transpose(0, 2, 1), axes=(1, 0))
+                        running[k] = running[k - 1] + a.ravel()
+                    out += [(*head, w, p, (j - i) * n, float(sums[j] - sums[i]),
+                             running[place[j]] - running[place[i]]) for w, i, j in spans]
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+    return run
+
+
+def window_moments(blocks: DataFrame, k_max: int, length: int, step: int, *,
+                   standardise: bool = True, extra=()) -> DataFrame:
     """Totals per scope: window_idx -1 is the whole recording, 0.. the full windows.
 
-    ``pane`` must divide both the window length and the step.
+    A block adds up its share of every window it touches before anything is
+    shuffled: one row per (window, block), T / step + 2 T / block rows a
+    recording whatever the length and step have in common.
     """
-    if length % pane or step % pane:
-        raise ValueError("the pane must divide the window length and the step")
-    per_step, per_window = step // pane, length // pane
-    k = F.col("pane")
-    first = F.greatest(F.lit(0), F.floor((k - per_window) / per_step) + 1)
-    last = F.least(F.floor(k / per_step), F.floor((F.col("n_samples") - length) / step))
-    windows = F.when((F.col("n_samples") >= length) & (first <= last),
-                     F.sequence(first.cast("long"), last.cast("long"))) \
-        .otherwise(F.array().cast("array<bigint>"))
-    spread = parts.withColumn("window_idx", F.explode(
-        F.concat(F.array(F.lit(-1).cast("long")), windows)))
-    since = k - F.greatest(F.col("window_idx"), F.lit(0)) * per_step
-    lead, cut = F.floor(F.col("P") / pane), F.col("P") % pane
-    used = F.when(F.col("part") == "tail", since == lead) \
-        .otherwise((since > lead) | ((since == lead) & (cut == 0)))
-    return sum_moments(spread.filter(used), [*KEY, *extra, "window_idx", "P"])
+    keys = [*KEY, *extra]
+    types = dict(blocks.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    parts = blocks.mapInPandas(
+        _window_parts(keys, k_max, length, step, standardise),
+        f"{schema}, window_idx bigint, P int, n_obs bigint, s1 double, a array<double>")
+    return sum_moments(parts, [*keys, "window_idx", "P"])
 
 
 def graph_var_moments(signals: DataFrame, basis: DataFrame, n_channels: int, *, orders, k_max: int,
-                  p_max: int, length: int, step: int, by: str | None = None,
-                  stats: DataFrame | None = None, standardise: bool = True) -> DataFrame:
+                      p_max: int, length: int, step: int, by: str | None = None,
+                      stats: DataFrame | None = None, standardise: bool = True) -> DataFrame:
     """Whole-recording and window moments of a cohort in one pass over the samples."""
-    pane = math.gcd(length, step)
     if stats is None:
         stats = (recording_stats if standardise else identity_stats)(signals, n_channels)
-    blocks = pane_blocks(signals, stats, basis, block_length(pane), p_max, orders, by)
-    return scope_moments(pane_moments(blocks, k_max, pane, standardise=standardise),
-                         pane, length, step)
+    blocks = pane_blocks(signals, stats, basis, BLOCK, p_max, orders, by)
+    return window_moments(blocks, k_max, length, step, standardise=standardise)
 
 
 # -- node-level outputs of the same blocks ------------------------------------

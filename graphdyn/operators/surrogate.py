@@ -7,8 +7,6 @@ array chunks (8 bytes per sample), never as exploded rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from graphdyn.functions.scalars import nan_to_num
 from graphdyn.operators.graph_var import fit_models, lti_models, tv_models
 from graphdyn.operators.moments import (
-    KEY, block_length, pane_moments, recording_stats, scope_moments, with_context)
+    BLOCK, KEY, recording_stats, window_moments, with_context)
 from graphdyn.operators.transfer import mean_msd, paired_models, pass_msd, surface_pass
 from graphdyn.schema import SD_FLOOR, Z_CLIP
 from graphdyn.session import cut_lineage, spread
@@ -109,13 +107,10 @@ def surrogate_null(signals: DataFrame, basis: DataFrame, n_channels: int, *, P:
         p_max, k_max, lists = P, K, F.array(F.lit(P))
     else:
         lists = orders.select("subject_id", F.array("P").alias("orders"))
-    pane = math.gcd(length, step)
     stats = recording_stats(signals, n_channels)
-    block = block_length(pane)
-    blocks = surrogate_blocks(signals, stats, n_surrogates, block, p_max, seed=seed, shift=shift)
-    ready = with_context(blocks, stats, basis, block, p_max, lists, extra=("surrogate",), complete=True)
-    parts = pane_moments(ready, k_max, pane, standardise=False, extra=("surrogate",))
-    moments = scope_moments(parts, pane, length, step, extra=("surrogate",))
+    blocks = surrogate_blocks(signals, stats, n_surrogates, BLOCK, p_max, seed=seed, shift=shift)
+    ready = with_context(blocks, stats, basis, BLOCK, p_max, lists, extra=("surrogate",), complete=True)
+    moments = window_moments(ready, k_max, length, step, standardise=False, extra=("surrogate",))
     moments = moments.withColumn("K", F.lit(K)) if orders is None else moments.join(
         orders.select("subject_id", "K"), "subject_id")
     models = cut_lineage(fit_models(moments, basis, extra=("surrogate",)))

@@ -13,12 +13,7 @@ SIGNALS = T.StructType([
     T.StructField("t", T.LongType()),
     T.StructField("value", T.DoubleType()),
 ])
-SUBJECTS = T.StructType([
-    T.StructField("subject_id", T.StringType()),
-    T.StructField("grp", T.StringType()),
-    T.StructField("subgroup", T.StringType()),
-    T.StructField("path", T.StringType()),
-])
+
 CHANNELS = T.StructType([
     T.StructField("channel", T.IntegerType()),
     T.StructField("name", T.StringType()),
@@ -61,7 +56,6 @@ Z_CLIP = 10.0
 FISHER_CLIP = 0.999999
 RIDGE = 5e-3
 DEGREE_FLOOR = 1e-10
-SAMPLE_RATE = 100.0
 
 
 @dataclass(frozen=True)
@@ -89,9 +83,3 @@ PRESETS = {
     "qc": Preset(tuple(range(1, 21)), (0, 1, 2, 3, 4),
                  0.95, 0.95, 0.95, (5, 1), "fail", 256, 10, 0.50),
 }
-
-
-def window_samples(seconds: float, overlap: float, fs: float) -> tuple[int, int]:
-    """Window length and step in samples."""
-    length = int(seconds * fs)
-    return length, int(length * (1 - overlap))

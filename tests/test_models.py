@@ -252,3 +252,23 @@ def test_subject_test_selects_and_tests(spark, recordings, basis):
                               preset=preset, n_surrogates=3, n_omega=16)
     rows = out.collect()
     assert len(rows) > 0 and {(r.P, r.K) for r in rows} <= {(p, k) for p in (1, 2) for k in (0, 1)}
+
+
+@pytest.mark.parametrize("length, step", [(61, 30), (60, 60), (70, 1), (55, 23)])
+def test_window_moments_for_any_length_and_step(spark, recordings, basis, ring_lap, length, step, monkeypatch):
+    """Windows that share no pane give the same models as direct fits, over several blocks."""
+    monkeypatch.setattr(moments, "BLOCK", 64)
+    P, K = 2, 1
+    got = moments.graph_var_moments(signals_frame(spark, recordings), basis, 6, orders=F.array(F.lit(P)),
+                                    k_max=K, p_max=P, length=length, step=step)
+    models = graph_var.fit_models(got.withColumn("K", F.lit(K)), basis)
+    fits = {(r.subject_id, r.window_idx): r.h for r in models.filter("scope = 'tv'").collect()}
+    total = 0
+    for (s, _), x in recordings.items():
+        z = brute.zscore(x)
+        for w in range((x.shape[1] - length) // step + 1):
+            total += 1
+            if w % 7 == 0:
+                want = brute.fit(z[:, w * step:w * step + length], ring_lap, P, K)
+                assert fits[(s, w)] == pytest.approx(np.ravel(want), rel=1e-5, abs=1e-7)
+    assert len(fits) == total

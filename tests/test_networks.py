@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphdyn.operators import compare, connectivity, consensus, graphs
+from graphdyn.plans import cohort
 
 EDGE = "subject_id string, grp string, i int, j int, w double"
 
@@ -215,3 +216,12 @@ def test_ranks_with_ties_and_picks(spark):
         "s0", "s1", "s2", "s3", "s5", "s6", "s4"]
     picks = {r.pick: r["rank"] for r in compare.example_picks(ranked).collect()}
     assert picks == {"best": 1, "upper_median": 3, "lower_median": 5, "worst": 7}
+
+
+def test_consensus_validation_tables(spark):
+    m = {s: random_graph(6, k) for k, s in enumerate("pqrs")}
+    e = edges_frame(spark, m)
+    out = cohort.consensus_validation(e, consensus.consensus_mean(e))
+    assert {r["rank"] for r in out["ranked"].collect()} == {1, 2, 3, 4}
+    assert all(0 <= r.pearson_p <= 1 for r in out["scores"].collect())
+    assert sum(r.n for r in out["summary"].collect()) == 4
