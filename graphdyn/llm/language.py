@@ -169,7 +169,8 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
     number = rows.sparkSession.createDataFrame(
         [(name, i, min(1.0, train_docs / sizes[name])) for i, name in enumerate(langs)],
         "l string, i int, share double")
-    sample = rows.join(number, "l").filter(unit_hash("language", F.col("k")) < F.col("share"))
+    # one row per language; a joined shuffle would move every text
+    sample = rows.join(F.broadcast(number), "l").filter(unit_hash("language", F.col("k")) < F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
