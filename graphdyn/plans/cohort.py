@@ -16,9 +16,11 @@ from graphdyn.session import cut_lineage, sized
 
 
 def channel_compatibility(signals: DataFrame, n_channels: int) -> tuple[DataFrame, DataFrame]:
-    """(kept signals, rejects): subjects whose channel count is not the graph's."""
-    counts = signals.groupBy(*KEY).agg(F.count_distinct("channel").alias("n"))
-    bad = sized(counts.filter(F.col("n") != n_channels))
+    """(kept signals, rejects): subjects whose channels are not exactly the graph's 0..n-1."""
+    counts = signals.groupBy(*KEY).agg(F.count_distinct("channel").alias("n"),
+                                       F.min("channel").alias("lo"), F.max("channel").alias("hi"))
+    bad = sized(counts.filter((F.col("n") != n_channels) | (F.col("lo") < 0)
+                              | (F.col("hi") >= n_channels)))
     kept = signals.join(bad.select("subject_id"), "subject_id", "left_anti")
     log = bad.select(*KEY, F.lit("REJECT").alias("status"),
                      F.lit("Channel_mismatch").alias("reason"),
@@ -104,6 +106,12 @@ def subject_test(signals: DataFrame, basis: DataFrame, n_channels: int, *, lengt
     return subject_summary(signals, lti, tv, msd, extent, tests, fs)
 
 
+def group_comparison(tests: DataFrame, a: str = "A", b: str = "B") -> dict[str, DataFrame]:
+    """Groups compared on the subject table: rank tests, time-varying shares and their chi-square."""
+    return {"metrics": stats.mann_whitney(stats.unpivot_metrics(tests, SUBJECT_METRICS), a=a, b=b),
+            "shares": stats.tv_proportion(tests), "chi2": stats.chi2_2x2(tests)}
+
+
 def subject_summary(signals, lti, tv, msd, extent, tests, fs: float = 100.0) -> DataFrame:
     """One row per analysed subject (15 columns)."""
     length = signals.groupBy("subject_id").agg(((F.max("t") + 1) / fs).alias("duration"))
@@ -213,22 +221,33 @@ def qc_quality(facts: DataFrame, log: DataFrame) -> DataFrame:
 
 def qc_facts(signals: DataFrame, models: DataFrame, selected: DataFrame, basis: DataFrame, *,
              n_channels: int, length: int, step: int, preset: Preset = PRESETS["qc"],
-             p_max: int = 20, fs: float = 100.0, n_omega: int | None = None) -> DataFrame:
-    """The gate inputs of every subject from the shared model tables."""
-    shape = signals.groupBy(*KEY).agg(F.count_distinct("channel").alias("n_channels"))
+             p_max: int = 20, fs: float = 100.0, n_omega: int | None = None,
+             rejects: DataFrame | None = None) -> DataFrame:
+    """The gate inputs of every subject from the shared model tables.
+
+    ``rejects`` are recordings that could not be loaded (``read_cohort``); a
+    window model without coefficients counts as a failed fit.
+    """
+    shape = signals.groupBy(*KEY).agg(F.count_distinct("channel").alias("n_channels")) \
+        .withColumn("loaded", F.lit(True))
+    if rejects is not None:
+        shape = shape.unionByName(rejects.select(
+            *KEY, F.lit(None).cast("long").alias("n_channels"), F.lit(False).alias("loaded")))
     lti = models.filter("scope = 'lti'")
     tv = tv_models(models, length, step, preset.rho_tv)
     bad_tf = failing_transfer(lti.unionByName(tv.select(*lti.columns)), basis, p_max, fs,
                               n_omega or preset.n_omega)
     return (
-        shape.withColumn("loaded", F.lit(True))
-        .withColumn("expected_channels", F.lit(n_channels))
+        shape.withColumn("expected_channels", F.lit(n_channels))
         .join(selected.select("subject_id", F.lit(True).alias("selected")), "subject_id", "left")
         .join(lti.select("subject_id", F.col("rho").alias("lti_rho"),
                          F.col("r2").alias("lti_r2")), "subject_id", "left")
         .join(tv.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_windows")),
               "subject_id", "left")
-        .withColumn("tv_fitted", F.lit(True))
+        .join(models.filter("scope = 'tv'").groupBy("subject_id").agg(
+            (F.count_if(F.col("rho").isNull() | F.isnan("rho")) == 0).alias("tv_fitted")),
+            "subject_id", "left")
+        .withColumn("tv_fitted", F.coalesce("tv_fitted", F.lit(True)))
         .join(bad_tf, "subject_id", "left")
         .withColumn("tf_ok", F.coalesce("tf_ok", F.lit(True))))
 
@@ -245,8 +264,12 @@ def failing_transfer(models, basis, p_max, fs, n_omega):
 
 def qc_cohort(signals: DataFrame, basis: DataFrame, n_channels: int, *, length: int,
                        step: int, preset: Preset = PRESETS["qc"], fs: float = 100.0,
-                       a: str = "A", b: str = "B") -> dict[str, DataFrame]:
-    """Grid, selection, models, gates and cohort statistics for all subjects at once."""
+                       a: str = "A", b: str = "B",
+                       rejects: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Grid, selection, models, gates and cohort statistics for all subjects at once.
+
+    ``rejects`` of ``read_cohort`` enter the log, report and shares as failed.
+    """
     signals, mismatch = channel_compatibility(signals, n_channels)
     grid = cut_lineage(model_grid(signals, basis, n_channels, preset.p_grid, preset.k_grid,
                                   rho_limit=preset.rho_select))
@@ -256,7 +279,8 @@ def qc_cohort(signals: DataFrame, basis: DataFrame, n_channels: int, *, length:
         signals, basis, n_channels, length=length, step=step, orders=selected, p_max=p_max,
         k_max=max(*preset.k_grid, preset.fallback[1])))
     facts = cut_lineage(qc_facts(signals, models, selected, basis, n_channels=n_channels,
-                                 length=length, step=step, preset=preset, p_max=p_max, fs=fs))
+                                 length=length, step=step, preset=preset, p_max=p_max, fs=fs,
+                                 rejects=rejects))
     log = qc_gate(facts, preset).unionByName(mismatch.select(*QC_LOG.names))
     accepted = log.filter("status = 'SUCCESS'").select("subject_id")
     lti = lti_models(models, preset.rho_lti).join(accepted, "subject_id", "left_semi")
@@ -271,6 +295,10 @@ def qc_cohort(signals: DataFrame, basis: DataFrame, n_channels: int, *, length:
         "report": qc_report(log), "quality": qc_quality(facts, log), "summary": summary,
         "group_stats": stats.two_group_test(
             stats.unpivot_metrics(summary, GROUP_METRICS), ["metric"], a=a, b=b),
+        "qc_stats": stats.two_group_test(
+            stats.unpivot_metrics(summary, QC_METRICS), ["metric"], a=a, b=b),
+        "small_cohort_stats": stats.two_group_test(
+            stats.unpivot_metrics(summary, SMALL_COHORT_METRICS), ["metric"], a=a, b=b),
         "pointwise": stats.pointwise_stats(stats.subject_curves(surface, "mode"), a=a, b=b),
         "band_stats": stats.band_stats(surface, a=a, b=b),
     }

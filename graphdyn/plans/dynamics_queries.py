@@ -524,6 +524,25 @@ def subject_summary(spark, d):
                                preset=pre, P=P, K=K)
 
 
+@query("metric u_stat:r6 p_value:r6", f"""WITH {_COEF},
+{o.surfaces()},
+sub AS MATERIALIZED (SELECT subject_id, m.grp, global_msd, global_variance, global_coeff_cv
+  FROM models m JOIN gmsd USING (subject_id) JOIN extent USING (subject_id)
+  JOIN (SELECT subject_id, avg(h_cv) AS global_coeff_cv FROM cv GROUP BY ALL) USING (subject_id)
+  WHERE scope = 'lti'),
+met AS (SELECT grp, 'global_msd' AS metric, global_msd AS value FROM sub
+  UNION ALL SELECT grp, 'global_variance', global_variance FROM sub
+  UNION ALL SELECT grp, 'global_coeff_cv', global_coeff_cv FROM sub),
+u AS MATERIALIZED (SELECT metric, sum(CASE WHEN a.value > b.value THEN 1.0 WHEN a.value = b.value THEN 0.5
+  ELSE 0 END) AS u_stat, (SELECT count_if(grp = 'A') FROM sub) AS n_a, (SELECT count_if(grp = 'B') FROM sub) AS n_b
+  FROM met a JOIN met b USING (metric) WHERE a.grp = 'A' AND b.grp = 'B' GROUP BY metric)
+SELECT metric, u_stat, {o.rank_tail('greatest(u_stat, n_a * n_b - u_stat)', 'n_a', 'n_b')} AS p_value FROM u""")
+def subject_group_tests(spark, d):
+    """Rank tests of the groups on the subject table (the metrics without ties)."""
+    return cohort.group_comparison(cut_lineage(subject_summary(spark, d)))["metrics"].filter(
+        "metric <> 'outside_ci_fraction'")
+
+
 # -- quality control ------------------------------------------------------------------------
 
 _QC = Preset((1, 2), (0, 1), 0.95, 0.15, 0.35, (2, 1), "fail", OMEGA, 10, 0.0005)

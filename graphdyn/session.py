@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of intermediates written by this process.
+_STEPS: list[str] = []
+
+
 def local_session(cpus: int | str = 8, app: str = "graphdyn") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     parallel = 8 if cpus == "*" else int(cpus)
@@ -71,4 +75,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STEPS.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_steps(spark: SparkSession) -> int:
+    """Delete the intermediates that ``cut_lineage`` has written in this process; their number.
+
+    For the end of a job: tables that still read them can no longer be evaluated.
+    """
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    count = len(_STEPS)
+    while _STEPS:
+        path = hadoop.Path(_STEPS.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count

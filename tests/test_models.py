@@ -272,3 +272,30 @@ def test_window_moments_for_any_length_and_step(spark, recordings, basis, ring_l
                 want = brute.fit(z[:, w * step:w * step + length], ring_lap, P, K)
                 assert fits[(s, w)] == pytest.approx(np.ravel(want), rel=1e-5, abs=1e-7)
     assert len(fits) == total
+
+
+def test_failed_recordings_reach_the_log(spark, recordings, basis):
+    """Unloadable recordings and stray channels are rows of the log and leave the statistics."""
+    pre = Preset((1, 2), (0, 1), 1.0, 1.0, 0.99, (2, 1), "none", 16, 2, -1.0)
+    sig = signals_frame(spark, recordings)
+    stray = sig.limit(1).selectExpr("'odd' as subject_id", "grp", "9 as channel", "t", "value")
+    rejects = spark.createDataFrame([("gone", "A", "FAILED", "EEG_loading_error", "unreadable", "", "")],
+                                    "subject_id string, grp string, status string, reason string,"
+                                    " detail_1 string, detail_2 string, detail_3 string")
+    out = cohort.qc_cohort(sig.unionByName(stray), basis, 6, length=60, step=30, preset=pre, rejects=rejects)
+    log = {r.subject_id: r.reason for r in out["log"].collect()}
+    assert log.pop("gone") == "EEG_loading_error" and log.pop("odd") == "Channel_mismatch"
+    assert set(log) == {s for s, _ in recordings}
+    assert {r.metric for r in out["qc_stats"].collect()} <= set(cohort.QC_METRICS)
+    assert {"gone", "odd"}.isdisjoint(r.subject_id for r in out["summary"].collect())
+
+
+def test_clear_steps_removes_intermediates(spark):
+    import os
+
+    from graphdyn import session
+    session.clear_steps(spark)
+    session.cut_lineage(spark.range(3))
+    path = session._STEPS[-1].removeprefix("file:")
+    assert os.path.isdir(path) and session.clear_steps(spark) == 1 and not os.path.exists(path)
+
