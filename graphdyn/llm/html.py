@@ -426,7 +426,8 @@ def fit(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) ->
     n = pages.count()
     h = pages.select(F.col(html).alias("h"))
     draw = unit_hash("html", F.md5(F.col("h")))
-    sample = h.filter(draw < train_pages / max(1, n)) if n > train_pages else h
+    # equal pages are drawn together, so they count once
+    sample = (h.filter(draw < train_pages / max(1, n)) if n > train_pages else h).distinct()
     sample = sample.unionByName(pages.sparkSession.createDataFrame([("",)], "h string"))
     rows = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(
         _fit, "tree int, bias double, which array<long>, cut array<double>, leaf array<double>").orderBy("tree").collect()

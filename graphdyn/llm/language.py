@@ -15,8 +15,8 @@ in any language. Table size therefore does not grow with the corpus.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties
 go to the first language by name; a text with letters but no hit gets the most
-frequent label with score 0; without labelled rows every text is ``und``; repeated
-rows, other columns and labels elsewhere change nothing.
+frequent label with score 0; without labelled rows every text is ``und``; a key
+that repeats is learned from once; other columns change nothing.
 """
 
 from __future__ import annotations
@@ -171,6 +171,8 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
         "l string, i int, share double")
     # one row per language; a joined shuffle would move every text
     sample = rows.join(F.broadcast(number), "l").filter(unit_hash("language", F.col("k")) < F.col("share"))
+    # a key is drawn with all its rows, so it counts once
+    sample = sample.groupBy("i", "k").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

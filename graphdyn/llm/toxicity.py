@@ -10,8 +10,8 @@ to the executors once. All of it is bounded by the sample, not by the corpus.
 
 Edge cases: null and empty texts score the bias alone; rows without a label or
 with a label other than 0 and 1 are not learned from; without rows of both
-labels every score is the share of label 1 (0 without rows); repeated rows count
-as often as they occur; other columns are never read.
+labels every score is the share of label 1 (0 without rows); a key that repeats
+is learned from once; other columns are never read.
 """
 
 from __future__ import annotations
@@ -108,9 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str,
     draw = unit_hash("toxicity", F.col("k"))
     n_shards = -(-sum(min(n, train_docs) for n in counts.values()) // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("k"), F.lit(n_shards)).alias("shard")
-    drawn = rows.filter(draw < share).select("k", "y", shard, draw.alias("draw"))
+    # a key is drawn with all its rows, so it counts once per label
+    drawn = rows.filter(draw < share).select("k", "y", shard, draw.alias("draw")).distinct()
     sample = docs.select(F.col(key).alias("k2"), F.col(text).alias("t")).join(
-        F.broadcast(drawn), F.col("k2") == F.col("k")).select("shard", "draw", "t", "y")
+        F.broadcast(drawn), F.col("k2") == F.col("k")).groupBy("shard", "draw", "k", "y").agg(F.min("t").alias("t"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "y"])
