@@ -25,7 +25,7 @@ from graphdyn.plans import oracle_parts as o
 from graphdyn.plans.catalog import query
 from graphdyn.plans.network_queries import (
     _ARCS, _GRAPH, _KSUBJ, _NORM, N1, _binar, _distance_sql, _graph)
-from graphdyn.schema import Preset
+from graphdyn.schema import PRESETS, Preset
 from graphdyn.session import cut_lineage
 from graphdyn.sources import fixtures as fx
 
@@ -331,6 +331,15 @@ def model_grid(spark, d):
     return _grid(spark, d)
 
 
+@query("subject_id grp P:i K:i rho:r6 n_obs:l rss:r6 r2:r6 mse:r6 bic:r6 stable:b",
+       f"WITH {_GRID} SELECT * FROM model_grid")
+def model_grid_published(spark, d):
+    """The published grid of 100 cells is fitted in full; SQL can solve four of them."""
+    full = PRESETS["qc"]
+    grid = gv.model_grid(fx.signals_ledger(spark, d), _ring(spark), N, full.p_grid, full.k_grid)
+    return cut_lineage(grid).filter("P in (1, 2) and K in (0, 1)")
+
+
 @query("subject_id grp P:i K:i best_bic:r6", f"""WITH {_PICK}
 SELECT *, bic AS best_bic FROM picked""")
 def select_model(spark, d):
