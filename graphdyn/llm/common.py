@@ -48,5 +48,29 @@ def row_digest(df: DataFrame) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+#: 64-bit words of the member bitmap: one megabyte, whatever the number of members.
+WORDS = 1 << 17
+
+
+def maybe_member(h: Column, members: DataFrame) -> Column:
+    """Whether a row's hash may be among those of ``members`` (one column); False is certain.
+
+    A bitmap of fixed size goes to the rows, so that a join need only shuffle
+    those that may have a partner. With very many members it lets all rows
+    through, and the join is as right as before.
+    """
+    slot = lambda x: F.pmod(x, F.lit(64 * WORDS))
+    s = slot(F.col(members.columns[0]))
+    one = members.select(F.floor(s / 64).alias("word"), F.expr("1L").alias("one"), (s % 64).cast("int").alias("at"))
+    words = one.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits"))
+    every = members.sparkSession.range(WORDS).join(words, F.col("id") == F.col("word"), "left").agg(
+        F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("b"))
+    table = every.select(F.col("b.bits")).scalar()
+    word = F.element_at(table, (F.floor(slot(h) / 64) + 1).cast("int"))
+    shift = F.pow(F.lit(2.0), slot(h) % 64)
+    low = word.bitwiseAND(F.when(slot(h) % 64 == 63, F.lit(-2 ** 63)).otherwise(shift.cast("long")))
+    return low != 0
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import fresh, partitions
+from graphdyn.llm.common import fresh, maybe_member, partitions
 from graphdyn.llm.words import chunks, encode, shingle_sets
 from graphdyn.session import cut_lineage
 
@@ -215,7 +215,8 @@ def _searchable(docs: DataFrame, lengths: DataFrame, text: str, key: str) -> Dat
         F.min("k").alias("rep"), F.count("*").alias("g"), F.first("n").alias("n"), F.first("df").alias("df"))
     kept = cut_lineage(classes.mapInPandas(
         _shared, "sig binary, rep long, g long, n long, df binary, m long"))
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(
+        maybe_member(F.xxhash64(F.col(key).cast("long")), kept.select(F.xxhash64("rep"))))
     rows = texts.join(kept, F.col("k").eqNullSafe(F.col("rep"))).select("t", "sig", "n", "m", "df")
     return cut_lineage(rows.mapInPandas(
         _order, "sig binary, n long, m long, lists binary, short array<long>"))
@@ -371,7 +372,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     marked = out.join(heads, F.col("c").eqNullSafe(F.col("c2")), "left")
     gone = (F.col("n") > 0) & ~(stays & (F.col("name") == F.col("m")))
     lost = cut_lineage(marked.filter(gone).select(F.col("k").alias(k), F.col("name").alias(name)).distinct())
-    kept = docs.join(lost, here.cast("long").eqNullSafe(F.col(k)) & (own == F.col(name)), "left_anti")
+    maybe = maybe_member(F.xxhash64(here.cast("long"), own), lost.select(F.xxhash64(k, name)))
+    kept = docs.filter(~maybe).unionByName(docs.filter(maybe).join(
+        lost, here.cast("long").eqNullSafe(F.col(k)) & (own == F.col(name)), "left_anti"))
     again = cut_lineage(marked.filter(~gone & (F.col("r") > 1)).groupBy("k", "name").count()
                         .filter("count > 1").select(F.col("k").alias(k), F.col("name").alias(name)))
     if again.isEmpty():

@@ -204,9 +204,11 @@ def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str,
     schema = ", ".join(f"`{n}` {k}" for n, k in rows.drop(t).dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            langs, scores = shared.value.predict([x if isinstance(x, str) else "" for x in pdf[t]])
-            yield pdf.drop(columns=t).assign(**{pred: langs, score: scores})
+        for whole in batches:
+            for i in range(0, len(whole), 1000):  # small frames out, as they may carry texts
+                pdf = whole.iloc[i: i + 1000]
+                langs, scores = shared.value.predict([x if isinstance(x, str) else "" for x in pdf[t]])
+                yield pdf.drop(columns=t).assign(**{pred: langs, score: scores})
 
     return rows.mapInPandas(run, f"{schema + ', ' if schema else ''}`{pred}` string, `{score}` double")
 

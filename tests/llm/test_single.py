@@ -265,3 +265,17 @@ def test_html_on_tables(spark):
         part = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         part = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", part))
         assert r.text == " ".join(entities.unescape(part).split()) and r.n_chars == len(r.text)
+
+
+def test_member_bitmap_never_misses(spark):
+    """Members always pass, few others do; an empty set lets nothing through; null hashes work."""
+    rows = spark.range(4000).select("id", F.xxhash64("id").alias("h"))
+    members = rows.filter("id % 40 = 0").select("h")
+    got = {r.id for r in rows.filter(common.maybe_member(F.col("h"), members)).collect()}
+    assert {i for i in range(0, 4000, 40)} <= got and len(got) < 200
+    assert rows.filter(common.maybe_member(F.col("h"), members.limit(0))).count() == 0
+    edge = spark.createDataFrame([(63,), (-1,), (64 * common.WORDS + 63,)], "h long")
+    assert edge.filter(common.maybe_member(F.col("h"), edge)).count() == 3
+    # the last bit of a word; the third hash shares its slot, the second does not
+    one = edge.filter("h = 63")
+    assert {r.h for r in edge.filter(common.maybe_member(F.col("h"), one)).collect()} == {63, 64 * common.WORDS + 63}
