@@ -26,8 +26,9 @@ meet in a short list. Every link is thereby found or lies within one component.
 Hashes have 64 bits (list lengths: bucket bits + 32, and a collision there only
 makes a list look longer). Edge cases: null, empty and blank texts have no
 shingles and link with nothing; texts of one to four words are one shingle;
-repeated rows belong to one class; null keys take part, a component's id is its
-smallest non-null key; an empty table gives an empty result.
+repeated rows belong to one class; null keys and keys that repeat take part, a
+component's id is its smallest non-null key (components without one share the id
+null, but stay apart); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -202,8 +203,6 @@ def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for s, sig, n, m, df in zip(_sets(encode(pdf["t"])), pdf["sig"], pdf["n"], pdf["m"], pdf["df"]):
-            if _sig(s) != sig:  # another text under the same key
-                continue
             s = s[np.lexsort((s, np.frombuffer(df, np.uint8)))]
             short = s[n - m: n + 1 - (4 * n + 4) // 5]
             out.append((sig, n, m, s.tobytes(), short.view(np.int64)))
@@ -212,14 +211,23 @@ def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _searchable(docs: DataFrame, lengths: DataFrame, text: str, key: str) -> DataFrame:
     classes = lengths.filter(F.col("df").isNotNull()).groupBy("sig").agg(
-        F.min("k").alias("rep"), F.count("*").alias("g"), F.first("n").alias("n"), F.first("df").alias("df"))
+        F.min(F.struct("k", "name")).alias("rep"), F.count("*").alias("g"), F.first("n").alias("n"),
+        F.first("df").alias("df"))
+    classes = classes.select("sig", F.col("rep.k").alias("rep"), F.col("rep.name").alias("digest"), "g", "n", "df")
     kept = cut_lineage(classes.mapInPandas(
-        _shared, "sig binary, rep long, g long, n long, df binary, m long"))
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(
-        maybe_member(F.xxhash64(F.col(key).cast("long")), kept.select(F.xxhash64("rep"))))
-    rows = texts.join(kept, F.col("k").eqNullSafe(F.col("rep"))).select("t", "sig", "n", "m", "df")
-    return cut_lineage(rows.mapInPandas(
+        _shared, "sig binary, rep long, digest binary, g long, n long, df binary, m long"))
+    # a class has one text, but many texts may have its key, or none of them a key
+    texts = docs.select(F.col(key).cast("long").alias("k"), _name(text).alias("name"), F.col(text).alias("t")).filter(
+        maybe_member(F.xxhash64(F.col(key).cast("long"), _name(text)), kept.select(F.xxhash64("rep", "digest"))))
+    rows = texts.join(kept, F.col("k").eqNullSafe(F.col("rep")) & (F.col("name") == F.col("digest")))
+    found = cut_lineage(rows.select("t", "sig", "n", "m", "df").mapInPandas(
         _order, "sig binary, n long, m long, lists binary, short array<long>"))
+    again = cut_lineage(found.groupBy("sig").count().filter("count > 1").select("sig"))
+    if again.isEmpty():
+        return found
+    # rows that repeat key and text
+    return cut_lineage(found.join(again, "sig", "left_anti").unionByName(
+        found.join(again, "sig", "left_semi").dropDuplicates(["sig"])))
 
 
 # --- 4. search -------------------------------------------------------------
@@ -336,7 +344,11 @@ def class_links(classes: DataFrame) -> DataFrame:
 
 
 def _classed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(k, name, n, c): key, text's md5, set size and component, one row per document."""
+    """(k, name, n, c, label), one row per document: key, text's md5, set size, component's id and label.
+
+    The label tells components apart whose ids are equal (null, or a key that
+    repeats); texts without words have none.
+    """
     lengths = list_lengths(docs, text, key)
     classes = _searchable(docs, lengths, text, key)
     label = components(class_links(classes))
@@ -345,9 +357,10 @@ def _classed(docs: DataFrame, text: str, key: str) -> DataFrame:
         "sig", "rep", F.coalesce("label", "sig").alias("label"))
     named = cut_lineage(named)
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
-    found = cut_lineage(named.join(least, "label").select(F.col("sig").alias("s"), "least"))
+    found = cut_lineage(named.join(least, "label").select(F.col("sig").alias("s"), "least", "label"))
     out = lengths.join(found, F.col("sig") == F.col("s"), "left")
-    return out.select("k", "name", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k")).alias("c"))
+    return out.select("k", "name", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k")).alias("c"),
+                      "label")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -359,18 +372,19 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that with the smallest key.
 
-    Documents without words all stay. Of rows that repeat a key that stays, and
-    of null keys in a component without others, one row stays.
+    Documents without words all stay. Of the texts under that key, and of those
+    of a component without keys, the one with the smallest md5 stays, once.
     """
     out = cut_lineage(_classed(docs, text, key))
     here, own = F.col(key), _name(text)
     first, k, name = fresh(docs, "first", "k", "name")
-    stays = F.col("k").eqNullSafe(F.col("c"))
-    # of the texts under the key that stays, that of the smallest md5
-    heads = out.filter(stays & (F.col("n") > 0)).groupBy("c").agg(F.min("name").alias("m"), F.count("*").alias("r"))
-    heads = cut_lineage(heads.withColumnRenamed("c", "c2"))
-    marked = out.join(heads, F.col("c").eqNullSafe(F.col("c2")), "left")
-    gone = (F.col("n") > 0) & ~(stays & (F.col("name") == F.col("m")))
+    # null keys last; equal texts are in one component, so key and text name a row's component
+    heads = out.filter("n > 0").groupBy("label").agg(
+        F.min(F.struct(F.col("k").isNull().alias("none"), "k", "name")).alias("m"), F.count("*").alias("r"))
+    heads = cut_lineage(heads.select(F.col("label").alias("l2"), F.col("m.k").alias("k2"), F.col("m.name").alias("m"),
+                                     "r"))
+    marked = out.filter("n > 0").join(heads, F.col("label") == F.col("l2"))
+    gone = ~(F.col("k").eqNullSafe(F.col("k2")) & (F.col("name") == F.col("m")))
     lost = cut_lineage(marked.filter(gone).select(F.col("k").alias(k), F.col("name").alias(name)).distinct())
     maybe = maybe_member(F.xxhash64(here.cast("long"), own), lost.select(F.xxhash64(k, name)))
     kept = docs.filter(~maybe).unionByName(docs.filter(maybe).join(

@@ -66,6 +66,22 @@ def test_jaccard_null_keys_repeats_and_empty(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_dedup_keeps_unlinked_texts_without_own_key(spark):
+    """Null keys and one repeated key: a component is known by its texts, not by its id."""
+    long_ = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = [long_("n"), long_("n") + " tail"]
+    rows = [(None, long_(c)) for c in "abcd"] + [(None, t) for t in near] + [(None, long_("a"))]
+    rows += [(5, long_("e")), (5, long_("f")), (5, long_("f")), (3, long_("g")), (5, long_("g") + " end")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = min(near, key=lambda t: hashlib.md5(t.encode()).digest())
+    want = [(None, long_(c)) for c in "abcd"] + [(None, first), (5, long_("e")), (5, long_("f")), (3, long_("g"))]
+    assert sorted(map(str, jaccard.dedup(df).collect())) == sorted(map(str, spark.createDataFrame(want, SCHEMA).collect()))
+    # each class is searched once, with its own text
+    lengths = jaccard.list_lengths(df, "text", "doc_id")
+    classes = jaccard._searchable(df, lengths, "text", "doc_id").collect()
+    assert len(classes) == len({bytes(r.sig) for r in classes}) and all(8 * r.n == len(r.lists) for r in classes)
+
+
 def test_divide_skip_matches_counting():
     import numpy as np
     rng = np.random.default_rng(1)
