@@ -13,10 +13,16 @@ filter takes an n-gram that makes up at least ``MIN_SHARE`` of its n-grams, so
 at most 1 / MIN_SHARE of them, and at least ``RATIO`` of the largest such share
 in any language. Table size therefore does not grow with the corpus.
 
+Rejecting: the learned rows also give each language's floor, ``FLOOR`` times the
+share of known n-grams that all but ``LOWEST`` of its rows reach. ``accept`` drops
+a text whose corrected share lies below its language's floor by more than its
+number of n-grams explains. N-grams that languages share count as known, so shared
+passages stay, as do texts of too few n-grams to tell.
+
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties
 go to the first language by name; a text with letters but no hit gets the most
-frequent label with score 0; without labelled rows every text is ``und``; a key
-that repeats is learned from once; other columns change nothing.
+frequent label with score 0; without labelled rows every text is ``und`` and none is
+rejected; a key that repeats is learned from once; other columns change nothing.
 """
 
 from __future__ import annotations
@@ -25,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphdyn.llm.common import fresh, unit_hash
 from graphdyn.llm.words import mix
+from graphdyn.session import cut_lineage
 
 SIZES = (3, 4)
 HASHES = 3
@@ -37,6 +45,9 @@ TRAIN_DOCS = 1500
 MIN_SHARE = 1e-5
 RATIO = 0.2
 UNKNOWN = "und"
+LOWEST, FLOOR = 0.01, 0.5
+#: Standard errors that a share must lie below its floor.
+ERRORS = 2.0
 _U = np.uint64
 _K = _U(0xD1342543DE82EF95)
 _CHARS = 1 << 19
@@ -110,6 +121,7 @@ class Filter:
             np.bitwise_or.at(self.table, (lang // 64, row), _U(1) << (lang % 64).astype(_U))
         fill = [(self.table[i // 64] >> _U(i % 64) & _U(1)).mean() for i in range(len(langs))]
         self.false = np.array(fill) ** HASHES
+        self.floor = np.zeros(len(langs))
 
     def _rows(self, gram: np.ndarray) -> Iterator[np.ndarray]:
         """Row numbers by double hashing."""
@@ -133,8 +145,8 @@ class Filter:
             every &= mask & full == full
         return every
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        langs, scores = [], np.zeros(len(texts))
+    def _measure(self, texts: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per chunk: place, n-grams looked up, corrected hits per language, n-grams of all languages, has a letter."""
         for a, b in _chunks(texts):
             found, has = grams(texts[a:b])
             n, total = b - a, np.zeros(b - a)
@@ -147,16 +159,40 @@ class Filter:
                 for i in range(len(self.langs)):
                     held = (masks[i // 64] >> _U(i % 64)) & _U(1)
                     hits[i] += np.bincount(doc[held.astype(bool)], minlength=n)
-            if not self.langs:
-                langs += [UNKNOWN] * n
-                continue
             true = np.maximum(0, (hits - total * self.false[:, None]) / (1 - self.false[:, None]))
+            yield slice(a, b), total, true, common, has
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        langs, scores = [], np.zeros(len(texts))
+        for at, _, true, common, has in self._measure(texts):
             best = np.where(true.any(0), true.argmax(0), self.usual)
             own = np.maximum(0, true - common)
-            scores[a:b] = np.where(has, own.max(0) / np.maximum(own.sum(0), 1e-300), 0.0)
+            scores[at] = np.where(has, own.max(0) / np.maximum(own.sum(0), 1e-300), 0.0)
             langs += [self.langs[j] if h else UNKNOWN for j, h in zip(best, has)]
         return langs, scores
 
+    def known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: n-grams looked up, the best language's corrected share of them, that language, has a letter."""
+        total, share = np.zeros(len(texts)), np.zeros(len(texts))
+        lang, letter = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for at, n, true, _, has in self._measure(texts):
+            total[at], letter[at] = n, has
+            share[at] = true.max(0) / np.maximum(n, 1)
+            lang[at] = np.where(true.any(0), true.argmax(0), self.usual)
+        return total, share, lang, letter
+
+    def accepts(self, texts: list[str]) -> np.ndarray:
+        """Which texts have a language; all, if none is known."""
+        if not self.langs:
+            return np.ones(len(texts), bool)
+        total, share, lang, letter = self.known(texts)
+        floor = self.floor[lang]
+        # a letter is part of sum(SIZES) n-grams, so these are not independent
+        error = np.sqrt(floor * (1 - floor) * sum(SIZES) / np.maximum(total, 1))
+        return letter & (share >= floor - ERRORS * error)
+
 
 def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN_DOCS) -> Filter:
     """Learn from labelled ``rows``; counts come back per kept (language, n-gram)."""
@@ -172,7 +208,7 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
     # one row per language; a joined shuffle would move every text
     sample = rows.join(F.broadcast(number), "l").filter(unit_hash("language", F.col("k")) < F.col("share"))
     # a key is drawn with all its rows, so it counts once
-    sample = sample.groupBy("i", "k").agg(F.min("t").alias("t"))
+    sample = cut_lineage(sample.groupBy("i", "k").agg(F.min("t").alias("t")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -190,8 +226,19 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
     share = share.filter(F.col("share") >= MIN_SHARE)
     top = share.groupBy("gram").agg(F.max("share").alias("top"))
     kept = share.join(top, "gram").filter(F.col("share") >= RATIO * F.col("top")).select("i", "gram").toPandas()
-    return Filter(langs, kept["gram"].to_numpy(np.int64).view(_U), kept["i"].to_numpy(np.int64),
-                  usual=max(range(len(langs)), key=lambda i: sizes[langs[i]]))
+    model = Filter(langs, kept["gram"].to_numpy(np.int64).view(_U), kept["i"].to_numpy(np.int64),
+                   usual=max(range(len(langs)), key=lambda i: sizes[langs[i]]))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n, share, _, letter = shared.value.known(pdf["t"].tolist())
+            yield pd.DataFrame({"i": pdf["i"], "share": share})[letter & (n > 0)]
+
+    shares = sample.select("i", "t").mapInPandas(known, "i int, share double")
+    for r in shares.groupBy("i").agg(F.percentile("share", F.lit(LOWEST)).alias("low")).collect():
+        model.floor[r["i"]] = FLOOR * r["low"]
+    return model
 
 
 def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -214,14 +261,24 @@ def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str,
 
 
 def accept(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have a language; ``und`` is rejected.
+    """The rows of ``docs`` that have a language (``Filter.accepts``).
 
-    A low score alone rejects nothing: a passage that all languages share, or a
-    second language in a text, lowers it without making the text unusable.
+    A low score rejects nothing: a passage that all languages share, or a second
+    language in a text, lowers it without making the text unusable.
     """
-    pred, _ = added(docs)
-    found = predict(docs, model, text, tuple(docs.columns))
-    return found.filter(F.col(pred) != UNKNOWN).select(docs.columns)
+    if not model.langs:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):  # small frames out, as they carry texts
+                part = whole.slice(i, 1000)
+                kept = shared.value.accepts([x or "" for x in part.column(at).to_pylist()])
+                yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def added(docs: DataFrame) -> list[str]:

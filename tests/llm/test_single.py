@@ -121,6 +121,23 @@ def test_language_cases(spark):
     assert language.predict(ask.limit(0), model).count() == 0
 
 
+def test_language_rejects_texts_without_known_ngrams(spark):
+    passage = " all rights reserved by the owner of this text"
+    rows = [(i, "the cat and the hat sat there with them" + passage * (i % 2), "en", "s") for i in range(8)]
+    rows += [(20 + i, "der hund und die katze sind nicht hier" + passage * (i % 2), "de", "s") for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs, "text", "lang", "doc_id")
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(40))
+    ask = spark.createDataFrame(
+        [(1, "the hat sat with the cat"), (2, "Съешь же ещё этих мягких французских булок, да выпей чаю"), (3, noise),
+         (2 ** 53 + 1, passage), (None, "der hund" + passage * 3), (6, "ЖЖЖ"), (7, "12 !?"), (8, None)],
+        "doc_id long, text string")
+    assert {r.doc_id for r in language.accept(ask, model).collect()} == {1, 2 ** 53 + 1, None, 6}
+    nothing = language.fit(docs.limit(0), "text", "lang", "doc_id")
+    assert language.accept(ask, nothing).count() == 8
+
+
 def test_bloom_filter_has_no_false_negatives():
     rng = np.random.default_rng(0)
     gram = rng.integers(0, 2 ** 63, 3000).astype(np.uint64)
