@@ -4,21 +4,27 @@ Base spans come from three patterns. The method adds spans: a candidate is a
 token of at least ``LEAST`` characters near a sensitive word that mixes digits or
 inner capitals with letters. Its novelty is the
 number of bytes by which the compressed text grows when the candidate follows
-its surroundings, with the surroundings, the document's other identifiers and
-``IDENTIFIERS`` as raw dictionary, per byte of the candidate. Prose and
-identifiers that occur nearby compress to a few bytes; random strings do not.
+its surroundings, with the surroundings, the document's other identifiers and a
+constant list as raw dictionary, per byte of the candidate. Prose and
+identifiers that occur elsewhere compress to a few bytes; random strings do not.
+
+Identifiers are the distinct runs of letters, digits and underscores of the whole
+document. A candidate's dictionary gets those of its own that occur outside it
+too, however far away, and those others that share ``PIECE`` bytes with it; of
+identifiers with one piece in common the first ``HOLDERS`` are enough to hold it.
 
 Each document is scanned whole and on its own, so work is linear in the text
 and no state is shared. Offsets count code points, ends are exclusive.
 
 Edge cases: null and empty texts have no spans; repeated rows each get theirs;
-very long texts are scanned whole (the dictionary is the ``AROUND`` bytes on
+very long texts are scanned whole (the surroundings are the ``AROUND`` bytes on
 each side of a candidate); other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +47,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: Words beside which a random string is suspect.
 SENSITIVE = (rb"(?i)(?<![a-z])(?:passw(?:or)?d|pwd|secret|token|api_?key|private_?key|access_?key"
              rb"|client_?id|credentials?|authorization|bearer|signature|session_?id|cookie)(?![a-z])")
-#: Names that code is made of; they prime every dictionary.
+#: Names that code is made of; they prime every dictionary unless ``scan`` is given others.
 IDENTIFIERS = (
     b"password passwd secret token api_key apikey access_key private_key client_id client_secret "
     b"authorization bearer signature session_id cookie username user_name credentials config settings "
@@ -55,11 +61,14 @@ TOKEN = rb"[A-Za-z0-9+/_.=-]{12,}"
 LEAST, MOST = 12, 4096
 #: Bytes after and before a sensitive word in which candidates are looked for, and of the dictionary.
 AFTER, BEFORE, AROUND = 80, 40, 1024
+#: Bytes that make an identifier worth adding, and how many identifiers are kept for one such piece.
+PIECE, HOLDERS = 5, 8
 #: Least marginal compressed bytes per candidate byte.
 NOVELTY = 0.55
 
 _assign, _access, _hex = re.compile(ASSIGN, re.IGNORECASE), re.compile(ACCESS), re.compile(HEX)
 _sensitive, _token = re.compile(SENSITIVE), re.compile(TOKEN)
+_name = re.compile(rb"[A-Za-z0-9_]{%d,}" % PIECE)
 _mixed = re.compile(rb"(?=.*[A-Za-z])(?=.*[0-9]|.*[a-z].*[A-Z])", re.DOTALL)
 
 
@@ -79,10 +88,35 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _hex.finditer(raw)]
 
 
-def novelty(raw: bytes, start: int, end: int) -> float:
-    """Marginal compressed bytes of raw[start:end] per byte, given its surroundings."""
+def _pieces(part: bytes) -> set[bytes]:
+    return {part[i: i + PIECE] for i in range(len(part) - PIECE + 1)}
+
+
+class Names:
+    """The identifiers of a document, looked up by what they share with its candidates."""
+
+    def __init__(self, raw: bytes, candidates: list[tuple[int, int]]):
+        self.times = Counter(_name.findall(raw))
+        asked = set().union(*(_pieces(raw[s:e]) for s, e in candidates))
+        self.holders: dict[bytes, list[bytes]] = {}
+        for name in self.times:
+            for p in _pieces(name) & asked:
+                held = self.holders.setdefault(p, [])
+                if len(held) < HOLDERS:
+                    held.append(name)
+
+    def beside(self, part: bytes) -> bytes:
+        """Those that occur outside the candidate ``part`` and may match it; its own come last."""
+        inside = Counter(_name.findall(part))
+        near = {n for p in _pieces(part) for n in self.holders.get(p, ()) if n not in inside}
+        own = [n for n in inside if self.times[n] > inside[n]]
+        return b" ".join([*sorted(near), *own, b""])
+
+
+def novelty(raw: bytes, start: int, end: int, identifiers: bytes = IDENTIFIERS, names: bytes = b"") -> float:
+    """Marginal compressed bytes of raw[start:end] per byte, given its surroundings and ``names``."""
     before, after = raw[max(0, start - AROUND): start], raw[end: end + AROUND]
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + after + before,
+    primed = zstandard.ZstdCompressionDict(identifiers + names + after + before,
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     size = lambda part: len(zstandard.ZstdCompressor(
         level=3, dict_data=primed, write_checksum=False, write_content_size=False,
@@ -91,7 +125,8 @@ def novelty(raw: bytes, start: int, end: int) -> float:
     return (size(near + raw[start:end]) - size(near)) / (end - start)
 
 
-def novel_spans(raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(raw: bytes, taken: list[tuple[int, int, int]],
+                identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Candidates near sensitive words that do not touch ``taken`` and do not compress."""
     found: dict[int, int] = {}
     for m in _sensitive.finditer(raw):
@@ -99,19 +134,19 @@ def novel_spans(raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int
         for t in _token.finditer(raw, max(0, a - MOST), min(len(raw), b + MOST)):
             if t.start() < b and t.end() > a and _mixed.match(t.group()):
                 found[t.start()] = max(found.get(t.start(), 0), t.end())
-    out = []
-    for start, end in sorted(found.items()):
-        if any(start < e and s < end for s, _, e in taken):
-            continue
-        if novelty(raw, start, end) >= NOVELTY:
-            out.append((start, 3, end))
-    return out
+    open_ = [(start, end) for start, end in sorted(found.items())
+             if not any(start < e and s < end for s, _, e in taken)]
+    if not open_:
+        return []
+    names = Names(raw, open_)
+    return [(start, 3, end) for start, end in open_
+            if novelty(raw, start, end, identifiers, names.beside(raw[start:end])) >= NOVELTY]
 
 
-def spans(raw: bytes) -> list[tuple[int, int, int]]:
+def spans(raw: bytes, identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """All spans (start, kind number, end) in code points, by start, then kind."""
     base = base_spans(raw)
-    every = sorted(base + novel_spans(raw, base))
+    every = sorted(base + novel_spans(raw, base, identifiers))
     if every:
         # code points before each byte
         points = np.zeros(len(raw) + 1, np.int64)
@@ -125,8 +160,12 @@ def added(docs: DataFrame) -> list[str]:
     return fresh(docs, "spans")
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and an array of (kind, start, end) under a fresh name (``added``)."""
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (),
+         identifiers: bytes = IDENTIFIERS) -> DataFrame:
+    """``keep`` columns and an array of (kind, start, end) under a fresh name (``added``).
+
+    ``identifiers`` are known names, parted by blanks, that are never novel.
+    """
     (name,), (t,) = added(docs), fresh(docs, "t")
     rows = docs.select(*dict.fromkeys(keep), F.col(text).alias(t))
     schema = [f"`{n}` {k}" for n, k in rows.drop(t).dtypes]
@@ -134,7 +173,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(raw)]
+            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(raw, identifiers)]
                      for raw in encode(pdf[t])]
             yield pdf.drop(columns=t).assign(**{name: found})
 

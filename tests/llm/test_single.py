@@ -210,6 +210,24 @@ def test_secrets_base_and_novel(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_identifiers_of_the_whole_document(spark):
+    """Whether an identifier is known depends neither on how far apart it recurs nor on what it is glued to."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice("the of river stone walks under light again".split()) for _ in range(n))
+    word, other, once = "Zx8Kq2Lm9Rt4Vw7Yb3Nc", "Hn5Jd1Pf6Sg0Xk3Mv8Bq", "Qw9Er2Ty7Ui4Op1As6Df"
+    texts = []
+    for far in (10, 2000):
+        texts += [f"bearer {word} {prose(far)} bearer {word} end", f"bearer {word} {prose(far)} my.{word}/x end",
+                  f"bearer {word} {prose(far)} bearer {other} {prose(far)} cookie {once} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda **how: {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans]
+                           for r in secrets.scan(df, keep=("doc_id",), **how).collect()}
+    got = found()
+    assert [got[i] for i in range(6)] == [[], [], [word, other, once]] * 2
+    got = found(identifiers=secrets.IDENTIFIERS + f"{word} {other} ".encode())
+    assert [got[i] for i in range(6)] == [[], [], [once]] * 2
+
+
 @needs_tables
 def test_secrets_on_tables(spark):
     texts = dict((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
