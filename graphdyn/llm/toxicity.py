@@ -3,8 +3,8 @@
 Features of a text are the distinct 32-bit hashes of its words, word stems (the
 first ``STEMS`` bytes, so that unseen inflections count), word pairs and pairs
 with one word between. Training reads a bounded sample of labelled rows
-(``TRAIN_DOCS`` per label, drawn by hash of the key), cut by key into shards of
-about ``SHARD_ROWS``. Each shard runs FTRL-proximal with per-coordinate rates; L1
+(2 * ``TRAIN_DOCS``, drawn by hash of the key at one rate for both labels, so that
+a score means the same at every table size), cut by key into shards of about ``SHARD_ROWS``. Each shard runs FTRL-proximal with per-coordinate rates; L1
 leaves a few hundred non-zero weights. The shards' weights are averaged and sent
 to the executors once. All of it is bounded by the sample, not by the corpus.
 
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str,
         train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from the texts of ``docs`` whose key has a label in ``labels``.
 
-    The sample is drawn from the labels alone; at most about 2 * ``train_docs``
+    The sample is drawn from the labels alone, in their own ratio; at most about 2 * ``train_docs``
     drawn keys are broadcast to the documents, whose texts are not shuffled.
     """
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -103,13 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str,
     if len(counts) < 2:
         share = np.clip(float(1 in counts), 1e-9, 1 - 1e-9)
         return Model(np.array([BIAS]), np.array([np.log(share / (1 - share))]))
-    share = F.when(F.col("y") == 1, min(1.0, train_docs / counts[1])).otherwise(
-        min(1.0, train_docs / counts[0]))
+    total = sum(counts.values())
     draw = unit_hash("toxicity", F.col("k"))
-    n_shards = -(-sum(min(n, train_docs) for n in counts.values()) // SHARD_ROWS)
+    n_shards = -(-min(total, 2 * train_docs) // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("k"), F.lit(n_shards)).alias("shard")
     # a key is drawn with all its rows, so it counts once per label
-    drawn = rows.filter(draw < share).select("k", "y", shard, draw.alias("draw")).distinct()
+    drawn = rows.filter(draw < 2 * train_docs / total).select("k", "y", shard, draw.alias("draw")).distinct()
     sample = docs.select(F.col(key).alias("k2"), F.col(text).alias("t")).join(
         F.broadcast(drawn), F.col("k2") == F.col("k")).groupBy("shard", "draw", "k", "y").agg(F.min("t").alias("t"))
 

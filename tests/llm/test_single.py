@@ -179,6 +179,19 @@ def test_toxicity_finds_words_pairs_and_skips(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_keep_the_ratio_of_the_labels(spark):
+    """Texts that tell nothing score the share of toxic rows, whatever part of the rows is drawn."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("a few plain words that mean nothing here".split(), k=12)), int(i % 10 == 0))
+            for i in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for train_docs in (3000, 120):
+        model = toxicity.fit(docs, labels, "text", "toxic", "doc_id", train_docs)
+        got = [r["toxicity"] for r in toxicity.score(docs, model).collect()]
+        assert np.mean(got) < 0.25
+
+
 @needs_tables
 def test_toxicity_on_tables(spark):
     sf = SF.replace("sf0.01", "sf0.1")
