@@ -71,10 +71,12 @@ def contaminated(docs, items, least=0.8):
         w = tok(t)
         for i, x in items:
             v = tok(x)
-            if len(v) < 5 or len(w) < 5:
-                if v and v == w:
+            if len(v) < 5:
+                if v and any(w[p: p + len(v)] == v for p in range(len(w))):
                     out[d, i] = 1.0
                 continue
+            if len(w) < 5:
+                continue
             b, best = bag(v), 0.0
             for p in range(max(1, len(w) - len(v) + 1)):
                 c = bag(w[p: p + len(v)])

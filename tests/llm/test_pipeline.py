@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import brute  # noqa: E402
+import corpus_brute as brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from graphdyn.session import cut_lineage  # noqa: E402
 
