@@ -17,8 +17,10 @@ Each document is scanned whole and on its own, so work is linear in the text
 and no state is shared. Offsets count code points, ends are exclusive.
 
 Edge cases: null and empty texts have no spans; repeated rows each get theirs;
-very long texts are scanned whole (the surroundings are the ``AROUND`` bytes on
-each side of a candidate); other columns are not read.
+very long texts and tokens are scanned whole (the surroundings are the ``AROUND``
+bytes on each side of a candidate); matches of one start are ordered by kind; an
+empty table gives an empty result; columns named like the result move it to a
+fresh name, others are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,8 +48,11 @@ HEX = rb"[0-9a-f]{24,}"
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 #: Words beside which a random string is suspect.
-SENSITIVE = (rb"(?i)(?<![a-z])(?:passw(?:or)?d|pwd|secret|token|api_?key|private_?key|access_?key"
-             rb"|client_?id|credentials?|authorization|bearer|signature|session_?id|cookie)(?![a-z])")
+#: They may be part of a camelCase name and have a plural s.
+SENSITIVE = (rb"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+             rb"(?i:passw(?:or)?d|pwd|secret|token|api_?key|private_?key|access_?key"
+             rb"|client_?id|credential|authorization|bearer|signature|session_?id|cookie)s?"
+             rb"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
 #: Names that code is made of; they prime every dictionary unless ``scan`` is given others.
 IDENTIFIERS = (
     b"password passwd secret token api_key apikey access_key private_key client_id client_secret "
@@ -58,7 +64,7 @@ IDENTIFIERS = (
     b"factory manager provider listener callback parameter argument attribute property element "
     b"0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ ")
 TOKEN = rb"[A-Za-z0-9+/_.=-]{12,}"
-LEAST, MOST = 12, 4096
+LEAST = 12
 #: Bytes after and before a sensitive word in which candidates are looked for, and of the dictionary.
 AFTER, BEFORE, AROUND = 80, 40, 1024
 #: Bytes that make an identifier worth adding, and how many identifiers are kept for one such piece.
@@ -125,15 +131,28 @@ def novelty(raw: bytes, start: int, end: int, identifiers: bytes = IDENTIFIERS,
     return (size(near + raw[start:end]) - size(near)) / (end - start)
 
 
+def _is_name(raw: bytes, start: int, end: int) -> bool:
+    """Whether the token is a sensitive word in a camelCase name, and so no secret itself."""
+    return raw[start:end].isalpha() and _sensitive.search(raw, start, end) is not None
+
+
 def novel_spans(raw: bytes, taken: list[tuple[int, int, int]],
                 identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Candidates near sensitive words that do not touch ``taken`` and do not compress."""
-    found: dict[int, int] = {}
-    for m in _sensitive.finditer(raw):
-        a, b = max(0, m.start() - BEFORE), m.end() + AFTER
-        for t in _token.finditer(raw, max(0, a - MOST), min(len(raw), b + MOST)):
-            if t.start() < b and t.end() > a and _mixed.match(t.group()):
-                found[t.start()] = max(found.get(t.start(), 0), t.end())
+    words = [m.span() for m in _sensitive.finditer(raw)]
+    if not words:
+        return []
+    tokens = [t.span() for t in _token.finditer(raw)]
+    first, found = 0, {}
+    for s, e in words:
+        # tokens and words are in order, so those that end before this word's surroundings are done
+        while first < len(tokens) and tokens[first][1] <= s - BEFORE:
+            first += 1
+        for start, end in islice(tokens, first, None):
+            if start >= e + AFTER:
+                break
+            if _mixed.match(raw, start, end) and not _is_name(raw, start, end):
+                found[start] = end
     open_ = [(start, end) for start, end in sorted(found.items())
              if not any(start < e and s < end for s, _, e in taken)]
     if not open_:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import brute  # noqa: E402
+import corpus_brute as brute  # noqa: E402
 from graphdyn.llm import common, html, language, mixing, secrets, sharding, toxicity  # noqa: E402
 from graphdyn.llm import queries as Q  # noqa: E402
 
@@ -241,6 +241,20 @@ def test_secrets_identifiers_of_the_whole_document(spark):
     assert [got[i] for i in range(6)] == [[], [], [once]] * 2
 
 
+def test_secrets_long_tokens_and_glued_words(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    long_ = {n: f"the token is {drawn(n)} there" for n in (40, 4000, 4200, 100_000)}
+    glued = [f'{name}("{drawn(24)}")' for name in ("setAuthToken", "tokens", "clientSecrets", "myPasswordValue")]
+    prose = [f"{name} {drawn(24)}" for name in ("tokenized", "secretary", "ATOKEN")]
+    texts = [*long_.values(), *glued, *prose]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in secrets.scan(df, keep=("doc_id",)).collect()}
+    assert [got[i] for i in range(4)] == [[("novel", n)] for n in long_]
+    assert [got[4 + i] for i in range(4)] == [[("novel", 24)]] * 4 and [got[8 + i] for i in range(3)] == [[]] * 3
+
+
 @needs_tables
 def test_secrets_on_tables(spark):
     texts = dict((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
