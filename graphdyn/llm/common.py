@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a maximal run of characters other than these
@@ -10,6 +13,23 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Sent:
+    """A learned value that goes to the executors once, with its classes, so that they need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._held = None
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_held": None}
+
+    @property
+    def value(self):
+        if self._held is None:
+            self._held = pickle.loads(self._bytes.value)
+        return self._held
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that ``df`` does not have (Spark ignores case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -14,9 +14,13 @@ Windows without any shingle of an item of their size have similarity 0 and are
 not fingerprinted. Items travel in blocks of at most ``BLOCK_BYTES`` of text; the
 documents are scanned once per block and never shuffled.
 
-Edge cases: null or empty texts and items match nothing; items of fewer than
-five words match only texts that are the same words; equal items each match;
-repeated documents each get their matches; other columns pass through.
+An item of fewer than five words is one shingle of its own length and is looked
+up in all windows of so many words. Very long texts are searched whole.
+
+Edge cases: null or empty texts and items match nothing, nor do empty tables;
+equal items each match; of equally similar windows the first is reported;
+repeated documents each get their matches; other columns pass through, and one
+named like the result moves the result to a fresh name.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import fresh, n_bytes
+from graphdyn.llm.common import Sent, fresh, n_bytes
 from graphdyn.llm.words import PUNCT, chunks, shingles, words
 
 SIZE = 5
@@ -65,7 +69,8 @@ class Index:
         self.keys = keys
         raw = _lower(texts)
         w, first = words(raw, PUNCT) if raw else (np.empty(0, _U), np.zeros(1, int))
-        self.bags, self.whole = {}, defaultdict(list)
+        self.bags = {}
+        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         by_size, found = defaultdict(list), []
         for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
             if b - a >= SIZE:
@@ -74,7 +79,9 @@ class Index:
                 by_size[len(h)].append((i, simhash(h, len(h))[0]))
                 found += [(x, len(h)) for x in self.bags[i]]
             elif b > a:
-                self.whole[tuple(w[a:b].tolist())].append(i)
+                short[b - a][int(shingles(w[a:b], b - a)[0])].append(i)
+        #: Words of an item: (hashes in order, items per hash).
+        self.short = {n: (np.array(sorted(own), _U), [own[x] for x in sorted(own)]) for n, own in short.items()}
         self.prints = {n: (np.array([i for i, _ in rows]), np.array([p for _, p in rows]))
                        for n, rows in by_size.items()}
         # near[n][k, v]: the items of size n whose byte k is within two bits of v
@@ -109,10 +116,27 @@ class Index:
             ok = far <= RADIUS
             yield from zip(items[col[ok]].tolist(), run[row[ok]].tolist())
 
-    def match(self, w: np.ndarray, h: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
+    def _short(self, w: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, places, hash numbers) of windows that are a short item."""
+        out = []
+        for n, (hashes, _) in self.short.items():
+            h = shingles(w, n)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            at = np.flatnonzero(hashes[place] == h)
+            out.append((n, at, place[at]))
+        return out
+
+    def short_matches(self, found, i: int, j: int) -> list[tuple[int, float, int, int]]:
+        """The short items in words i to j - 1, each at its first place."""
+        out: dict[int, tuple[int, float, int, int]] = {}
+        for n, at, which in found:
+            for k in range(np.searchsorted(at, i), np.searchsorted(at, j - n + 1)):
+                for item in self.short[n][1][which[k]]:
+                    out.setdefault(item, (item, 1.0, int(at[k]) - i, n))
+        return list(out.values())
+
+    def match(self, h: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of each item's best window in one text."""
-        if 0 < len(w) < SIZE:
-            return [(i, 1.0, 0, len(w)) for i in self.whole.get(tuple(w.tolist()), ())]
         if not len(hits):
             return []
         lo = np.searchsorted(self.shingle, h[hits], "left")
@@ -134,11 +158,11 @@ class Index:
         for a, b in chunks(raw):
             w, first = words(raw[a:b], PUNCT)
             h = shingles(w, SIZE)
-            hits = self._hits(h)
+            hits, found = self._hits(h), self._short(w)
             for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
                 end = max(i, j - SIZE + 1)
                 own = hits[np.searchsorted(hits, i): np.searchsorted(hits, end)] - i
-                yield self.match(w[i:j], h[i:end], own)
+                yield sorted(self.match(h[i:end], own) + self.short_matches(found, i, j))
 
 
 def _blocks(items: DataFrame, text: str, key: str) -> Iterator[Index]:
@@ -170,7 +194,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     for index in _blocks(items, item_text, item_key):
         part, = fresh(out, "part")
         part_names.append(part)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = Sent(docs.sparkSession, index)
         schema = ", ".join([f"`{n}` {k}" for n, k in out.dtypes] + [f"`{part}` {match}"])
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, part=part) -> Iterator[pd.DataFrame]:

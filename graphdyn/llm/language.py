@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import fresh, unit_hash
+from graphdyn.llm.common import Sent, fresh, unit_hash
 from graphdyn.llm.words import mix
 from graphdyn.session import cut_lineage
 
@@ -228,7 +228,7 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
     kept = share.join(top, "gram").filter(F.col("share") >= RATIO * F.col("top")).select("i", "gram").toPandas()
     model = Filter(langs, kept["gram"].to_numpy(np.int64).view(_U), kept["i"].to_numpy(np.int64),
                    usual=max(range(len(langs)), key=lambda i: sizes[langs[i]]))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(rows.sparkSession, model)
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -243,7 +243,7 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
 
 def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score under fresh names (``added``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     pred, score = added(docs)
     columns = list(dict.fromkeys(keep))
     t, = fresh(docs, "t")
@@ -268,7 +268,7 @@ def accept(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
     """
     if not model.langs:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches):

@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import brute  # noqa: E402
+import corpus_brute as brute  # noqa: E402
 from graphdyn.llm import decontam, exact, jaccard, suffix  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
@@ -155,7 +155,7 @@ def test_index_update(spark):
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog near the old river bank today"),
          (2, "Completely different words stand here for a second item of the test set"), (3, None), (4, ""),
-         (5, "too short"), (6, "same words same words same words same words same words")]
+         (5, "too short"), (7, "Short"), (8, "lazy dog near the"), (6, "same words same words same words same words same words")]
 
 
 def test_decontamination(spark):
