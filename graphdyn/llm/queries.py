@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import decontam, exact, html, jaccard, language, mixing, secrets, sharding, suffix, toxicity
+from graphdyn.llm import decontam, exact, fingerprint, html, jaccard, language, mixing, secrets, sharding, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,8 @@ def op4_html_extraction(spark, sf_dir):
 @_register
 def op8_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register
+def op13_fingerprints(spark, sf_dir):
+    return fingerprint.edit_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
