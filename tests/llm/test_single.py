@@ -24,7 +24,8 @@ DOCS = "doc_id long, text string, lang string, source string"
 def test_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = Q.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     key = lambda r: [(x is None, str(x)) for x in r]
