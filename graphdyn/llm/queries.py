@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdyn.llm import decontam, exact, fingerprint, html, jaccard, language, mixing, negatives, secrets, sharding, suffix, toxicity
+from graphdyn.llm import align, decontam, exact, fingerprint, html, jaccard, language, mixing, negatives, secrets, sharding, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,6 +169,11 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_register
+def op11_alignment(spark, sf_dir):
+    return align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_register
 def op12_hard_negatives(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
