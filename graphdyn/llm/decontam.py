@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import Sent, fresh, n_bytes
+from graphdyn.llm.common import Sent, bound_batches, fresh, n_bytes
 from graphdyn.llm.words import PUNCT, chunks, shingles, words
 
 SIZE = 5
@@ -187,6 +187,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     A match is (item, similarity, first_word, n_words) for each item with a
     window in the text, at its most similar window (the first of equals).
     """
+    bound_batches(docs.sparkSession)
     name, = added(docs)
     kind = dict(items.dtypes)[item_key]
     match = f"array<struct<item:{kind},similarity:double,first_word:long,n_words:long>>"

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import Sent, fresh, unit_hash
+from graphdyn.llm.common import Sent, bound_batches, fresh, unit_hash
 
 TRAIN_PAGES = 1500
 TEMPLATES = 700
@@ -441,6 +441,7 @@ def added(pages: DataFrame) -> list[str]:
 
 def extract(pages: DataFrame, model: Extractor, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns and the article's blocks under a fresh name (``added``)."""
+    bound_batches(pages.sparkSession)
     shared = Sent(pages.sparkSession, model)
     (name,), (t,) = added(pages), fresh(pages, "t")
     rows = pages.select(*dict.fromkeys(keep), F.col(html).alias(t))

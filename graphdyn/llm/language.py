@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import Sent, fresh, unit_hash
+from graphdyn.llm.common import Sent, bound_batches, fresh, unit_hash
 from graphdyn.llm.words import mix
 from graphdyn.session import cut_lineage
 
@@ -50,18 +50,17 @@ LOWEST, FLOOR = 0.01, 0.5
 ERRORS = 2.0
 _U = np.uint64
 _K = _U(0xD1342543DE82EF95)
-_CHARS = 1 << 19
-
-_letters: list[np.ndarray] = []
+#: Code points handled at once; one longer text is a chunk of its own.
+_CHARS = 1 << 16
 
 
 def _is_letter(cp: np.ndarray) -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16))
-    out = _letters[0][np.minimum(cp, 0xFFFF)]
-    for i in np.flatnonzero(cp > 0xFFFF):
-        out[i] = chr(int(cp[i])).isalpha()
-    return out
+    # judged once per distinct code point, of which a chunk has few
+    seen = np.zeros(0x110000, bool)
+    seen[cp] = True
+    which = np.flatnonzero(seen)
+    seen[which] = np.fromiter((chr(i).isalpha() for i in which.tolist()), bool, len(which))
+    return seen[cp]
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -196,6 +195,7 @@ class Filter:
 
 def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN_DOCS) -> Filter:
     """Learn from labelled ``rows``; counts come back per kept (language, n-gram)."""
+    bound_batches(rows.sparkSession)
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(
         F.col("l").isNotNull() & F.col("t").isNotNull())
     sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
@@ -243,6 +243,7 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
 
 def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score under fresh names (``added``)."""
+    bound_batches(docs.sparkSession)
     shared = Sent(docs.sparkSession, model)
     pred, score = added(docs)
     columns = list(dict.fromkeys(keep))

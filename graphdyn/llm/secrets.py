@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import fresh
+from graphdyn.llm.common import bound_batches, fresh
 from graphdyn.llm.words import encode
 
 # The three base patterns, their kinds in order, and least lengths
@@ -185,6 +185,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (),
 
     ``identifiers`` are known names, parted by blanks, that are never novel.
     """
+    bound_batches(docs.sparkSession)
     (name,), (t,) = added(docs), fresh(docs, "t")
     rows = docs.select(*dict.fromkeys(keep), F.col(text).alias(t))
     schema = [f"`{n}` {k}" for n, k in rows.drop(t).dtypes]

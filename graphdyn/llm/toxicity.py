@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import Sent, fresh, unit_hash
+from graphdyn.llm.common import Sent, bound_batches, fresh, unit_hash
 from graphdyn.llm.words import PUNCT, chunks, encode, mix, words
 
 TRAIN_DOCS = 3000
@@ -130,6 +130,7 @@ def added(docs: DataFrame) -> list[str]:
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` and the score under a fresh name (``added``)."""
+    bound_batches(docs.sparkSession)
     shared = Sent(docs.sparkSession, model)
     (name,), (t,) = added(docs), fresh(docs, "t")
     rows = docs.select(*dict.fromkeys(keep), F.col(text).alias(t))

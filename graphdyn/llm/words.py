@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Text bytes handled at once; one longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -34,17 +34,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _CODE = mix(_ascii.astype(_U) + _U(1))
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        for k, base in enumerate((_P, _P_INV)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the base and of its inverse.
+
+    Made anew for each chunk: a module that is pickled by value would carry a cache into every task.
+    """
+    both = []
+    for base in (_P, _P_INV):
+        p = np.full(n, base, _U)
+        p[:1] = 1
+        both.append(np.multiply.accumulate(p))
+    return both[0], both[1]
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
