@@ -1,16 +1,16 @@
-"""Signal preparation on the long table (subject_id, grp, channel, t, value)."""
+"""Signal preparation on the long table (subject_id, grp, channel, t, value): spans, windows, panes, lags.
+
+What works on whole blocks of samples (fill, reference, z-score, filter, shift) is in ``blocks``.
+"""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphdyn.functions.scalars import nan_to_num, zscore_value
-from graphdyn.session import sized, spread
+from graphdyn.session import sized
 
 KEY = ["subject_id", "grp"]
 
@@ -31,56 +31,6 @@ def checked_channels(signals: DataFrame, n_channels: int) -> DataFrame:
         stray.cast("int")))
 
 
-def dense_grid(signals: DataFrame, n_channels: int, pane: int = 4096) -> DataFrame:
-    """Every (subject, channel, t) cell present; gaps are 0, stray channels an error.
-
-    The skeleton grows pane by pane: a subject is first split into panes and
-    spread over the tasks, so a long recording is not expanded in one place.
-    """
-    spans = signals.groupBy(*KEY).agg((F.max("t") + 1).alias("n_samples"))
-    panes = spread(spans.select(*KEY, "n_samples", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("n_samples") - 1) / pane))).alias("p")), *KEY, "p")
-    cells = panes.select(*KEY, F.explode(F.sequence(
-        F.col("p") * pane, F.least((F.col("p") + 1) * pane, F.col("n_samples")) - 1)).alias("t")).select(
-        *KEY, "t", F.explode(F.sequence(F.lit(0), F.lit(n_channels - 1))).alias("channel"))
-    known = checked_channels(signals, n_channels)
-    return (cells.join(known.select("subject_id", "channel", "t", "value"),
-                       ["subject_id", "channel", "t"], "left")
-            .select(*KEY, "channel", "t", nan_to_num(F.col("value")).alias("value")))
-
-
-def common_average_reference(signals: DataFrame, reference="average") -> DataFrame:
-    """Subtract a reference at each sample.
-
-    ``average`` and ``REST`` use the mean over channels, a list of channels the
-    mean over those, ``None`` leaves the signal alone.
-    """
-    if reference is None:
-        return signals
-    w = Window.partitionBy("subject_id", "t")
-    if isinstance(reference, str):
-        if reference.upper() not in {"AVERAGE", "REST"}:
-            raise ValueError(f"unknown reference {reference!r}")
-        ref = F.avg("value").over(w)
-    else:
-        ref = F.avg(F.when(F.col("channel").isin(list(reference)), F.col("value"))).over(w)
-    return signals.withColumn("value", F.col("value") - ref)
-
-
-def channel_stats(signals: DataFrame, until: Column | None = None) -> DataFrame:
-    """Mean and population sd per channel, optionally over a leading span only."""
-    ref = signals if until is None else signals.filter(until)
-    return ref.groupBy("subject_id", "channel").agg(
-        F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
-
-
-def zscore(signals: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Standardise per channel against ``stats`` (default: the table itself)."""
-    st = sized(channel_stats(signals)) if stats is None else stats
-    return (signals.join(st, ["subject_id", "channel"])
-            .withColumn("value", zscore_value("value", "mu", "sd")).drop("mu", "sd"))
-
-
 def split_points(T: Column) -> tuple[Column, Column]:
     """Sample indices that end the training and the validation span."""
     return F.floor(F.lit(0.70) * T), F.floor(F.lit(0.85) * T)
@@ -145,28 +95,6 @@ def halo_panes(signals: DataFrame, pane: int, before: int, after: int = 0) -> Da
         .withColumn("home", F.col("pane") == own))
 
 
-def fir_filter(signals: DataFrame, taps: list[float], pane: int = 8192) -> DataFrame:
-    """Zero-phase FIR: y[t] = sum_k h[k] x[t + half - k], zeros outside.
-
-    One group is one channel over one pane with a halo of half the filter on
-    both sides, so its size is fixed whatever the recording length.
-    """
-    half = len(taps) // 2
-    h = np.asarray(taps, float)
-
-    def run(key, pdf):
-        start = key[3] * pane
-        x = np.zeros(pane + 2 * half)
-        x[pdf["t"].to_numpy() - start + half] = pdf["value"].to_numpy()
-        y = np.convolve(x, h, mode="valid")
-        t = pdf.loc[pdf["home"], "t"].to_numpy()
-        return pd.DataFrame({"subject_id": key[0], "grp": key[1], "channel": key[2],
-                             "t": t, "value": y[t - start]})
-
-    return halo_panes(signals, pane, half, half).groupBy(*KEY, "channel", "pane").applyInPandas(
-        run, "subject_id string, grp string, channel int, t long, value double")
-
-
 def lagged(signals: DataFrame, order: int, pane: int = 4096) -> DataFrame:
     """Adds lag_1..lag_order of each channel; NULL where the earlier sample is absent."""
     out = halo_panes(signals, pane, order)
@@ -175,20 +103,3 @@ def lagged(signals: DataFrame, order: int, pane: int = 4096) -> DataFrame:
         # by sample index, not by row: the p-th earlier row may be an older sample
         out = out.withColumn(f"lag_{p}", F.max("value").over(w.rangeBetween(-p, -p)))
     return out.filter("home").drop("pane", "home")
-
-
-def circular_shift(signals: DataFrame, n_surrogates: int, seed: int = 0,
-                   shift: Column | None = None) -> DataFrame:
-    """Surrogates: every channel rolled by its own offset. A projection, no shuffle
-    beyond attaching the recording lengths. ``signals`` must be dense."""
-    joined = signals.join(sized(recording_lengths(signals)), "subject_id")
-    if shift is None:
-        shift = shift_of(F.lit(seed))
-    return (joined.withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n_surrogates))))
-            .withColumn("t", F.pmod(F.col("t") + shift, F.col("n_samples"))).drop("n_samples"))
-
-
-def shift_of(seed) -> Column:
-    """Offset in [0, T) drawn from a hash of (seed, surrogate, subject, channel)."""
-    return F.pmod(F.xxhash64(seed, F.col("surrogate"), F.col("subject_id"), F.col("channel")),
-                  F.col("n_samples"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphdyn.functions import scalars as fn
+from graphdyn.operators import blocks as bl
 from graphdyn.operators import graph_var as gv
 from graphdyn.operators import graphs as gr
 from graphdyn.operators import moments as mo
@@ -38,7 +39,7 @@ def _ring(spark):
 
 
 def _dense(spark, d):
-    return prep.dense_grid(fx.signals_ledger(spark, d), N)
+    return bl.dense_grid(fx.signals_ledger(spark, d), N)
 
 
 def _models(spark, d):
@@ -72,7 +73,7 @@ def _pass(spark, d):
 @query("subject_id grp channel:i t:l value:r6", f"""WITH {o.EVENTS}, {o.dense('ev', 5)}
 SELECT * FROM grid""")
 def dense_grid(spark, d):
-    return prep.dense_grid(fx.signals_events(spark, d), fx.EVENT_CHANNELS)
+    return bl.dense_grid(fx.signals_events(spark, d), fx.EVENT_CHANNELS)
 
 
 @query("subject_id grp channel:i t:l value:r6", f"""WITH {o.SHIP}
@@ -90,7 +91,7 @@ SELECT g.subject_id, g.grp, g.channel, g.t, sum(h * coalesce(x.value, 0)) AS val
 FROM grid g CROSS JOIN taps LEFT JOIN grid x ON x.subject_id = g.subject_id
   AND x.channel = g.channel AND x.t = g.t - k + 10 GROUP BY ALL""")
 def bandpass_fir(spark, d):
-    return prep.fir_filter(_dense(spark, d), _TAPS)
+    return bl.to_rows(bl.prepare(fx.signals_ledger(spark, d), N, taps=_TAPS))
 
 
 @query("kind subject_id channel:i n:l total:r5 energy:r1", f"""WITH {o.LEDGER_DENSE},
@@ -101,21 +102,17 @@ car AS (
 SELECT kind, subject_id, channel, count(*) AS n, sum(v) AS total, sum(v * v) / 1e6 AS energy
 FROM car GROUP BY ALL""")
 def common_average_reference(spark, d):
-    x = cut_lineage(_dense(spark, d))
     out = None
     for kind, ref in (("average", "average"), ("named", [1, 3])):
-        p = prep.common_average_reference(x, ref).groupBy("subject_id", "channel").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
-            (F.sum(F.col("value") * F.col("value")) / 1e6).alias("energy"))
-        p = p.withColumn("kind", F.lit(kind))
+        p = bl.block_sums(bl.prepare(fx.signals_ledger(spark, d), N, reference=ref)).withColumn("kind", F.lit(kind))
         out = p if out is None else out.unionByName(p)
-    return out
+    return out.withColumn("energy", F.col("energy") / 1e6)
 
 
 @query("subject_id grp channel:i t:l value:r6", f"""WITH {o.LEDGER_Z}
 SELECT subject_id, grp, channel, t, x AS value FROM zs""")
 def zscore(spark, d):
-    return prep.zscore(cut_lineage(_dense(spark, d)))
+    return bl.to_rows(bl.prepare(fx.signals_ledger(spark, d), N, standardise=True))
 
 
 @query("subject_id split n:l t_min:l t_max:l total:r4", f"""WITH {o.LEDGER_DENSE}
@@ -150,11 +147,27 @@ rolled AS (SELECT z.subject_id, channel, s.range AS surrogate, x,
 SELECT subject_id, surrogate, channel, count(*) AS n, max(CASE WHEN t = 0 THEN x END) AS first,
        sum(x * t) AS weighted FROM rolled GROUP BY ALL""")
 def circular_shift_surrogate(spark, d):
-    z = prep.zscore(cut_lineage(_dense(spark, d)))
-    s = prep.circular_shift(z, 3, shift=31 * F.col("channel") + 177 * F.col("surrogate"))
-    return s.groupBy("subject_id", "surrogate", "channel").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("t") == 0, F.col("value"))).alias("first"),
-        F.sum(F.col("value") * F.col("t")).alias("weighted"))
+    z = bl.prepare(fx.signals_ledger(spark, d), N, standardise=True)
+    return bl.block_sums(bl.circular_shift(z, 3, lambda s, c: 31 * c + 177 * s), "surrogate")
+
+
+@query("subject_id surrogate:i channel:i n:l total:r4 energy:r3 first:r6 weighted:r1", f"""WITH {o.LEDGER_DENSE},
+car AS (SELECT *, value - avg(value) OVER (PARTITION BY subject_id, t) AS v FROM grid),
+st AS (SELECT subject_id, channel, avg(v) AS mu, stddev_pop(v) AS sd FROM car GROUP BY ALL),
+zc AS (SELECT c.subject_id, c.n_samples, c.channel, c.t, greatest(-10.0, least(10.0, (v - mu) / greatest(sd, 1e-8))) AS x
+       FROM car c JOIN st USING (subject_id, channel)),
+taps AS (SELECT unnest(range(21)) AS k, unnest([{', '.join(repr(v) for v in _TAPS)}]) AS h),
+fir AS (SELECT g.subject_id, g.n_samples, g.channel, g.t, sum(h * coalesce(z.x, 0)) AS y
+        FROM zc g CROSS JOIN taps LEFT JOIN zc z ON z.subject_id = g.subject_id AND z.channel = g.channel
+          AND z.t = g.t - k + 10 GROUP BY ALL),
+rolled AS (SELECT subject_id, channel, s.range AS surrogate, y, (t + 31 * channel + 177 * s.range) % n_samples AS t
+           FROM fir CROSS JOIN range(1, 3) s)
+SELECT subject_id, surrogate, channel, count(*) AS n, sum(y) AS total, sum(y * y) AS energy,
+       max(CASE WHEN t = 0 THEN y END) AS first, sum(y * t) AS weighted FROM rolled GROUP BY ALL""")
+def preparation_chain(spark, d):
+    """Fill, average reference, z-score, filter and shift in one chain: the samples are gathered once."""
+    x = bl.prepare(fx.signals_ledger(spark, d), N, reference="average", standardise=True, taps=_TAPS)
+    return bl.block_sums(bl.circular_shift(x, 2, lambda s, c: 31 * c + 177 * s), "surrogate")
 
 
 @query("subject_id channel:i t:l value:r6 lag_1:r6 lag_2:r6", f"""WITH {o.LEDGER}

@@ -4,7 +4,7 @@ from conftest import signals_frame
 from pyspark.sql import functions as F
 
 from graphdyn.functions import scalars as fn
-from graphdyn.operators import connectivity, moments, prep
+from graphdyn.operators import blocks, connectivity, moments, prep
 from graphdyn.sources import readers, writers
 
 
@@ -43,7 +43,7 @@ def test_cohort_with_unreadable_and_short_files(spark, tmp_path):
 def test_stray_channels_are_an_error(spark):
     sig = spark.createDataFrame([("s", "A", 0, 0, 1.0), ("s", "A", 3, 0, 1.0)],
                                 "subject_id string, grp string, channel int, t long, value double")
-    for build in (lambda: prep.dense_grid(sig, 3), lambda: connectivity.to_frames(sig, 3),
+    for build in (lambda: blocks.dense_grid(sig, 3), lambda: connectivity.to_frames(sig, 3),
                   lambda: moments.recording_stats(sig, 3)):
         with pytest.raises(Exception, match="channel outside 0..2: 3"):
             build().collect()
@@ -87,7 +87,7 @@ def test_windows_keep_full_ones_only(spark):
 def test_filter_across_pane_borders(spark):
     x = np.random.default_rng(0).normal(size=(2, 100))
     taps = prep.bandpass_taps(1, 20, 100, 7)
-    out = prep.fir_filter(signals_frame(spark, {("s", "A"): x}), taps, pane=16)
+    out = blocks.to_rows(blocks.prepare(signals_frame(spark, {("s", "A"): x}), 2, taps=taps, size=16))
     rows = out.orderBy("channel", "t").collect()
     want = np.stack([np.convolve(r, taps, mode="same") for r in x])
     np.testing.assert_allclose([r.value for r in rows], want.ravel(), atol=1e-12)
@@ -105,8 +105,61 @@ def test_lags_across_pane_borders_on_sparse_rows(spark):
 def test_dense_grid_and_shift(spark):
     x = {("s", "A"): np.ones((2, 50))}
     sig = signals_frame(spark, x, {("s", 1, t) for t in range(10, 40)})
-    dense = prep.dense_grid(sig, 3, pane=16)
-    assert dense.agg(F.count("*"), F.sum("value")).first() == (150, 70.0)
-    s = prep.circular_shift(dense, 2)
+    dense = blocks.prepare(sig, 3, size=16)
+    assert blocks.to_rows(dense).agg(F.count("*"), F.sum("value")).first() == (150, 70.0)
+    s = blocks.to_rows(blocks.circular_shift(dense, 2, blocks.hashed_shift(), size=16), "surrogate")
     assert s.groupBy("surrogate", "channel").agg(F.count_distinct("t").alias("n")) \
         .filter("n <> 50").count() == 0
+
+
+def test_chain_of_block_steps_matches_whole_recordings(spark):
+    """Fill, reference, z-score, long filter and shift against numpy on whole recordings, gaps of whole blocks included."""
+    rng = np.random.default_rng(8)
+    recs = {("s", "A"): 1e6 + rng.normal(size=(3, 300)), ("t", "B"): rng.normal(size=(3, 47))}
+    drop = {("s", c, t) for c in range(3) for t in range(64, 140)} | {("t", 1, 5)}
+    sig = signals_frame(spark, recs, drop)
+    taps = prep.bandpass_taps(1, 20, 100, 45)
+    for ref, cols in (("average", [0, 1, 2]), ([0, 2], [0, 2])):
+        made = blocks.prepare(sig, 3, reference=ref, standardise=True, taps=taps, size=32)
+        out = blocks.circular_shift(made, 2, lambda s, c: 7 * c + 11 * s, size=32)
+        got = {(r.subject_id, r.surrogate, r.channel, r.t): r.value for r in blocks.to_rows(out, "surrogate").collect()}
+        assert len(got) == 2 * 3 * 347
+        for (name, _), x in recs.items():
+            x = x.copy()
+            for s, c, t in drop:
+                if s == name:
+                    x[c, t] = 0.0
+            x = x - x[cols].mean(axis=0)
+            x = np.clip((x - x.mean(axis=1)[:, None]) / np.maximum(x.std(axis=1), 1e-8)[:, None], -10, 10)
+            half = len(taps) // 2
+            want = np.stack([np.convolve(np.pad(r, half), taps, mode="valid") for r in x])
+            for s in (1, 2):
+                for c in range(3):
+                    mine = [got[name, s, c, t] for t in range(x.shape[1])]
+                    np.testing.assert_allclose(mine, np.roll(want[c], 7 * c + 11 * s), atol=1e-8)
+
+
+def test_preparation_gathers_the_samples_once(spark):
+    sig = signals_frame(spark, {("s", "A"): np.random.default_rng(1).normal(size=(2, 50))})
+    plan = blocks.prepare(sig, 2, reference="average", standardise=True)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "channel" not in line]
+    assert plan.count("FlatMapCoGroupsInPandas") >= 2 and moved
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = blocks.prepare(sig, 2, reference="average", standardise=True)._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_overlap_save_equals_the_direct_sum():
+    rng = np.random.default_rng(3)
+    taps = np.asarray(prep.bandpass_taps(0.5, 40, 256, 330))
+    assert len(taps) == 661
+    x = rng.normal(size=(3, 4096 + 660))
+    np.testing.assert_allclose(blocks.filtered(x, taps), [np.convolve(r, taps, mode="valid") for r in x], atol=1e-11)
+
+
+def test_unknown_reference_is_refused():
+    with pytest.raises(ValueError):
+        blocks.referenced(np.zeros((2, 3)), "median")
