@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphdyn.schema import DEGREE_FLOOR
-from graphdyn.session import cut_lineage
+from graphdyn.session import cut_lineage, spread
 
 
 def both_ways(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
@@ -183,30 +183,76 @@ def spectrum_summary(basis: DataFrame, by: str = "grp") -> DataFrame:
 
 # -- paths, components, clustering ------------------------------------------
 
+#: Sources whose distances are computed together.
+SOURCES = 256
+
+
+def _nearest_first(cost: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Distances from each source, all sources at once: the nearest open node of each is settled next."""
+    n, rows = len(cost), np.arange(len(sources))
+    dist = np.full((len(sources), n), np.inf)
+    dist[rows, sources] = 0.0
+    settled = np.zeros(dist.shape, bool)
+    for _ in range(n):
+        u = np.where(settled, np.inf, dist).argmin(axis=1)
+        d = dist[rows, u]
+        if not np.isfinite(np.where(settled[rows, u], np.inf, d)).any():
+            break
+        settled[rows, u] = True
+        np.minimum(dist, d[:, None] + cost[u], out=dist)
+    return dist
+
+
+def _hops(linked: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Edges on the shortest way from each source; -1 where there is none."""
+    hops = np.full((len(sources), len(linked)), -1, np.int32)
+    front = np.zeros(hops.shape, bool)
+    front[np.arange(len(sources)), sources] = True
+    level = 0
+    while front.any():
+        hops[front] = level
+        level += 1
+        front = (front.astype(np.float32) @ linked > 0) & (hops < 0)
+    return hops
+
+
 def all_pairs(edges: DataFrame, by: str = "grp", w: str = "w", length: str = "weight") -> DataFrame:
     """Shortest length and hop count of every connected ordered pair.
 
-    Each round extends the pairs that improved by one edge, until none does:
-    nodes x edges rows a round at most, no number of nodes is asked for. Each
-    round is written out, as the next one reads it twice.
-    ``length`` is ``weight`` (the weight is the length) or ``inverse``.
+    A graph's edges travel as one array row per block of ``SOURCES`` source nodes;
+    a task settles the nodes of its block in order of distance, for all sources
+    at once. A row is bounded by the square of the channel count, and blocks of
+    one graph run in different tasks. ``length`` is ``weight`` (the weight is
+    the length) or ``inverse``.
     """
-    cost = F.col("w") if length == "weight" else 1 / F.col("w")
-    both = both_ways(edges, by, w)
-    arcs = cut_lineage(both.filter("w > 0").select(by, F.col("i").alias("k"), "j", cost.alias("c")))
-    one = arcs.select(by, F.col("k").alias("i"), "j", F.col("c").alias("d"), F.lit(1).alias("h"))
-    own = both.select(by, "i", F.col("i").alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("h")).distinct()
-    dist = cut_lineage(one.unionByName(own).withColumn("better", F.col("i") != F.col("j")))
-    while True:
-        grown = (dist.filter("better").select(by, "i", F.col("j").alias("k"), "d", "h").join(arcs, [by, "k"])
-                 .groupBy(by, "i", "j").agg(F.min(F.col("d") + F.col("c")).alias("d2"),
-                                            (F.min("h") + 1).alias("h2")))
-        dist = cut_lineage(dist.drop("better").join(grown, [by, "i", "j"], "full").select(
-            by, "i", "j", F.least("d", "d2").alias("d"), F.least("h", "h2").alias("h"),
-            F.coalesce((F.col("d2") < F.col("d")) | (F.col("h2") < F.col("h")), F.col("d").isNull())
-            .alias("better")))
-        if dist.filter("better").isEmpty():
-            return dist.drop("better")
+    if length not in ("weight", "inverse"):
+        raise ValueError("length is weight or inverse")
+    packed = edges.groupBy(by).agg(F.collect_list(F.struct("i", "j", F.col(w).cast("double").alias("w"))).alias("e"))
+    nodes = F.size(F.array_distinct(F.concat("e.i", "e.j")))
+    blocks = spread(packed.select(by, F.col("e.i").alias("i"), F.col("e.j").alias("j"), F.col("e.w").alias("w"),
+                                  F.explode(F.sequence(F.lit(0), F.floor((nodes - 1) / SOURCES))).alias("block")),
+                    by, "block")
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                i, j, weight = np.asarray(row.i), np.asarray(row.j), np.asarray(row.w, float)
+                names = np.unique(np.concatenate([i, j]))
+                n, on = len(names), weight > 0
+                at = np.searchsorted(names, i[on]), np.searchsorted(names, j[on])
+                cost = np.full((n, n), np.inf)
+                step = weight[on] if length == "weight" else 1 / weight[on]
+                np.minimum.at(cost, at, step)
+                cost = np.minimum(cost, cost.T)
+                sources = np.arange(row.block * SOURCES, min(n, (row.block + 1) * SOURCES))
+                hops = _hops(np.isfinite(cost).astype(np.float32), sources)
+                dist = _nearest_first(cost, sources)
+                a, b = np.nonzero(hops >= 0)
+                yield pd.DataFrame({by: getattr(row, by), "i": names[sources[a]], "j": names[b], "d": dist[a, b],
+                                    "h": hops[a, b]})
+
+    types = dict(edges.dtypes)
+    return blocks.mapInPandas(run, f"{by} {types[by]}, i {types['i']}, j {types['j']}, d double, h int")
 
 
 def components(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
@@ -230,8 +276,17 @@ def components(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
             return lab
 
 
+def components_of_pairs(pairs: DataFrame, by: str = "grp") -> DataFrame:
+    """The same labels, read off the connected pairs where these are at hand."""
+    return pairs.groupBy(by, F.col("i").alias("node")).agg(F.min("j").alias("component"))
+
+
 def component_summary(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFrame:
-    sizes = components(edges, by, w).groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"))
+    return component_sizes(components(edges, by, w), by)
+
+
+def component_sizes(labels: DataFrame, by: str = "grp") -> DataFrame:
+    sizes = labels.groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy(by).agg(
         F.count(F.lit(1)).alias("component_count"), F.max("size").alias("largest_size"),
         (F.max("size") / F.sum("size")).alias("largest_fraction"))
@@ -239,7 +294,7 @@ def component_summary(edges: DataFrame, by: str = "grp", w: str = "w") -> DataFr
 
 def avg_shortest_path(pairs: DataFrame, by: str = "grp") -> DataFrame:
     """Mean length over ordered pairs of the largest component (lowest label on ties)."""
-    lab = pairs.groupBy(by, F.col("i").alias("node")).agg(F.min("j").alias("component"))
+    lab = components_of_pairs(pairs, by)
     sizes = lab.groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"))
     giant = sizes.groupBy(by).agg(F.max_by(
         "component", F.struct("size", (-F.col("component")).alias("k"))).alias("component"))
@@ -309,14 +364,14 @@ def small_world_index(edges: DataFrame, pairs: DataFrame, by: str = "grp",
 def graph_summary(cons: DataFrame, by: str = "grp") -> DataFrame:
     """One row of metrics per group over the columns c and g."""
     cons = cut_lineage(cons.select(by, "i", "j", "c", "g"))
-    pairs = all_pairs(cons, by, "g")
+    pairs = cut_lineage(all_pairs(cons, by, "g"))
     basis = graph_fourier_basis(laplacian(cons, by, "g"), by)
     world = small_world_index(cons, pairs, by, "g").select(
         by, F.col("sigma").alias("small_world_sigma"))
     parts = [
         degree_summary(cons, by, "g"), average_clustering(cons, by, "g"),
         avg_shortest_path(pairs, by).select(by, "path_length"), world,
-        component_summary(cons, by, "g"), spectrum_summary(basis, by)]
+        component_sizes(components_of_pairs(pairs, by), by), spectrum_summary(basis, by)]
     out = edge_density(cons, by)
     for p in parts:
         out = out.join(p, by, "left")

@@ -833,6 +833,46 @@ def graph_summary(spark, d):
     return gr.graph_summary(_graph(spark, d))
 
 
+_RING = f"""{_CIRCULANT.split('ev AS (')[0].rstrip().rstrip(',')},
+dist_graph AS (SELECT b.grp, i, j, wd.w AS c, CASE WHEN wd.d <= 9 THEN wd.w ELSE 0.0 END AS g
+  FROM binar b JOIN wd ON wd.grp = b.grp AND wd.d = least(b.j - b.i, 64 - (b.j - b.i))), {_ARCS}, {_PAIRS}, {_TRI},
+flat AS (SELECT d.grp, avg(coalesce(n, 0) / (degree * (degree - 1.0))) AS c FROM deg d LEFT JOIN
+  (SELECT a.grp, a.i, count(*) AS n FROM arcs a JOIN arcs b ON a.grp = b.grp AND a.j = b.i
+   JOIN arcs c ON c.grp = b.grp AND c.i = b.j AND c.j = a.i WHERE a.w > 0 AND b.w > 0 AND c.w > 0 GROUP BY ALL) t
+  ON t.grp = d.grp AND t.i = d.node GROUP BY d.grp),
+ev AS (SELECT grp, k.range AS k, sum(2 * w * (1 - cos(2 * pi() * k.range * d / 64))) AS lam
+       FROM wd, range(64) k WHERE d <= 9 GROUP BY ALL),
+sp AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY lam) - 1 AS mode, lam FROM ev),
+parts AS (SELECT grp,
+  (SELECT struct_pack(sparsity_pct := 100.0 * count_if(g > 0) / count(*), n_edges := count_if(g > 0), n_possible := count(*),
+     consensus_mean := avg(c) FILTER (WHERE g > 0), consensus_median := quantile_cont(c, 0.5) FILTER (WHERE g > 0))
+   FROM dist_graph x WHERE x.grp = q.grp) AS e,
+  (SELECT struct_pack(degree_min := min(degree), degree_median := quantile_cont(degree, 0.5), degree_max := max(degree),
+     degree_std := stddev_pop(degree), strength_min := min(strength), strength_median := quantile_cont(strength, 0.5),
+     strength_max := max(strength), k := avg(degree), n := count(*)) FROM deg x WHERE x.grp = q.grp) AS s,
+  (SELECT avg(clustering) FROM clus x WHERE x.grp = q.grp) AS clustering,
+  (SELECT struct_pack(d := avg(d), h := avg(h)) FROM pr6 x WHERE x.grp = q.grp AND i <> j) AS p,
+  (SELECT struct_pack(lambda_min := min(lam), lambda_two := max(lam) FILTER (WHERE mode = 1), lambda_max := max(lam),
+     lambda_q3 := quantile_cont(lam, 0.75), near_zero := count_if(lam < 1e-5)) FROM sp x WHERE x.grp = q.grp) AS v,
+  (SELECT c FROM flat x WHERE x.grp = q.grp) AS c
+  FROM (SELECT DISTINCT grp FROM deg) q)"""
+
+
+@query("grp sparsity_pct:r6 n_edges:l n_possible:l degree_min:l degree_median:r6 degree_max:l"
+       " degree_std:r6 strength_min:r6 strength_median:r6 strength_max:r6 consensus_mean:r6"
+       " consensus_median:r6 clustering:r6 path_length:r6 small_world_sigma:r6 component_count:l"
+       " largest_fraction:r6 lambda_min:r6 lambda_two:r6 lambda_max:r6 lambda_q3:r6 near_zero:l", f"""WITH {_RING}
+SELECT grp, e.*, s.*, clustering, p.d AS path_length,
+       (c / (s.k / s.n)) / (p.h / (ln(s.n) / ln(s.k))) AS small_world_sigma, 1 AS component_count,
+       1.0 AS largest_fraction, v.* FROM parts""")
+def graph_summary_circulant(spark, d):
+    """The whole summary on ring graphs of the data's mean weights, where every metric has a closed form."""
+    gap = F.least(F.col("j") - F.col("i"), N1 - (F.col("j") - F.col("i")))
+    same = Window.partitionBy("grp", gap)
+    ring = _binar(spark, d).select("grp", "i", "j", F.avg("w_full").over(same).alias("c"))
+    return gr.graph_summary(ring.withColumn("g", F.when(gap <= 9, F.col("c")).otherwise(0.0)))
+
+
 # -- similarity -------------------------------------------------------------------------
 
 @query("subject_id grp pearson_r:r6 spearman_rho:r6 jaccard:r6 cosine:r6 mean_abs_diff:r6 rmsd:r6"
