@@ -53,6 +53,35 @@ def fit_coefficients(m: LagMoments, P: int, K: int, ridge: float = RIDGE) -> np.
     return np.linalg.solve(gram + ridge * np.eye(rhs.shape[1]), rhs[:, :, None])[:, :, 0]
 
 
+def fit_nested(m: LagMoments, P: int, k_grid, ridge: float = RIDGE) -> dict[int, np.ndarray]:
+    """Coefficients for every K of one order P from a single factorisation.
+
+    All K share the samples from P on, so with the unknowns in order of k a smaller
+    K's system is a leading block of the largest one's. The Cholesky factor, its
+    inverse and the forward substitution are nested in the same way; each K only
+    substitutes back. (Orders P are not nested: a smaller one sums over more samples.)
+    """
+    k_max = max(k_grid)
+    gram, rhs = m.system(P, k_max)
+    order = np.arange(P * (k_max + 1)).reshape(P, k_max + 1).T.ravel()       # by k, then p
+    gram, rhs = gram[:, order[:, None], order[None, :]], rhs[:, order]
+    low = np.linalg.inv(np.linalg.cholesky(gram + ridge * np.eye(len(order))))
+    forward = np.einsum("bij,bj->bi", low, rhs)
+    out = {}
+    for k in k_grid:
+        n = P * (k + 1)
+        h = np.einsum("bji,bj->bi", low[:, :n, :n], forward[:, :n])
+        out[k] = h.reshape(-1, k + 1, P).transpose(0, 2, 1).reshape(-1, n)
+    return out
+
+
+def normal_residual(m: LagMoments, h, P: int, K: int, ridge: float = RIDGE) -> np.ndarray:
+    """Largest error of the ridge system (G + ridge) h = v, as a share of the largest |v|."""
+    gram, rhs = m.system(P, K)
+    gap = np.einsum("bij,bj->bi", gram, h) + ridge * h - rhs
+    return np.abs(gap).max(axis=1) / np.maximum(np.abs(rhs).max(axis=1), 1e-300)
+
+
 def spectral_radius(h, lam, P: int, K: int) -> np.ndarray:
     """Largest companion root over the graph modes, one P x P block per model and mode."""
     powers = np.asarray(lam)[None, :] ** np.arange(K + 1)[:, None]
@@ -72,11 +101,14 @@ def _null_model(P, K):
     return (P, K, None, None, None, None, None, None, None)
 
 
-def _fit_batch(train, P, K, lam, score_on=None):
-    """Model rows of one batch; a batch with a singular system is redone one by one."""
+def _fit_batch(train, P, K, lam, score_on=None, h=None):
+    """Model rows of one batch; a batch with a singular system is redone one by one.
+
+    ``h`` are coefficients already at hand.
+    """
     target = train if score_on is None else score_on
     try:
-        h = fit_coefficients(train, P, K)
+        h = fit_coefficients(train, P, K) if h is None else h
         rho = spectral_radius(h, lam, P, K)
     except np.linalg.LinAlgError:
         if len(train.a) == 1:
@@ -149,7 +181,8 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
     One pass over the samples at the largest P serves the whole grid. Cells
     that cannot be fitted stay as rows with NULL results. ``val_scaling``:
     ``train`` scales the validation span by the training stats, ``reference``
-    by the stats of the already standardised training span.
+    by the stats of the already standardised training span. ``residual`` is the
+    relative error of a cell's normal equations.
     """
     p_grid, k_grid = sorted(p_grid), sorted(k_grid)
     p_max, k_max = p_grid[-1], k_grid[-1]
@@ -180,7 +213,7 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
         F.struct("split", "part", "P", "n_obs", "s1", "a")).alias("m"))
     # a subject too short for any cell keeps its (empty) grid
     rows = with_lambdas(train.select(*KEY).join(packed, KEY, "left"), basis, by)
-    cols = [*KEY, *(f.split()[0] for f in MODEL_FIELDS.split(", "))]
+    cols = [*KEY, *(f.split()[0] for f in MODEL_FIELDS.split(", ")), "residual"]
 
     def merged(found, split, p):
         """(a, n_obs, s1) of one split at order p, or None when it is too short."""
@@ -212,16 +245,24 @@ def model_grid(signals: DataFrame, basis: DataFrame, n_channels: int, p_grid, k_
                 for p in p_grid:
                     pairs = [(merged(f, "train", p), merged(f, "val", p)) for f in found]
                     ok = [x for x, (tr, va) in enumerate(pairs) if tr is not None and va is not None]
+                    if ok:
+                        tr = batch([pairs[x][0] for x in ok], p)
+                        va = batch([pairs[x][1] for x in ok], p)
+                        try:
+                            nested = fit_nested(tr, p, k_grid)
+                        except np.linalg.LinAlgError:
+                            nested = {}
                     for k in k_grid:
-                        cells = dict.fromkeys(range(len(ids)), _null_model(p, k))
+                        cells = dict.fromkeys(range(len(ids)), (*_null_model(p, k), None))
                         if ok:
-                            tr = batch([pairs[x][0] for x in ok], p)
-                            va = batch([pairs[x][1] for x in ok], p)
-                            cells |= dict(zip(ok, _fit_batch(tr, p, k, lam, va)))
+                            fitted = _fit_batch(tr, p, k, lam, va, nested.get(k))
+                            h = [np.full(p * (k + 1), np.nan) if f[2] is None else f[2] for f in fitted]
+                            off = normal_residual(tr, np.stack(h), p, k)
+                            cells |= {x: (*f, None if np.isnan(r) else float(r)) for x, f, r in zip(ok, fitted, off)}
                         out += [(*ids[x], *cells[x]) for x in range(len(ids))]
             yield pd.DataFrame(out, columns=cols)
 
-    grid = rows.mapInPandas(run, f"subject_id string, grp string, {MODEL_FIELDS}")
+    grid = rows.mapInPandas(run, f"subject_id string, grp string, {MODEL_FIELDS}, residual double")
     stable = F.coalesce((F.col("rho") < rho_limit) & ~F.isnan("rho"), F.lit(False))
     return grid.withColumn("stable", stable).withColumn("success", F.col("bic").isNotNull())
 

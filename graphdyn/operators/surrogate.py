@@ -2,90 +2,33 @@
 
 A surrogate number is one more group key: all surrogates of all subjects run
 through the same block, fit and transfer stages at once. The samples travel as
-array chunks (8 bytes per sample), never as exploded rows.
+array pieces (8 bytes per sample), never as exploded rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.functions.scalars import nan_to_num
+from graphdyn.operators import blocks
 from graphdyn.operators.graph_var import fit_models, lti_models, tv_models
 from graphdyn.operators.moments import (
     BLOCK, KEY, recording_stats, window_moments, with_context)
 from graphdyn.operators.transfer import mean_msd, paired_models, pass_msd, surface_pass
-from graphdyn.schema import SD_FLOOR, Z_CLIP
-from graphdyn.session import cut_lineage, spread
+from graphdyn.session import cut_lineage
 
 
-def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_surrogates: int, pane: int,
-                     halo: int, chunk: int = 4096, seed: int = 0,
-                     shift=None) -> DataFrame:
+def surrogate_blocks(signals: DataFrame, stats: DataFrame, n_channels: int, n_surrogates: int, pane: int,
+                     halo: int, seed: int = 0, shift=None, size: int = blocks.SIZE) -> DataFrame:
     """Standardised, circularly shifted panes: (keys, surrogate, pane, cells).
 
     Each channel of each surrogate moves by ``shift`` modulo its length: a
     function of the columns (surrogate, channel), by default a hash of (seed,
-    surrogate, subject, channel). A chunk of samples is cut into the
-    pieces that land in each pane; a pane collects one or two per channel.
+    surrogate, subject, channel). A block of samples is cut into the pieces that
+    land in each pane; a pane collects one or two per channel and block.
     """
-    own = F.floor(F.col("t") / chunk)
-    chunks = signals.groupBy(*KEY, F.col("channel").cast("int").alias("channel"),
-                             own.alias("chunk")).agg(
-        F.collect_list(F.struct((F.col("t") - own * chunk).cast("int").alias("o"),
-                                nan_to_num(F.col("value")).alias("v"))).alias("cells"))
-    # a chunk without a single sample still holds (standardised) zeros
-    skeleton = stats.select(*KEY, "n_samples", F.posexplode(
-        F.arrays_zip("mu", "sd")).alias("channel", "s")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"),
-                                      F.floor((F.col("n_samples") - 1) / chunk))))
-    full = skeleton.join(chunks, [*KEY, "channel", "chunk"], "left")
-    def drawn(s, channel):
-        return F.xxhash64(F.lit(seed), s, F.col("subject_id"), channel)
-
-    shifts = F.transform(
-        F.sequence(F.lit(1), F.lit(n_surrogates)),
-        lambda s: F.pmod((shift or drawn)(s, F.col("channel")).cast("long"), F.col("n_samples")))
-    ready = full.select(*KEY, "channel", "chunk", "n_samples", F.col("s.mu").alias("mu"),
-                        F.col("s.sd").alias("sd"), F.col("cells.o").alias("o"),
-                        F.col("cells.v").alias("v"), shifts.alias("shifts"))
-
-    ready = spread(ready, *KEY, "channel", "chunk")
-
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                begin = row.chunk * chunk
-                x = np.zeros(min(chunk, row.n_samples - begin))
-                if row.o is not None:
-                    x[np.asarray(row.o)] = row.v
-                x = np.nan_to_num((x - row.mu) / max(row.sd, SD_FLOOR),
-                                  nan=0.0, posinf=Z_CLIP, neginf=-Z_CLIP)
-                x = np.clip(x, -Z_CLIP, Z_CLIP)
-                out = []
-                for number, shift in enumerate(row.shifts, 1):
-                    at = int((begin + shift) % row.n_samples)
-                    split = min(len(x), row.n_samples - at)
-                    for base, part in ((at, x[:split]), (0, x[split:])):
-                        end = base + len(part)
-                        if end == base:
-                            continue
-                        for p in range(base // pane, (end - 1 + halo) // pane + 1):
-                            origin = p * pane - halo
-                            lo, hi = max(base, origin), min(end, (p + 1) * pane)
-                            if lo < hi and p * pane < row.n_samples:
-                                out.append((number, p, lo - origin, part[lo - base:hi - base]))
-                if out:
-                    number, panes, offs, vals = zip(*out)
-                    yield pd.DataFrame({
-                        "subject_id": row.subject_id, "grp": row.grp, "surrogate": number,
-                        "pane": panes, "c": row.channel, "o": offs, "v": vals})
-
-    pieces = ready.mapInPandas(
-        run, "subject_id string, grp string, surrogate int, pane bigint, c int, o int,"
-             " v array<double>")
+    ready = blocks.prepare(signals, n_channels, standardise=True, stats=stats, size=size)
+    pieces = blocks.shift_pieces(ready, n_surrogates, pane, halo, shift or blocks.hashed_shift(seed))
     return pieces.groupBy(*KEY, "surrogate", "pane").agg(
         F.collect_list(F.struct("c", "o", "v")).alias("cells"))
 
@@ -108,8 +51,8 @@ def surrogate_null(signals: DataFrame, basis: DataFrame, n_channels: int, *, P:
     else:
         lists = orders.select("subject_id", F.array("P").alias("orders"))
     stats = recording_stats(signals, n_channels)
-    blocks = surrogate_blocks(signals, stats, n_surrogates, BLOCK, p_max, seed=seed, shift=shift)
-    ready = with_context(blocks, stats, basis, BLOCK, p_max, lists, extra=("surrogate",), complete=True)
+    panes = surrogate_blocks(signals, stats, n_channels, n_surrogates, BLOCK, p_max, seed, shift)
+    ready = with_context(panes, stats, basis, BLOCK, p_max, lists, extra=("surrogate",), complete=True)
     moments = window_moments(ready, k_max, length, step, standardise=False, extra=("surrogate",))
     moments = moments.withColumn("K", F.lit(K)) if orders is None else moments.join(
         orders.select("subject_id", "K"), "subject_id")

@@ -68,11 +68,11 @@ def fit_cohort(signals: DataFrame, basis: DataFrame, n_channels: int, *, length:
 def subject_test(signals: DataFrame, basis: DataFrame, n_channels: int, *, length: int,
                           step: int, preset: Preset = PRESETS["subject"], fs: float = 100.0,
                           P: int | None = None, K: int | None = None, n_surrogates: int = 0,
-                          seed: int = 0, n_omega: int | None = None) -> DataFrame:
+                          seed: int = 0, n_omega: int | None = None, shift=None) -> DataFrame:
     """The 15-column summary: selection, models, comparison and test per subject.
 
     With ``n_surrogates`` the surrogate null uses the same orders as the models:
-    P and K, or those selected per subject.
+    P and K, or those selected per subject. ``shift`` replaces the hashed offsets.
     """
     n_omega = n_omega or preset.n_omega
     orders, k_max = None, K
@@ -99,7 +99,8 @@ def subject_test(signals: DataFrame, basis: DataFrame, n_channels: int, *, lengt
         null = surrogate.surrogate_null(
             signals, basis, n_channels, P=P, K=K, orders=orders, p_max=p_max, k_max=k_max,
             length=length, step=step, n_surrogates=n_surrogates, seed=seed, min_windows=preset.min_windows,
-            rho_lti=preset.rho_lti, rho_tv=preset.rho_tv, n_omega=n_omega, guard=preset.guard)
+            rho_lti=preset.rho_lti, rho_tv=preset.rho_tv, n_omega=n_omega, guard=preset.guard,
+            shift=shift)
     else:
         null = msd.limit(0).select("subject_id", "global_msd")
     tests = surrogate.tv_test(null, msd, extent)

@@ -344,13 +344,25 @@ def model_grid(spark, d):
     return _grid(spark, d)
 
 
-@query("subject_id grp P:i K:i rho:r6 n_obs:l rss:r6 r2:r6 mse:r6 bic:r6 stable:b",
-       f"WITH {_GRID} SELECT * FROM model_grid")
-def model_grid_published(spark, d):
-    """The published grid of 100 cells is fitted in full; SQL can solve four of them."""
+def _published_grid(spark, d):
     full = PRESETS["qc"]
-    grid = gv.model_grid(fx.signals_ledger(spark, d), _ring(spark), N, full.p_grid, full.k_grid)
-    return cut_lineage(grid).filter("P in (1, 2) and K in (0, 1)")
+    return gv.model_grid(fx.signals_ledger(spark, d), _ring(spark), N, full.p_grid, full.k_grid)
+
+
+@query("subject_id grp P:i K:i rho:r6 n_obs:l rss:r6 r2:r6 mse:r6 bic:r6 stable:b")
+def model_grid_published(spark, d):
+    """All 100 cells of the published grid; ``model_grid`` is the part that SQL can solve."""
+    return _published_grid(spark, d)
+
+
+@query("subject_id grp P:i K:i n_obs:l residual:r6 fitted:b", f"""WITH {o.LEDGER},
+span AS (SELECT subject_id, grp, max(t) + 1 AS n FROM led GROUP BY ALL)
+SELECT subject_id, grp, p.range AS P, k.range AS K,
+       7 * (CAST(floor(0.85::DOUBLE * n) AS BIGINT) - CAST(floor(0.70::DOUBLE * n) AS BIGINT) - p.range) AS n_obs,
+       0.0 AS residual, true AS fitted FROM span CROSS JOIN range(1, 21) p CROSS JOIN range(5) k""")
+def model_grid_normal_equations(spark, d):
+    """Every cell of the published grid solves its normal equations on all its rows."""
+    return _published_grid(spark, d).withColumn("fitted", F.col("h").isNotNull())
 
 
 @query("subject_id grp P:i K:i best_bic:r6", f"""WITH {_PICK}
@@ -487,10 +499,28 @@ def mode_confidence_band(spark, d):
 
 # -- surrogate test and decisions ---------------------------------------------------------
 
-@query("subject_id grp surrogate:i global_msd:r6 n_windows:l")
+def _offset(s, c):
+    """Offsets of the checked surrogates: a formula that SQL can repeat."""
+    return (s * 7919 + c * 104729) % 1009 * (c + 1)
+
+
+_OFFSET = "((s.range * 7919 + channel * 104729) % 1009 * (channel + 1))"
+
+
+@query("subject_id grp surrogate:i global_msd:r6 n_windows:l",
+       f"WITH {o.LEDGER_Z} SELECT * FROM {o.surrogate_null(20, _OFFSET)}")
 def surrogate_null(spark, d):
     return su.surrogate_null(fx.signals_ledger(spark, d), _ring(spark), N, P=P, K=K, length=LEN,
-                             step=STEP, n_surrogates=20, n_omega=OMEGA)
+                             step=STEP, n_surrogates=20, n_omega=OMEGA, shift=_offset)
+
+
+@query("subject_id grp surrogate:i global_msd:r6 n_windows:l")
+def surrogate_null_published(spark, d):
+    """200 hashed surrogates at the orders selected per subject, on the published frequency grid."""
+    sig, ring, pre = fx.signals_ledger(spark, d), _ring(spark), PRESETS["subject"]
+    orders = cut_lineage(gv.select_model(_grid(spark, d)))
+    return su.surrogate_null(sig, ring, N, orders=orders, p_max=5, k_max=2, length=LEN, step=STEP,
+                             n_omega=pre.n_omega, guard=pre.guard)
 
 
 _NULLISH = f"""{_S},
@@ -522,12 +552,30 @@ def simple_tv_decision(spark, d):
 
 @query("subject_id grp P:i K:i duration:r6 lti_r2:r6 lti_bic:r6 lti_rho:r6 n_windows:l global_msd:r6"
        " global_variance:r6 global_coeff_cv:r4 outside_ci_fraction:r6 p_value_msd:r6"
-       " is_time_varying:b")
+       " is_time_varying:b", f"""WITH {_COEF},
+{o.surfaces()}, nulls AS MATERIALIZED {o.surrogate_null(60, _OFFSET)},
+pv AS (SELECT subject_id, CASE WHEN count(n.global_msd) >= 50 THEN avg(CAST(n.global_msd >= g.global_msd AS DOUBLE)) END
+       AS p_value_msd FROM gmsd g LEFT JOIN nulls n USING (subject_id) GROUP BY subject_id)
+SELECT m.subject_id, m.grp, 2 AS P, 1 AS K, n_samples / 100.0 AS duration, r2 AS lti_r2, bic AS lti_bic,
+  rho AS lti_rho, n_windows, global_msd, global_variance, global_coeff_cv, outside_ci_fraction, p_value_msd,
+  CASE WHEN p_value_msd IS NOT NULL THEN p_value_msd < 0.05 OR outside_ci_fraction > 0.05
+       ELSE outside_ci_fraction > 0.10 END AS is_time_varying
+FROM models m JOIN gmsd USING (subject_id) JOIN extent USING (subject_id) JOIN pv USING (subject_id)
+JOIN (SELECT subject_id, avg(h_cv) AS global_coeff_cv FROM cv GROUP BY ALL) USING (subject_id)
+JOIN span USING (subject_id) WHERE scope = 'lti'""")
 def subject_test(spark, d):
-    """Whole subject analysis with a surrogate null (60 surrogates)."""
+    """Whole subject analysis with a surrogate null (60 surrogates, offsets by formula)."""
     pre = Preset((1, 2), (0, 1), 1.0, 1.0, 0.99, (2, 1), "add", OMEGA, 5)
     return cohort.subject_test(fx.signals_ledger(spark, d), _ring(spark), N, length=LEN, step=STEP,
-                               preset=pre, P=P, K=K, n_surrogates=60)
+                               preset=pre, P=P, K=K, n_surrogates=60, shift=_offset)
+
+
+@query("subject_id grp P:i K:i duration:r6 lti_r2:r6 lti_bic:r6 lti_rho:r6 n_windows:l global_msd:r6"
+       " global_variance:r6 global_coeff_cv:r4 outside_ci_fraction:r6 p_value_msd:r6"
+       " is_time_varying:b")
+def subject_test_published(spark, d):
+    """The published settings: orders selected per subject from 8 x 4 cells, 200 surrogates, 128 frequencies."""
+    return cohort.subject_test(fx.signals_ledger(spark, d), _ring(spark), N, length=LEN, step=STEP, n_surrogates=200)
 
 
 @query("subject_id grp P:i K:i duration:r6 lti_r2:r6 lti_bic:r6 lti_rho:r6 n_windows:l global_msd:r6"

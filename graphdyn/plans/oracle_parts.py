@@ -252,6 +252,21 @@ def ledger_surfaces() -> str:
     return f"{ledger_models()},\n{surfaces()}"
 
 
+def surrogate_null(n_surrogates: int, shift: str, length: int = 100, step: int = 50) -> str:
+    """A sub-query (subject_id, grp, surrogate, global_msd, n_windows) over ``zs``; ``shift`` in terms of s and channel."""
+    key = "subject_id, grp, window_idx"
+    rolled = f"""rolled AS MATERIALIZED (
+  SELECT subject_id || '|' || s.range AS subject_id, grp, n_samples, channel, (t + {shift}) % n_samples AS t, x
+  FROM zs CROSS JOIN (SELECT range FROM range(1, {n_surrogates + 1})) s),
+rspan AS (SELECT DISTINCT subject_id, n_samples FROM rolled)"""
+    parts = [rolled, lap("rolled"), FEATURES, scopes(length, step).replace("FROM span", "FROM rspan"), gram(4, key),
+             solve(4, key), scores(4).replace("models AS (", "models AS MATERIALIZED ("),
+             surfaces().replace("tf AS (", "tf AS MATERIALIZED (")]
+    return f"""(WITH {", ".join(parts)}
+SELECT split_part(subject_id, '|', 1) AS subject_id, grp, CAST(split_part(subject_id, '|', 2) AS INTEGER) AS surrogate,
+       global_msd, n_windows FROM gmsd WHERE n_windows >= 5)"""
+
+
 def two_groups(source: str, keys: str, value: str = "value") -> str:
     """Moments of both groups per key."""
     def part(tag, label):

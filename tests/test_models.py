@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphdyn.operators import graph_var, moments, surrogate, transfer
 from graphdyn.plans import cohort
-from graphdyn.schema import Preset
+from graphdyn.schema import PRESETS, Preset
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,38 @@ def test_grid_and_selection(spark, recordings, basis, ring_lap, scaling):
         assert (r.P, r.K) == best[r.subject_id][1:]
 
 
+def test_published_grid_matches_direct_fits(spark, recordings, basis, ring_lap):
+    """All 100 cells: coefficients, stability and scores, and normal equations that hold."""
+    full = PRESETS["qc"]
+    some = {k: v for k, v in recordings.items() if k[0] in "ab"}
+    grid = graph_var.model_grid(signals_frame(spark, some), basis, 6, full.p_grid, full.k_grid, pane=50)
+    got = {(r.subject_id, r.P, r.K): r for r in grid.collect()}
+    assert len(got) == 200 and max(r.residual for r in got.values()) < 1e-9
+    for (s, _), x in some.items():
+        t = x.shape[1]
+        train = brute.zscore(x[:, :int(0.70 * t)])
+        val = brute.zscore(x[:, int(0.70 * t):int(0.85 * t)], x[:, :int(0.70 * t)])
+        for p in full.p_grid:
+            for k in full.k_grid:
+                r, h = got[s, p, k], brute.fit(train, ring_lap, p, k)
+                np.testing.assert_allclose(r.h, h, rtol=1e-5, atol=1e-7)
+                assert r.rho == pytest.approx(brute.radius(h, ring_lap, p, k), rel=1e-4)
+                assert (r.rss, r.bic) == pytest.approx((brute.score(h, val, ring_lap, p, k)[0],
+                                                        brute.score(h, val, ring_lap, p, k)[3]), rel=1e-5)
+
+
+def test_nested_fit_equals_separate_solves():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3, 400, 4))
+    lam = np.array([0.0, 0.4, 1.1, 1.9])
+    lags = np.stack([x[:, 6 - p:400 - p] for p in range(7)], axis=1)            # batch, p, t, mode
+    a = np.stack([np.einsum("bptm,bqtm,m->bpq", lags, lags, lam ** j) for j in range(7)], axis=1)
+    m = graph_var.LagMoments(a.reshape(3, -1), 6, [394 * 4] * 3, x[:, 6:].sum(axis=(1, 2)))
+    for k, h in graph_var.fit_nested(m, 6, (0, 1, 3)).items():
+        np.testing.assert_allclose(h, graph_var.fit_coefficients(m, 6, k), rtol=1e-8, atol=1e-10)
+        assert graph_var.normal_residual(m, h, 6, k).max() < 1e-10
+
+
 def test_grid_keeps_failed_cells_and_falls_back(spark, basis):
     x = np.random.default_rng(1).normal(size=(6, 12))
     grid = graph_var.model_grid(signals_frame(spark, {("s", "A"): x}), basis, 6, (9, 20), (1,))
@@ -149,7 +181,7 @@ def test_surrogate_chunks_smaller_than_panes(spark, recordings, basis):
     stats = moments.recording_stats(sig, 6)
 
     def cells(chunk):
-        b = surrogate.surrogate_blocks(sig, stats, 3, 30, 2, chunk=chunk)
+        b = surrogate.surrogate_blocks(sig, stats, 6, 3, 30, 2, size=chunk)
         out = {}
         for r in b.collect():
             m = out.setdefault((r.subject_id, r.surrogate, r.pane), np.full((6, 32), np.nan))
