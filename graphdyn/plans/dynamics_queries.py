@@ -82,6 +82,40 @@ def resample(spark, d):
     return prep.resample_mean(fx.signals_shipments(spark, d), 7.0, 1.0)
 
 
+_UP, _DOWN = bl.resample_rates(100.0, 64.0)
+_KERNEL = bl.resample_taps(_UP, _DOWN)
+_LONG = prep.bandpass_taps(0.5, 40.0, 256.0, 330)
+
+
+@query("subject_id grp channel:i t:l value:r3", f"""WITH {o.LEDGER},
+span AS (SELECT subject_id, max(t) + 1 AS n_samples FROM led GROUP BY ALL),
+taps AS (SELECT unnest(range({len(_KERNEL)})) - {len(_KERNEL) // 2} AS k, unnest([{', '.join(repr(v) for v in _KERNEL)}]) AS h),
+part AS (SELECT l.subject_id, l.grp, l.channel, (l.t * {_UP} + k) // {_DOWN} AS t, sum(h * value) AS value
+         FROM led l JOIN taps ON (l.t * {_UP} + k) % {_DOWN} = 0 AND l.t * {_UP} + k >= 0 GROUP BY ALL),
+ticks AS (SELECT DISTINCT l.subject_id, l.grp, unnest(range((n_samples * {_UP} + {_DOWN} - 1) // {_DOWN})) AS t
+          FROM led l JOIN span USING (subject_id))
+SELECT k.subject_id, k.grp, c.range AS channel, k.t, coalesce(p.value, 0.0) AS value
+FROM ticks k CROSS JOIN range(7) c LEFT JOIN part p
+  ON p.subject_id = k.subject_id AND p.t = k.t AND p.channel = c.range""")
+def resample_rational(spark, d):
+    """100 Hz to 64 Hz through a polyphase bank with anti-alias cut-off."""
+    return bl.to_rows(bl.resample(fx.signals_ledger(spark, d), N, 100.0, 64.0))
+
+
+@query("subject_id grp channel:i n:l total:r3 energy:r1", f"""WITH {o.LEDGER},
+span AS (SELECT subject_id, max(t) + 1 AS n_samples FROM led GROUP BY ALL),
+taps AS (SELECT unnest(range(661)) - 330 AS k, unnest([{', '.join(repr(v) for v in _LONG)}]) AS h),
+y AS (SELECT l.subject_id, l.grp, l.channel, l.t + k AS t, any_value(n_samples) AS n, sum(h * value) AS v
+      FROM led l CROSS JOIN taps JOIN span ON span.subject_id = l.subject_id AND l.t + k >= 0 AND l.t + k < n_samples
+      GROUP BY ALL)
+SELECT subject_id, grp, channel, any_value(n) AS n, sum(v) AS total, sum(v * v) / 1e6 AS energy FROM y GROUP BY ALL""")
+def bandpass_fir_published(spark, d):
+    """The published band at 256 Hz needs 661 taps; blocks are convolved by overlap-save."""
+    x = bl.block_sums(bl.prepare(fx.signals_ledger(spark, d), N, taps=_LONG))
+    grp = F.when(F.col("subject_id").cast("int") < fx.LEDGER_SUBJECTS // 2, "A").otherwise("B")
+    return x.withColumn("grp", grp).withColumn("energy", F.col("energy") / 1e6)
+
+
 _TAPS = prep.bandpass_taps(0.5, 40.0, 100.0, 10)
 
 

@@ -163,3 +163,23 @@ def test_overlap_save_equals_the_direct_sum():
 def test_unknown_reference_is_refused():
     with pytest.raises(ValueError):
         blocks.referenced(np.zeros((2, 3)), "median")
+
+
+@pytest.mark.parametrize("old, new", [(100, 64), (64, 100), (250, 125)])
+def test_resampling_keeps_low_and_drops_high_frequencies(spark, old, new):
+    """Sines below the new Nyquist frequency keep their phase, those above vanish; blocks leave no seams."""
+    n = 6 * old
+    t = np.arange(n) / old
+    low, high = 0.3 * min(old, new), 0.5 * (new / 2 + old / 2)
+    x = np.stack([np.sin(2 * np.pi * low * t), np.sin(2 * np.pi * (high if new < old else low) * t), np.ones(n)])
+    for size in (64, 4096):
+        out = blocks.resample(signals_frame(spark, {("s", "A"): x}), 3, old, new, size=size)
+        rows = blocks.to_rows(out).orderBy("channel", "t").collect()
+        y = np.array([r.value for r in rows]).reshape(3, -1)
+        assert y.shape[1] == -(-n * new // old) and [r.t for r in rows[:3]] == [0, 1, 2]
+        at, edge = np.arange(y.shape[1]) / new, max(3 * new // 4, 20)
+        inner = slice(edge, -edge)
+        np.testing.assert_allclose(y[0, inner], np.sin(2 * np.pi * low * at)[inner], atol=5e-3)
+        np.testing.assert_allclose(y[2, inner], 1.0, atol=2e-3)
+        if new < old:
+            assert np.abs(y[1, inner]).max() < 5e-3
