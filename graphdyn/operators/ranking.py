@@ -36,3 +36,22 @@ def global_running_sum(df: DataFrame, *order, weight: str | None = None,
 def global_positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
     """1-based position of every row in a total order with distinct keys."""
     return global_running_sum(df, *order, name=name)
+
+
+def suffix_min(df: DataFrame, within, order, value: str, name: str) -> DataFrame:
+    """Least ``value`` from each row to the end of its group ``within``, in the order of ``order``.
+
+    A two-level reverse scan: inside each partition of a range-partitioned sort,
+    then over one least value per (partition, group). A group may span any
+    number of partitions.
+    """
+    placed = cut_lineage(df.orderBy(*within, *order).withColumn("_part", F.spark_partition_id())
+                         .withColumn("_seq", F.monotonically_increasing_id()))
+    back = Window.partitionBy("_part", *within).orderBy(F.desc("_seq"))
+    local = placed.withColumn("_own", F.min(value).over(back))
+    later = Window.partitionBy(*within).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = placed.groupBy("_part", *within).agg(F.min(value).alias("_least")).withColumn(
+        "_later", F.min("_least").over(later)).drop("_least")
+    same = [local[c].eqNullSafe(rest[c]) for c in within]
+    joined = local.join(rest, [local["_part"] == rest["_part"], *same])
+    return joined.select(*[local[c] for c in df.columns], F.least("_own", "_later").alias(name))

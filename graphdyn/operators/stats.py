@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from graphdyn.functions.scalars import bands_of
 from graphdyn.functions.special import (
     chi2_p_value, mann_whitney_p, norm_ppf, t_critical, t_p_value)
-from graphdyn.operators.ranking import global_running_sum
+from graphdyn.operators.ranking import global_running_sum, suffix_min
+from graphdyn.session import cut_lineage, sized
 
 
 def unpivot_metrics(df: DataFrame, metrics, ids=("subject_id", "grp")) -> DataFrame:
@@ -171,6 +172,39 @@ def fdr_bh(df: DataFrame, family, p: str = "p_value", alpha: float = 0.05) -> Da
             .withColumn("n_reject", F.count_if(F.col("p_adjusted") <= alpha).over(fam)))
 
 
+def fdr_bh_large(df: DataFrame, family=(), p: str = "p_value", alpha: float = 0.05) -> DataFrame:
+    """The same adjustment for families of any size: no family is one task's work.
+
+    Equal p of a family are one row with a count; a distributed sort ranks them, a
+    distributed reverse scan takes the least ratio from each rank on, and the result
+    goes back by (family, p).
+    """
+    family = list(family)
+    own = family or ["_all"]
+    rows = df if family else df.withColumn("_all", F.lit(0))
+    distinct = rows.groupBy(*own, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    known = distinct.filter(F.col("_p").isNotNull())
+    ranked = global_running_sum(known, *own, "_p", weight="_n", name="_hi")
+    size = ranked.groupBy(*own).agg(F.sum("_n").alias("_m"), F.min(F.col("_hi") - F.col("_n")).alias("_off"))
+    ratio = F.col("_p") * F.col("_m") / (F.col("_hi") - F.col("_off"))
+    ratios = _null_safe(ranked, sized(size), own).select(*own, "_p", "_n", ratio.alias("_q"))
+    least = cut_lineage(suffix_min(ratios, own, ["_p"], "_q", "_adj").withColumn("_adj", F.least("_adj", F.lit(1.0))))
+    count = least.groupBy(*own).agg(F.sum(F.when(F.col("_adj") <= alpha, F.col("_n")).otherwise(0)).alias("n_reject"))
+    adjusted = least.select(*own, "_p", F.col("_adj").alias("p_adjusted"))
+    out = _null_safe(rows.withColumn("_p", F.col(p)), adjusted, [*own, "_p"], "left")
+    out = out.withColumn("reject", F.col("p_adjusted") <= alpha)
+    out = _null_safe(out, sized(count), own, "left").withColumn("n_reject", F.coalesce("n_reject", F.lit(0)))
+    return out.select(*df.columns, "p_adjusted", "reject", "n_reject")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join in which null keys of both sides meet."""
+    renamed = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
+                           *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(renamed[f"_r{i}"]) for i, k in enumerate(keys)]
+    return left.join(renamed, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
 def pointwise_stats(points: DataFrame, *, family=("model_type",), point: str = "mode",
                     alpha: float = 0.05, a: str = "A", b: str = "B") -> DataFrame:
     """Welch test, effect size and adjusted p at every point of each curve."""

@@ -297,6 +297,14 @@ def t_tail(t: str = "t_stat", df: str = "df", steps: int = 3000) -> str:
             f" FROM range({steps + 1}) steps(k))) END")
 
 
+def normal_rank_tail(u_max: str, n_a: str, n_b: str, ties: str, steps: int = 2000) -> str:
+    """Two-sided normal tail of the rank-sum statistic, corrected for ties, by a Simpson sum over the density."""
+    n = f"({n_a} + {n_b})"
+    z = (f"(({u_max} - {n_a} * {n_b} / 2.0 - 0.5) / sqrt({n_a} * {n_b} / 12.0 * ({n} + 1 - {ties} / ({n} * ({n} - 1.0)))))")
+    return (f"least(1.0, 1 - 2 / sqrt(2 * pi()) * {z} / {3 * steps}.0 * (SELECT sum((CASE WHEN k IN (0, {steps}) THEN 1"
+            f" WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * k / {steps}.0, 2) / 2)) FROM range({steps + 1}) steps(k)))")
+
+
 def rank_tail(u_max: str, n_a: str, n_b: str) -> str:
     """Exact two-sided tail of the rank-sum statistic: all ways to place sample A, one bit per rank."""
     return (f"(SELECT least(1.0, 2.0 * count_if(u >= ceil({u_max})) / count(*)) FROM ("

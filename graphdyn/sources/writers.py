@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphdyn.schema import QC_LOG
 
@@ -33,9 +36,14 @@ def write_stats_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def append_qc_log(path: str, *logs: DataFrame) -> None:
-    """Append status rows to the processing log."""
+def append_qc_log(path: str, *logs: DataFrame, run: str | None = None) -> None:
+    """Add status rows to the processing log, as one partition per run.
+
+    A run that is named and written again replaces its own rows and no others, so a
+    repeated job does not double the log. Without a name each call is a run of its own.
+    """
     out = logs[0].select(*QC_LOG.names)
     for extra in logs[1:]:
         out = out.unionByName(extra.select(*QC_LOG.names))
-    out.write.mode("append").option("header", True).csv(path)
+    (out.withColumn("run", F.lit(run or uuid.uuid4().hex)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run").option("header", True).csv(path))

@@ -56,6 +56,11 @@ def test_log_is_appended(spark, tmp_path):
     writers.append_qc_log(path, row)
     writers.append_qc_log(path, row, row)
     assert readers.read_qc_log(spark, path).count() == 3
+    for _ in range(2):
+        writers.append_qc_log(path, row, row, run="nightly")
+    assert readers.read_qc_log(spark, path).count() == 5
+    writers.append_qc_log(path, row, run="nightly")
+    assert readers.read_qc_log(spark, path).count() == 4
 
 
 def test_path_rules(spark):

@@ -95,3 +95,19 @@ def test_confidence_interval(spark):
     assert r.ci_lower == pytest.approx(4.5 - r.ci_margin)
     assert stats.sem_band(df, ["grp"]).select(F.col("upper")).first()[0] == pytest.approx(
         4.5 + np.std(range(10)) / math.sqrt(10))
+
+
+def test_adjustment_of_large_families_equals_the_windowed_one(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 4 else None if i % 8 else "b", i, None if i % 50 == 7 else round(float(rng.beta(0.3, 1)), 3))
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "fam string, id int, p_value double").repartition(7)
+    for family in (["fam"], []):
+        flat = df if family else df.withColumn("one", F.lit(1))
+        want = {r.id: (r.p_adjusted, r.reject, r.n_reject) for r in stats.fdr_bh(flat, family or ["one"]).collect()}
+        found = stats.fdr_bh_large(df, family).collect()
+        got = {r.id: (r.p_adjusted, r.reject, r.n_reject) for r in found}
+        assert len(found) == 900 and got.keys() == want.keys()
+        for k, (p, reject, n) in want.items():
+            assert got[k][0] == (None if p is None else pytest.approx(p, rel=1e-12))
+            assert got[k][1:] == (reject, n)
