@@ -21,6 +21,8 @@ _PARTIAL = ("subject_id string, grp string, n bigint, ci array<int>, cj array<in
             " cii array<double>, cjj array<double>")
 #: Samples of one subject that are folded into one partial state.
 BLOCK = 1024
+#: Bytes of states that a task merges blocks into before it sends them on.
+HELD = 64 << 20
 
 
 def to_frames(signals: DataFrame, n_channels: int) -> DataFrame:
@@ -35,35 +37,63 @@ def to_frames(signals: DataFrame, n_channels: int) -> DataFrame:
         F.collect_list(cell).alias("cells"), F.lit(n_channels).alias("n_channels"))
 
 
-def _comoments(x: np.ndarray) -> tuple:
-    """Count, means and centred co-moments of every channel pair of a block of samples."""
-    n, mean = len(x), x.mean(axis=0)
-    d = x - mean
-    c = d.T @ d
-    i, j = np.triu_indices(len(mean), 1)
-    var = np.diag(c)
-    return n, i.astype(np.int32), j.astype(np.int32), mean[i], mean[j], c[i, j], var[i], var[j]
+class Comoments:
+    """Count, channel means and centred co-moments of the samples seen so far."""
+
+    def __init__(self, x: np.ndarray):
+        self.n, self.mean = len(x), x.mean(axis=0)
+        d = x - self.mean
+        self.c = d.T @ d
+
+    def add(self, other: Comoments) -> None:
+        """Merge disjoint samples; the shift between both means enters once."""
+        n = self.n + other.n
+        d = other.mean - self.mean
+        self.c += other.c + np.outer(d, d) * (self.n * other.n / n)
+        self.mean, self.n = self.mean + d * (other.n / n), n
+
+    def pairs(self) -> tuple:
+        i, j = np.triu_indices(len(self.mean), 1)
+        var = np.diag(self.c)
+        return (self.n, i.astype(np.int32), j.astype(np.int32), self.mean[i], self.mean[j], self.c[i, j], var[i], var[j])
+
+
+def _block_samples(row) -> np.ndarray:
+    if not hasattr(row, "cells"):
+        return np.stack(row.x)
+    o = np.array([c["o"] for c in row.cells])
+    seen, at = np.unique(o, return_inverse=True)
+    x = np.zeros((len(seen), row.n_channels))
+    x[at, [c["c"] for c in row.cells]] = [c["v"] for c in row.cells]
+    return x
 
 
 def _partial_comoments(batches):
-    """One row per block, whatever else the task holds."""
+    """One row per subject and task, merged over the task's blocks; states are sent on when they fill ``HELD``."""
+    def send():
+        rows = [(*key, *state.pairs()) for key, state in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["subject_id", "grp", "n", "ci", "cj", "mi", "mj", "cij", "cii", "cjj"])
+
+    held: dict[tuple, Comoments] = {}
+    size = 0
     for pdf in batches:
-        rows = []
         for row in pdf.itertuples(index=False):
-            if hasattr(row, "cells"):
-                o = np.array([c["o"] for c in row.cells])
-                seen, at = np.unique(o, return_inverse=True)
-                x = np.zeros((len(seen), row.n_channels))
-                x[at, [c["c"] for c in row.cells]] = [c["v"] for c in row.cells]
-            else:
-                x = np.stack(row.x)
-            rows.append((row.subject_id, row.grp, *_comoments(x)))
-        yield pd.DataFrame(rows, columns=["subject_id", "grp", "n", "ci", "cj", "mi", "mj", "cij",
-                                          "cii", "cjj"])
+            key, state = (row.subject_id, row.grp), Comoments(_block_samples(row))
+            if key in held:
+                held[key].add(state)
+                continue
+            held[key] = state
+            size += state.c.nbytes
+            if size > HELD:
+                size = 0
+                yield send()
+    if held:
+        yield send()
 
 
 def block_moments(frames: DataFrame) -> DataFrame:
-    """One partial state per (subject, block) of frames: arrays over the channel pairs."""
+    """One partial state per (subject, task) of frames: arrays over the channel pairs."""
     if "cells" not in frames.columns:
         frames = frames.groupBy("subject_id", "grp", F.floor(F.col("t") / BLOCK).alias("block")).agg(
             F.collect_list("x").alias("x"))
@@ -74,9 +104,10 @@ def pair_moments(frames: DataFrame, lengths: DataFrame | None = None) -> DataFra
     """Centred second-order sums of every channel pair (i < j) per subject.
 
     Columns n, mi, mj, cij, cii, cjj. Samples are gathered in blocks of
-    ``BLOCK`` per subject, each folded into centred co-moments: one shuffle of
-    the samples and one of n(n-1)/2 rows per block, however many subjects there
-    are; no per-sample pair is ever emitted. The merge re-centres the blocks on
+    ``BLOCK`` per subject, each folded into centred co-moments, and a task merges its
+    blocks of a subject: one shuffle of the samples and one of n(n-1)/2 rows per
+    subject and task, whatever the number of blocks; no per-sample pair is ever
+    emitted. The merge re-centres the blocks on
     the overall mean before it adds them, so a large offset costs no precision.
 
     ``frames`` has (subject_id, grp, t, x array) or the blocks of ``to_frames``.
@@ -90,7 +121,7 @@ def pair_moments(frames: DataFrame, lengths: DataFrame | None = None) -> DataFra
         "subject_id", "grp", "n",
         F.inline(F.arrays_zip("ci", "cj", "mi", "mj", "cij", "cii", "cjj"))) \
         .withColumnsRenamed({"ci": "i", "cj": "j"})
-    # one row per block and pair; the aggregation below reuses this partitioning
+    # one row per state and pair; the aggregation below reuses this partitioning
     whole = Window.partitionBy(*key)
     n = F.col("n")
     total = F.sum("n").over(whole)
