@@ -1010,3 +1010,40 @@ def qc_cohort(spark, d):
     pre = Preset((1, 2), (0, 1), 0.95, 0.95, 0.95, (1, 1), "fail", OMEGA, 10, -1.0)
     return cohort.qc_cohort(fx.signals_ledger(spark, d), _ring(spark), N, length=LEN, step=STEP,
                             preset=pre)["group_stats"]
+
+
+_GATED = _GATE + ",\n" + o.surfaces().replace(
+    "(scope = 'lti' AND rho < 1.0) OR (scope = 'tv' AND rho < 0.99)",
+    "subject_id IN (SELECT subject_id FROM qlog WHERE status = 'SUCCESS')"
+    " AND ((scope = 'lti' AND rho < 0.15) OR (scope = 'tv' AND rho < 0.35))") + _CURVES.split(_S, 1)[1]
+
+
+@query("part k1 k2 k3 v1:r6 v2:r6", f"""WITH {_GATED},
+tot AS (SELECT grp, count(*) AS total FROM qlog GROUP BY grp),
+md AS ({o.two_groups('bymode', 'model_type, mode').removeprefix('gm AS (').removesuffix(')')}),
+mw AS MATERIALIZED (SELECT model_type, mode, {o.WELCH} FROM md),
+bv AS (SELECT subject_id, grp, band, avg(l) AS l, avg(t) AS t FROM cf
+       JOIN {_BANDS} ON freq_hz >= lo AND freq_hz <= hi GROUP BY ALL),
+bl AS (SELECT subject_id, grp, band, 'LTI' AS model_type, l AS value FROM bv
+       UNION ALL SELECT subject_id, grp, band, 'TV', t FROM bv),
+{o.two_groups('bl', 'band, model_type')}
+SELECT 'report' AS part, grp AS k1, status AS k2, reason AS k3, 100.0 * count(*) / any_value(total) AS v1, count(*) AS v2
+FROM qlog JOIN tot USING (grp) GROUP BY grp, status, reason
+UNION ALL SELECT 'quality', grp, '', '', avg(lti_r2), avg(n_windows) FROM qlog WHERE status = 'SUCCESS' GROUP BY grp
+UNION ALL SELECT 'pointwise', model_type, CAST(mode AS VARCHAR), '', t_stat, {o.t_tail()} FROM mw
+UNION ALL SELECT 'band', band, model_type, '', t_stat, d FROM (SELECT band, model_type, {o.WELCH},
+  (mean_a - mean_b) / sqrt((std_a*std_a + std_b*std_b) / 2 + 1e-10) AS d FROM gm)""")
+def qc_cohort_tables(spark, d):
+    """Report, quality, pointwise and band tables of one cohort run with every gate on."""
+    pre = Preset((P,), (K,), 0.95, _QC.rho_lti, _QC.rho_tv, (P, K), "fail", OMEGA, _QC.min_windows, _QC.r2_min)
+    out = cohort.qc_cohort(fx.signals_ledger(spark, d), _ring(spark), N, length=LEN, step=STEP, preset=pre)
+
+    def part(name, keys, values):
+        cells = [F.lit(k) if k == "" else F.col(k).cast("string") for k in keys]
+        return out[name[0]].select(F.lit(name[1]).alias("part"), *[c.alias(f"k{i + 1}") for i, c in enumerate(cells)],
+                                   *[F.col(v).cast("double").alias(f"v{i + 1}") for i, v in enumerate(values)])
+
+    return (part(("report", "report"), ("grp", "status", "reason"), ("share_pct", "n"))
+            .unionByName(part(("quality", "quality"), ("grp", "", ""), ("lti_r2_mean", "n_windows_mean")))
+            .unionByName(part(("pointwise", "pointwise"), ("model_type", "mode", ""), ("t_stat", "p_value")))
+            .unionByName(part(("band_stats", "band"), ("band", "model_type", ""), ("t_stat", "cohens_d"))))
