@@ -152,12 +152,12 @@ def with_context(blocks: DataFrame, stats: DataFrame, basis: DataFrame, pane: in
         out = out.join(orders.select("subject_id", "orders"), "subject_id")
     elif orders is not None:
         out = out.withColumn("orders", orders)
+    form = ["lam", "u"] if "u" in basis.columns else ["gi", "gj", "gv"]
     if by is None:
-        one = basis.select(F.struct("lam", "u")).scalar()
-        out = out.withColumn("_b", one).withColumns(
-            {"lam": F.col("_b.lam"), "u": F.col("_b.u")}).drop("_b")
+        one = basis.select(F.struct(*form)).scalar()
+        out = out.withColumn("_b", one).withColumns({c: F.col(f"_b.{c}") for c in form}).drop("_b")
     else:
-        out = out.join(basis.select(by, "lam", "u"), by)
+        out = out.join(basis.select(by, *form), by)
     start = F.col("pane") * pane
     return (out.filter(start < F.col("n_samples")).withColumn("start", start)
             .withColumn("rows", F.least(F.lit(pane), F.col("n_samples") - start).cast("int"))
@@ -186,6 +186,54 @@ def block_matrix(row, standardise: bool = True) -> np.ndarray:
     return x
 
 
+def packed_laplacian(lap: DataFrame, by: str = "grp") -> DataFrame:
+    """One row per graph: the non-zero cells (gi, gj, gv) of its Laplacian (by, i, j, v).
+
+    It serves as ``basis`` where only powers of the graph are asked for: the size of
+    the graph's edges, not of an eigenbasis, travels with each block.
+    """
+    cells = lap.filter("v <> 0").groupBy(by).agg(F.collect_list(F.struct("i", "j", "v")).alias("e"))
+    return cells.select(by, F.col("e.i").alias("gi"), F.col("e.j").alias("gj"), F.col("e.v").alias("gv"))
+
+
+def graph_powers(row, x: np.ndarray, k_max: int) -> list[np.ndarray]:
+    """x, L x, .., L^k x for the rows of ``x``, by the power recurrence along the graph's edges."""
+    i, j, v = np.asarray(row.gi), np.asarray(row.gj), np.asarray(row.gv, float)
+    order = np.argsort(i, kind="stable")
+    i, j, v = i[order], j[order], v[order]
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    out = [x]
+    for _ in range(k_max):
+        y = np.zeros_like(x)
+        if len(i):
+            # sums over the edges of each node, which lie side by side
+            y[:, i[first]] = np.add.reduceat(out[-1][:, j] * v, first, axis=1)
+        out.append(y)
+    return out
+
+
+def _spectral_sums(row, x, k_max, top):
+    """A function (p, first, stop) -> A_j(., .) from the graph's modes."""
+    s = mode_matrix(row, x)
+    lam_pow = np.asarray(row.lam)[None, :] ** np.arange(2 * k_max + 1)[:, None]
+    lags = np.stack([s[row.halo - p:len(s) - p] for p in range(top + 1)])
+
+    def sums(p, i, j):
+        v = lags[:p + 1, i:j].transpose(2, 0, 1)              # mode, p, t
+        return np.tensordot(lam_pow, v @ v.transpose(0, 2, 1), axes=(1, 0))
+    return sums
+
+
+def _edge_sums(row, x, k_max, top):
+    """The same from powers of the graph: A_j pairs L^a x and L^b x with a + b = j."""
+    lags = [np.stack([y[row.halo - p:len(y) - p] for p in range(top + 1)]) for y in graph_powers(row, x, k_max)]
+
+    def sums(p, i, j):
+        flat = [y[:p + 1, i:j].reshape(p + 1, -1) for y in lags]
+        return np.stack([flat[n // 2] @ flat[n - n // 2].T for n in range(2 * k_max + 1)])
+    return sums
+
+
 def mode_matrix(row, x: np.ndarray) -> np.ndarray:
     n = x.shape[1]
     return x @ np.asarray(row.u).reshape(n, n).T
@@ -285,12 +333,10 @@ def _window_parts(keys, k_max, length, step, standardise):
             out = []
             for row in pdf.itertuples(index=False):
                 x = block_matrix(row, standardise)
-                s = mode_matrix(row, x)
                 n = x.shape[1]
-                lam_pow = np.asarray(row.lam)[None, :] ** np.arange(2 * k_max + 1)[:, None]
                 head = tuple(getattr(row, k) for k in keys)
                 orders = sorted(int(p) for p in row.orders)
-                lags = np.stack([s[row.halo - p:len(s) - p] for p in range(orders[-1] + 1)])
+                lag_sums = (_spectral_sums if hasattr(row, "u") else _edge_sums)(row, x, k_max, orders[-1])
                 sums = np.concatenate([[0.0], np.cumsum(x[row.halo:].sum(axis=1))])
                 last = (row.n_samples - length) // step if row.n_samples >= length else -1
                 first = max(0, (row.start - length) // step + 1)
@@ -303,11 +349,9 @@ def _window_parts(keys, k_max, length, step, standardise):
                     spans = [(w, i, j) for w, i, j in spans if i < j]
                     cuts = sorted({c for _, i, j in spans for c in (i, j)})
                     place = {c: k for k, c in enumerate(cuts)}
-                    running = np.zeros((len(cuts), lam_pow.shape[0] * (p + 1) ** 2))
+                    running = np.zeros((len(cuts), (2 * k_max + 1) * (p + 1) ** 2))
                     for k, (i, j) in enumerate(zip(cuts, cuts[1:]), 1):
-                        v = lags[:p + 1, i:j].transpose(2, 0, 1)              # mode, p, t
-                        a = np.tensordot(lam_pow, v @ v.transpose(0, 2, 1), axes=(1, 0))
-                        running[k] = running[k - 1] + a.ravel()
+                        running[k] = running[k - 1] + lag_sums(p, i, j).ravel()
                     out += [(*head, w, p, (j - i) * n, float(sums[j] - sums[i]),
                              running[place[j]] - running[place[i]]) for w, i, j in spans]
             if out:
@@ -335,7 +379,10 @@ def window_moments(blocks: DataFrame, k_max: int, length: int, step: int, *,
 def graph_var_moments(signals: DataFrame, basis: DataFrame, n_channels: int, *, orders, k_max: int,
                       p_max: int, length: int, step: int, by: str | None = None,
                       stats: DataFrame | None = None, standardise: bool = True) -> DataFrame:
-    """Whole-recording and window moments of a cohort in one pass over the samples."""
+    """Whole-recording and window moments of a cohort in one pass over the samples.
+
+    ``basis`` is a packed eigenbasis or a ``packed_laplacian``.
+    """
     if stats is None:
         stats = (recording_stats if standardise else identity_stats)(signals, n_channels)
     blocks = pane_blocks(signals, stats, basis, BLOCK, p_max, orders, by)
@@ -368,7 +415,7 @@ def graph_fourier_transform(signals: DataFrame, basis: DataFrame, n_channels: in
 def graph_var_features(signals: DataFrame, basis: DataFrame, n_channels: int, P: int, K: int, *,
                    pane: int = 1024, by: str | None = None,
                    stats: DataFrame | None = None) -> DataFrame:
-    """Design rows: target y = x[t, channel] and f[(p-1)(K+1)+k] = (L^k x[t-p])[channel]."""
+    """Design rows, from an eigenbasis or a ``packed_laplacian``: target y = x[t, channel] and f[(p-1)(K+1)+k] = (L^k x[t-p])[channel]."""
     standardise = stats is not None
     if stats is None:
         stats = identity_stats(signals, n_channels)
@@ -379,8 +426,11 @@ def graph_var_features(signals: DataFrame, basis: DataFrame, n_channels: int, P:
             for row in pdf.itertuples(index=False):
                 x = block_matrix(row, standardise)
                 n = x.shape[1]
-                u = np.asarray(row.u).reshape(n, n)
-                shifted = [x @ ((u.T * np.asarray(row.lam) ** k) @ u) for k in range(K + 1)]
+                if hasattr(row, "u"):
+                    u = np.asarray(row.u).reshape(n, n)
+                    shifted = [x @ ((u.T * np.asarray(row.lam) ** k) @ u) for k in range(K + 1)]
+                else:
+                    shifted = graph_powers(row, x, K)
                 first = row.halo + max(0, P - row.start)
                 if first >= len(x):
                     continue

@@ -245,9 +245,21 @@ _GRAM = (f"{o.LEDGER_Z}, {o.lap('zs')}, {o.FEATURES}, {o.scopes(LEN, STEP)},"
 @query("subject_id window_idx:l n_obs:l s1:r6 yy:r6 g11:r6 g12:r6 g13:r6 g14:r6 g22:r6 g23:r6 g24:r6"
        " g33:r6 g34:r6 g44:r6 v1:r6 v2:r6 v3:r6 v4:r6", f"WITH {_GRAM} SELECT * FROM gram")
 def graph_var_moments(spark, d):
-    m = mo.graph_var_moments(fx.signals_ledger(spark, d), _ring(spark), N, orders=F.array(F.lit(P)),
-                         k_max=K, p_max=P, length=LEN, step=STEP)
+    return _moment_cells(mo.graph_var_moments(
+        fx.signals_ledger(spark, d), _ring(spark), N, orders=F.array(F.lit(P)), k_max=K, p_max=P, length=LEN, step=STEP))
 
+
+@query("subject_id window_idx:l n_obs:l s1:r6 yy:r6 g11:r6 g12:r6 g13:r6 g14:r6 g22:r6 g23:r6 g24:r6"
+       " g33:r6 g34:r6 g44:r6 v1:r6 v2:r6 v3:r6 v4:r6", f"WITH {_GRAM} SELECT * FROM gram")
+def graph_var_moments_on_edges(spark, d):
+    """The same moments from powers of the graph along its edges; no eigenbasis is made or sent."""
+    lap = gr.normalised_from_edges(fx.ring_edges(spark, N), "graph_id")
+    return _moment_cells(mo.graph_var_moments(
+        fx.signals_ledger(spark, d), mo.packed_laplacian(lap, "graph_id"), N, orders=F.array(F.lit(P)), k_max=K, p_max=P,
+        length=LEN, step=STEP))
+
+
+def _moment_cells(m):
     def a(j, p, q):
         return F.col("a")[j * 9 + p * 3 + q]
 

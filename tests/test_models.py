@@ -331,3 +331,18 @@ def test_clear_steps_removes_intermediates(spark):
     path = session._STEPS[-1].removeprefix("file:")
     assert os.path.isdir(path) and session.clear_steps(spark) == 1 and not os.path.exists(path)
 
+
+
+def test_powers_along_edges_equal_the_spectral_form(spark, recordings, basis, ring_lap):
+    cells = [("g", i, j, float(ring_lap[i, j])) for i in range(6) for j in range(6)]
+    packed = moments.packed_laplacian(spark.createDataFrame(cells, "grp string, i int, j int, v double"))
+    sig = signals_frame(spark, recordings)
+    how = dict(orders=F.array(F.lit(2), F.lit(4)), k_max=3, p_max=4, length=60, step=25)
+    rows = [{(r.subject_id, r.window_idx, r.P): np.array(r.a) for r in moments.graph_var_moments(
+        sig, b, 6, **how).collect()} for b in (basis, packed)]
+    assert rows[0].keys() == rows[1].keys()
+    for k, a in rows[0].items():
+        np.testing.assert_allclose(rows[1][k], a, rtol=1e-9, atol=1e-9 * np.abs(a).max())
+    f = [{(r.subject_id, r.t, r.channel): np.array(r.f) for r in moments.graph_var_features(
+        sig, b, 6, 2, 3).collect()} for b in (basis, packed)]
+    assert all(np.allclose(f[1][k], v, atol=1e-9) for k, v in f[0].items()) and f[0].keys() == f[1].keys()
