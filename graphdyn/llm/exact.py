@@ -13,8 +13,10 @@ third of all rows reaches the index as at most ``SALTS`` rows. A part holds
 digests and numbers, no texts; there are as many parts as shuffle partitions.
 
 Edge cases: null counts as the empty text; repeated rows count each time; a null
-doc_id never stays if another copy has one; an empty table gives an empty result;
-other columns are not read.
+doc_id never stays if another copy has one. Rows with equal texts and one doc_id, or
+none, are told apart by nothing, so those that carry the id that stays all count as
+kept. Very long texts are digested whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

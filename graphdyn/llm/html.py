@@ -13,7 +13,9 @@ Each page is parsed and decided on its own; the model is a few kilobytes.
 
 Edge cases: null and empty html give the empty text; broken markup (unclosed or
 cut tags, stray ends) is read as browsers do, roughly; a page without elements is
-one block; repeated rows and other columns change nothing. Script, style and the
+one block; very long pages are parsed whole; repeated rows and other columns change
+nothing, and columns named like the result move it to a fresh name; an empty table
+gives an empty result. Script, style and the
 like, comments and attributes never give text.
 """
 

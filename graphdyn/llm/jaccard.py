@@ -28,7 +28,9 @@ makes a list look longer). Edge cases: null, empty and blank texts have no
 shingles and link with nothing; texts of one to four words are one shingle;
 repeated rows belong to one class; null keys and keys that repeat take part, a
 component's id is its smallest non-null key (components without one share the id
-null, but stay apart); an empty table gives an empty result.
+null, but stay apart); very long texts are shingled whole, as one row of hashes;
+ties between keys go to the text's digest; an empty table gives an empty result;
+``join`` reads no other columns, ``dedup`` passes them through whatever their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,9 @@ passages stay, as do texts of too few n-grams to tell.
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties
 go to the first language by name; a text with letters but no hit gets the most
 frequent label with score 0; without labelled rows every text is ``und`` and none is
-rejected; a key that repeats is learned from once; other columns change nothing.
+rejected; a key that repeats is learned from once; very long texts are read whole; an
+empty table gives an empty result; columns named like a result move it to a fresh
+name, other columns change nothing.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ and meets the documents again in one join.
 
 Edge cases: a null source is a source of its own, ranked last; null and empty
 texts have size 0 and are never taken; repeated rows share one draw per
-doc_id; an empty table gives an empty result; other columns pass through.
+doc_id; very long texts only count as their words; sources of equal size keep the order
+of their names; an empty table gives an empty result; other columns pass through, and
+columns named like a result move it to a fresh name.
 """
 
 from __future__ import annotations

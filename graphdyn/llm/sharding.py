@@ -10,7 +10,9 @@ more bits. Rows are read twice: for the sums and for the assignment.
 Edge cases: null and empty texts count 0 bytes; one document above the limit
 is a shard of its own; rows equal in every column have one hash, no further bit
 parts them, so such a bucket is dealt out in equal parts that fit (suffix
-``+k``); an empty table gives an empty result.
+``+k``), which of them goes where is arbitrary; very long texts only count as their
+bytes; an empty table gives an empty result; other columns pass through, and columns
+named like a result move it to a fresh name.
 """
 
 from __future__ import annotations

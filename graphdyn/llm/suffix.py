@@ -22,7 +22,8 @@ move once to learn the state of their runs and, for those with any, once more
 for the result. Hashes have 64 bits.
 
 Edge cases: null and texts under 400 bytes lose nothing; repeated rows lose all
-of at least 400 bytes; null keys take part; an empty table gives an empty result;
+of at least 400 bytes; null keys take part; very long texts are handled whole, a chunk
+each; ties cannot arise; an empty table gives an empty result; other columns are not read;
 bytes are judged on the input, and kept bytes are joined as they are.
 """
 

@@ -11,7 +11,9 @@ to the executors once. All of it is bounded by the sample, not by the corpus.
 Edge cases: null and empty texts score the bias alone; rows without a label or
 with a label other than 0 and 1 are not learned from; without rows of both
 labels every score is the share of label 1 (0 without rows); a key that repeats
-is learned from once; other columns are never read.
+is learned from once, equal draws in order of label; very long texts are read whole;
+an empty table gives an empty result; columns named like a result move the result to a fresh name,
+other columns are never read.
 """
 
 from __future__ import annotations

@@ -342,3 +342,42 @@ def test_member_bitmap_never_misses(spark):
     # the last bit of a word; the third hash shares its slot, the second does not
     one = edge.filter("h = 63")
     assert {r.h for r in edge.filter(common.maybe_member(F.col("h"), one)).collect()} == {63, 64 * common.WORDS + 63}
+
+
+def test_language_table_of_more_than_64_labels(spark):
+    """The second word of the bit table decides as the first does."""
+    rng = random.Random(8)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(70)}
+    text = lambda name: " ".join(rng.choice(words[name]) for _ in range(30))
+    rows = [(i * 70 + j, text(name), name) for i in range(4) for j, name in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.filter("doc_id < 210"), "text", "lang", "doc_id")
+    assert len(model.langs) == 70 and model.words == 2
+    pred, _ = language.added(df)
+    got = language.predict(df.filter("doc_id >= 210"), model, keep=("lang",)).collect()
+    assert len(got) == 70 and sum(r.lang == r[pred] for r in got) >= 68
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """One text far above a chunk, and columns that bear the results' names."""
+    rng = random.Random(4)
+    long_ = " ".join(rng.choice("the house is a quiet place near old river banks".split()) for _ in range(120_000))
+    rows = [(0, long_, "en", 0), (1, "the house is quiet", "en", 0), (2, "vile words here", "en", 1), (3, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    for name in ("spans", "toxicity", "lang_pred", "lang_score", "t", "k", "blocks"):
+        df = df.withColumn(name, F.lit(name))
+    model = language.fit(df, "text", "lang", "doc_id")
+    pred, _ = language.added(df)
+    got = {r.doc_id: r for r in language.predict(df, model, keep=("doc_id", "lang_pred")).collect()}
+    assert got[0][pred] == "en" and got[3][pred] == "und" and got[0].lang_pred == "lang_pred"
+    assert language.accept(df, model).columns == df.columns
+    name, = toxicity.added(df)
+    scores = {r.doc_id: r[name] for r in toxicity.score(df, toxicity.fit(df, df, "text", "toxic", "doc_id"),
+                                                        keep=("doc_id", "toxicity")).collect()}
+    assert len(scores) == 4 and all(0 <= s <= 1 for s in scores.values())
+    name, = secrets.added(df)
+    assert {r.doc_id: len(r[name]) for r in secrets.scan(df, keep=("doc_id", "spans")).collect()} == dict.fromkeys(range(4), 0)
+    pages = df.select("doc_id", F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"), "blocks")
+    name, = html.added(pages)
+    out = html.extract(pages, html.fit(pages), keep=("doc_id", "blocks")).collect()
+    assert len(out) == 4 and {r.doc_id: r[name] for r in out}[3] == []
