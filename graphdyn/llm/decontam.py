@@ -11,8 +11,9 @@ returns is verified by the exact weighted Jaccard similarity of the shingle
 multisets, sum of minima over sum of maxima, at least ``SIMILARITY``.
 
 Windows without any shingle of an item of their size have similarity 0 and are
-not fingerprinted. Items travel in blocks of at most ``BLOCK_BYTES`` of text; the
-documents are scanned once per block and never shuffled.
+not fingerprinted. Items travel in blocks of about ``BLOCK_BYTES`` of text,
+so that the driver holds one block's texts at a time; the documents are scanned
+once for all blocks and never shuffled.
 
 An item of fewer than five words is one shingle of its own length and is looked
 up in all windows of so many words. Very long texts are searched whole.
@@ -191,22 +192,19 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     name, = added(docs)
     kind = dict(items.dtypes)[item_key]
     match = f"array<struct<item:{kind},similarity:double,first_word:long,n_words:long>>"
-    out, part_names = docs, []
-    for index in _blocks(items, item_text, item_key):
-        part, = fresh(out, "part")
-        part_names.append(part)
-        shared = Sent(docs.sparkSession, index)
-        schema = ", ".join([f"`{n}` {k}" for n, k in out.dtypes] + [f"`{part}` {match}"])
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, part=part) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+    sent = [Sent(docs.sparkSession, index) for index in _blocks(items, item_text, item_key)]
+    schema = ", ".join([f"`{n}` {k}" for n, k in docs.dtypes] + [f"`{name}` {match}"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: list[list[dict]] = [[] for _ in range(len(pdf))]
+            for shared in sent:
                 keys = shared.value.keys
-                found = [[{"item": keys[i], "similarity": s, "first_word": f, "n_words": n}
-                          for i, s, f, n in m] for m in shared.value.search(pdf[text])]
-                yield pdf.assign(**{part: found})
+                for own, matches in zip(found, shared.value.search(pdf[text])):
+                    own += [{"item": keys[i], "similarity": s, "first_word": f, "n_words": n} for i, s, f, n in matches]
+            yield pdf.assign(**{name: found})
 
-        out = out.mapInPandas(run, schema)
-    return out.select(*docs.columns, F.concat(*(F.col(p) for p in part_names)).alias(name))
+    return docs.mapInPandas(run, schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text",
