@@ -75,9 +75,10 @@ def cosine() -> Column:
     return F.when(norms > 0, F.sum(a * b) / norms).otherwise(0.0)
 
 
-def jaccard() -> Column:
+def jaccard(empty: float | None = 0.0) -> Column:
+    """``empty`` is the index of two empty edge sets."""
     union = F.count_if(F.col("in_a") | F.col("in_b"))
-    return F.when(union > 0, F.count_if(F.col("in_a") & F.col("in_b")) / union).otherwise(0.0)
+    return F.when(union > 0, F.count_if(F.col("in_a") & F.col("in_b")) / union).otherwise(F.lit(empty))
 
 
 def mean_abs_diff() -> Column:

@@ -942,7 +942,7 @@ def jaccard_rules(spark, d):
     out = None
     for rule in ("strict_kplus1", "ge_kplus1", "ge_k", "value"):
         part = cmp.with_kept(al, ["subject_id"], rule, value=0.1).groupBy("subject_id").agg(
-            cmp.jaccard().alias("jaccard")).withColumn("rule", F.lit(rule))
+            cmp.jaccard(empty=None).alias("jaccard")).withColumn("rule", F.lit(rule))
         out = part if out is None else out.unionByName(part)
     return out
 
