@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphdyn.functions.scalars import nan_to_num
 from graphdyn.operators.prep import checked_channels
+from graphdyn.session import bound_batches
 
 _PARTIAL = ("subject_id string, grp string, n bigint, ci array<int>, cj array<int>,"
             " mi array<double>, mj array<double>, cij array<double>,"
@@ -59,12 +60,11 @@ class Comoments:
 
 
 def _block_samples(row) -> np.ndarray:
-    if not hasattr(row, "cells"):
+    if not hasattr(row, "o"):
         return np.stack(row.x)
-    o = np.array([c["o"] for c in row.cells])
-    seen, at = np.unique(o, return_inverse=True)
+    seen, at = np.unique(row.o, return_inverse=True)
     x = np.zeros((len(seen), row.n_channels))
-    x[at, [c["c"] for c in row.cells]] = [c["v"] for c in row.cells]
+    x[at, row.c] = row.v
     return x
 
 
@@ -93,11 +93,20 @@ def _partial_comoments(batches):
 
 
 def block_moments(frames: DataFrame) -> DataFrame:
-    """One partial state per (subject, task) of frames: arrays over the channel pairs."""
-    if "cells" not in frames.columns:
-        frames = frames.groupBy("subject_id", "grp", F.floor(F.col("t") / BLOCK).alias("block")).agg(
-            F.collect_list("x").alias("x"))
-    return frames.drop("block").mapInPandas(_partial_comoments, _PARTIAL)
+    """One partial state per (subject, task) of frames: arrays over the channel pairs.
+
+    Blocks reach Python as plain arrays, in batches bounded by bytes: as structs, each cell
+    would be an object of its own, and a batch counted in rows holds a whole task's.
+    """
+    key = ["subject_id", "grp"]
+    bound_batches(frames.sparkSession)
+    if "cells" in frames.columns:
+        rows = frames.select(*key, "n_channels", F.col("cells.o").alias("o"), F.col("cells.c").alias("c"),
+                             F.col("cells.v").alias("v"))
+    else:
+        rows = frames.groupBy(*key, F.floor(F.col("t") / BLOCK).alias("block")).agg(
+            F.collect_list("x").alias("x")).drop("block")
+    return rows.mapInPandas(_partial_comoments, _PARTIAL)
 
 
 def pair_moments(frames: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
