@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphdyn.llm.common import Sent, bound_batches, fresh, unit_hash
+from graphdyn.llm.common import TEXT_BATCH, Sent, bound_batches, fresh, unit_hash
 from graphdyn.llm.words import mix
 from graphdyn.session import cut_lineage
 
@@ -117,9 +117,11 @@ class Filter:
         self.langs, self.words, self.usual = langs, max(1, -(-len(langs) // 64)), usual
         most = np.bincount(lang, minlength=1).max() if len(lang) else 1
         self.bits = max(12, int(np.ceil(np.log2(4.0 * HASHES * max(1, most)))))
-        self.table = np.zeros((self.words, 1 << self.bits), _U)
+        # few languages need few bits; every worker holds the table
+        kind = np.min_scalar_type((1 << min(64, max(1, len(langs)))) - 1)
+        self.table = np.zeros((self.words, 1 << self.bits), kind)
         for row in self._rows(gram):
-            np.bitwise_or.at(self.table, (lang // 64, row), _U(1) << (lang % 64).astype(_U))
+            np.bitwise_or.at(self.table, (lang // 64, row), (_U(1) << (lang % 64).astype(_U)).astype(kind))
         fill = [(self.table[i // 64] >> _U(i % 64) & _U(1)).mean() for i in range(len(langs))]
         self.false = np.array(fill) ** HASHES
         self.floor = np.zeros(len(langs))
@@ -197,7 +199,7 @@ class Filter:
 
 def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN_DOCS) -> Filter:
     """Learn from labelled ``rows``; counts come back per kept (language, n-gram)."""
-    bound_batches(rows.sparkSession)
+    bound_batches(rows.sparkSession, TEXT_BATCH)
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(
         F.col("l").isNotNull() & F.col("t").isNotNull())
     sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
@@ -245,7 +247,7 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, train_docs: int = TRAIN
 
 def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score under fresh names (``added``)."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TEXT_BATCH)
     shared = Sent(docs.sparkSession, model)
     pred, score = added(docs)
     columns = list(dict.fromkeys(keep))
