@@ -30,6 +30,24 @@ def test_exchange_does_not_grow_with_the_surrogates(spark, basis):
     assert written[50] < 2 * written[5]
 
 
+def test_scattered_offsets_send_few_copies_of_the_samples(spark):
+    """Every part of a recording needs all of it, so the parts are few."""
+    n = 1_200_000
+    graph = spark.createDataFrame([([0.9, 1.1], [0.6, 0.8, 0.8, -0.6])], "lam array<double>, u array<double>")
+    sig = spark.range(n).selectExpr("'a' as subject_id", "'A' as grp", "cast(id % 2 as int) as channel",
+                                    "id div 2 as t", "randn(3) as value").localCheckpoint()
+    stats = moments.recording_stats(sig, 2).withColumns({"P": F.lit(2), "K": F.lit(1)}).localCheckpoint()
+
+    def copies(**cut):
+        rows = surrogate.surrogate_models(sig, stats, graph, 2, 30, length=5000, step=5000, p_max=2,
+                                          shift=blocks.hashed_shift(1), **cut)
+        before = _shuffled(spark)
+        assert rows.select("surrogate").distinct().count() == 30
+        return (_shuffled(spark) - before) / (8 * n)
+
+    assert copies() < copies(n_parts=8) - 2
+
+
 @pytest.mark.parametrize("shift", [None, lambda s, c: 17 * s + 5 * c, lambda s, c: -(3 * s + c)])
 def test_any_cut_gives_the_same_models(spark, recordings, basis, shift):
     sig = signals_frame(spark, recordings)
