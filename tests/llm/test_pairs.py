@@ -116,6 +116,45 @@ def test_suffix_null_keys_and_empty(spark):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_spans_of_planted_passages(spark):
+    rng = random.Random(11)
+    words = lambda n, least: [f"{'é' if i % 9 == 0 else ''}{rng.randrange(10 ** (least - 1), 10 ** least)}" for i in range(n)]
+    long_, short = " ".join(words(60, 7)), " ".join(words(52, 6))
+    docs, planted = [], {}
+    for i in range(40):
+        before, after = (" ".join(words(rng.randint(20, 120), 8)) for _ in range(2))
+        passage = (long_, short, None)[i % 3]
+        docs.append((i, " ".join(x for x in (before, passage, after) if x)))
+        if passage is long_:
+            at = len(before.encode()) + 1
+            planted[i] = (at, at + len(long_.encode()))
+    assert len(long_.encode()) >= 400 > len(short.encode()) + 2 and len(short.split()) > 50
+    raw = {i: t.encode() for i, t in docs}
+    for r in suffix.remove_repeats(spark.createDataFrame(docs, SCHEMA).repartition(5)).collect():
+        spans, b = [(s.start, s.end) for s in r.spans], raw[r.doc_id]
+        # beside a passage lie blanks and the like beginnings of words, which some documents share too
+        assert len(spans) == (r.doc_id in planted) == r.n_spans
+        for start, end in spans:
+            at, stop = planted[r.doc_id]
+            assert at - 16 <= start <= at and stop <= end <= stop + 16
+        kept = b"".join(b[x:y] for x, y in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(b)]))
+        assert len(kept) == r.n_bytes - r.n_removed and hashlib.sha256(kept).hexdigest() == r.kept_sha256
+        assert r.n_bytes == len(b)
+
+
+def test_suffix_query_returns_spans(spark, tmp_path):
+    from graphdyn.llm.queries import QUERIES
+    t = "".join(chr(97 + (i * i + i // 23) % 26) for i in range(500))
+    docs = [(1, "x" * 3 + t), (2, t[:450] + "#" + t[10:]), (3, None), (4, "short")]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_suffix_dedup"](spark, str(tmp_path)).collect()}
+    want = brute.remove_repeats(docs)
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == want
+    spans = {k: [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s] for k, r in got.items()}
+    assert {k: (sum(y - x for x, y in s), len(s)) for k, s in spans.items()} == {k: w[1:3] for k, w in want.items()}
+    assert got[3].spans == got[4].spans == "" and sum(w[1] for w in want.values()) > 0
+
+
 def test_exact_dedup(spark):
     rows = [(3, "a  b"), (1, "a\tb"), (2, "a b "), (None, "a\n\nb"), (4, None), (5, ""), (5, "")]
     got = {(r.doc_id, r.text_sha256[:6]): (r.keep_id, r.group_size, r.kept)
